@@ -19,7 +19,7 @@ SAMPLE_CHARS = 50_000  # longer texts aren't sampled
 DICTIONARY_BYTES = 1 << 15  # raw content kept for each language
 PASSAGE_BYTES = 256  # of each sampled text
 PIECE_BYTES = 1 << 11  # whole texts are compressed in pieces of this size, each from the bare dictionary
-LEVEL = 6
+LEVEL, FINE = 6, 19  # short texts with a narrow margin are judged again at the fine level, which finds shorter matches
 NARROW = 0.004  # second smallest over smallest, less 1: below this the text is rejected
 RESULT = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 
@@ -41,12 +41,12 @@ class Dictionaries:
 
     content: dict[str, bytes]
 
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
+    def compressors(self, level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
         out = []
         for content in self.content.values():
             raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(dict_data=raw, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+            raw.precompute_compress(level=level)
+            out.append(zstandard.ZstdCompressor(dict_data=raw, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
         return out
 
     def judge(self, plain: bytes, compressors: list[zstandard.ZstdCompressor]) -> tuple[str, float]:
@@ -107,14 +107,16 @@ def language(text: Column | str, dictionaries: Dictionaries):
     """
 
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        compressors = dictionaries.compressors()
+        compressors, fine = dictionaries.compressors(), dictionaries.compressors(FINE)
         for column in columns:
             rows = []
             for text in column.to_pylist():
                 if not dictionaries.content or not has_letter(text):
                     rows.append(("und", 0.0, 0.0, True))
                     continue
-                lang, margin = dictionaries.judge(_plain(text), compressors)
+                lang, margin = dictionaries.judge(plain := _plain(text), compressors)
+                if margin < NARROW and len(plain) <= PIECE_BYTES:
+                    lang, margin = dictionaries.judge(plain, fine)
                 rows.append((lang, 1 - math.exp(-margin / 0.02), margin, margin < NARROW))
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "score", "margin", "rejected"])
