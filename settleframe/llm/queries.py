@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontam, fingerprint, langid, mixing, quality, tokencount, toxicity, urlfilter, warc
 from .folds import held_out
 from .near_dups import near_duplicates
+from .oracle import ORACLE_SQL
 
 KEEP_QUALITY = 0.3
 
@@ -42,7 +43,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filtered(_table(spark, sf_dir, "pages"))
+    return urlfilter.filtered(_table(spark, sf_dir, "pages")).drop("globs")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {
         op1_near_dups, op2_language, op3_warc, op4_toxicity, op5_url_filter, op6_fingerprint, op7_quality, op8_decontamination, op9_mixing, op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
