@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import ready, scratch, written
@@ -98,19 +98,23 @@ class _File:
 
 def _write(folder: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, lines = None, []
+        """Rows by shard and id; notes (name and head, for an id's payloads that are revisits) come before the id's pages."""
+        file, lines, noted, heads = None, [], None, {}
         for batch in batches:
-            ids, urls, htmls, heads, shards = (batch.column(k) for k in range(5))
+            ids, urls, htmls, names, refers, shards = (batch.column(k) for k in range(6))
             for k in range(len(batch)):
-                page_id, shard, html = ids[k].as_py(), shards[k].as_py(), htmls[k]
+                page_id, shard, name, html = ids[k].as_py(), shards[k].as_py(), names[k].as_py(), htmls[k]
+                if name is not None:
+                    noted, heads = page_id, (heads if noted == page_id else {}) | {name: refers[k].as_py()}
+                    continue
                 if file and (file.line["shard"] != shard or file.line["bytes"] >= roll_bytes):
                     part = file.line["part"] + 1 if file.line["shard"] == shard else 0
                     lines.append(file.close())
                     file = _File(folder, shard, part)
                 file = file or _File(folder, shard, 0)
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                refers = heads[k].as_py()
-                file.put(page_id, record(page_id, urls[k].as_py(), payload, refers, refers is not None))
+                head = heads.get(hashlib.sha1(payload).hexdigest()) if page_id is not None and noted == page_id else None
+                file.put(page_id, record(page_id, urls[k].as_py(), payload, head, head is not None))
         if file:
             lines.append(file.close())
         schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
@@ -119,21 +123,22 @@ def _write(folder: str, roll_bytes: int):
     return run
 
 
-def _sharded(pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """``pages`` with a shard number that rises with the id; null ids are in the first shard."""
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500)).first()
+def _shard_of(pages: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """A shard number that rises with page_id, and how many there are; null ids are in the first shard."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None or high == low:
-        return pages.withColumn("shard", F.lit(0))
+        return F.lit(0), 1
     width = max(1, -(-(high - low + 1) // BINS))
     bin_of = F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(0)).cast("int")
-    sizes = dict(pages.groupBy(bin_of.alias("b")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500)).collect())
+    sizes = dict(pages.groupBy(bin_of.alias("b")).agg(F.sum(size)).collect())
     shards, shard, held = [], 0, 0
     for b in range(BINS):
         if held and held + sizes.get(b, 0) > shard_bytes:
             shard, held = shard + 1, 0
         shards.append(shard)
         held += sizes.get(b, 0)
-    return pages.withColumn("shard", F.element_at(F.lit(shards), bin_of + 1))
+    return F.element_at(F.lit(shards), bin_of + 1), shard + 1
 
 
 def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -148,12 +153,14 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, sha
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     name = F.sha1(F.coalesce("html", F.lit("")))
     heads = pages.where("page_id is not null").select("page_id", name.alias("name"), F.octet_length("html").alias("n")).where(F.coalesce("n", F.lit(0)) >= min_revisit_bytes)
-    # a page's head: its payload's least id, where another page has that payload
-    heads = heads.groupBy("name").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "head")
-    rows = _sharded(pages, shard_bytes).withColumn("name", name).join(heads, "name", "left")
-    rows = rows.withColumn("head", F.when(F.col("page_id") > F.col("head"), F.col("head")))
-    n = max(1, int(rows.agg(F.max("shard")).first()[0] or 0) + 1)
-    rows = rows.select("page_id", "url", "html", "head", "shard").repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "url", "html")
+    # notes: the head, a payload's least id, of each page that has a later one; payloads themselves are shuffled once
+    first = heads.groupBy("name").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "head")
+    notes = heads.join(first, "name").where("page_id > head").select("page_id", "name", "head").distinct()
+    shard, n = _shard_of(pages, shard_bytes)
+    none = F.lit(None).cast("string")
+    rows = pages.select("page_id", "url", "html", none.alias("name"), F.lit(None).cast("long").alias("head"), shard.alias("shard"))
+    rows = rows.unionByName(notes.select("page_id", none.alias("url"), none.alias("html"), "name", "head", shard.alias("shard")))
+    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", F.col("name").isNull(), "url", "html")
     manifest = written(rows.mapInArrow(_write(folder, roll_bytes), MANIFEST), "manifest")
     manifest.coalesce(1).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
