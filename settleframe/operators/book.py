@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import BUCKETS, category, hour_of, interval95, price_bucket, quarter, ratio, variance
+from ..functions.columns import BUCKETS, hour_of, interval95, price_bucket, quarter, ratio, variance
 from ..functions.stats import normal_two_sided_p
 from ..plans.legs import legs, moments, position_cube, two_legs
 from ..sources.tables import Tables
 
-N, WON, C = F.col("n"), F.col("won"), F.col("contracts")
-
 
 def _if(test: Column, value) -> Column:
     return F.sum(F.when(test, value).otherwise(0))
@@ -125,35 +123,35 @@ def trade_size_by_role(t: Tables) -> DataFrame:
     at = F.percentile("cents", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95)]), F.col("f")).alias("q")
     wide, c = F.col("cents").cast("decimal(38,0)"), F.col("cents")
     out = by.groupBy("role").agg(F.sum("f").alias("n"), F.sum(c * F.col("f")).alias("s"), F.sum(wide * c * F.col("f")).alias("s2"), at, F.sum(F.col("contracts") * F.col("f")).alias("sc"), F.percentile("contracts", F.lit(0.5), F.col("f")).alias("median_contracts"), F.max(size).alias("max_size"))
-    std = F.sqrt((N.cast("decimal(38,0)") * F.col("s2") - F.col("s").cast("decimal(38,0)") * F.col("s")).cast("double")) / N / 100
+    std = F.sqrt((F.col("n").cast("decimal(38,0)") * F.col("s2") - F.col("s").cast("decimal(38,0)") * F.col("s")).cast("double")) / F.col("n") / 100
     q = lambda k: (F.col("q")[k] / 100)
-    return out.select("role", "n", ratio(F.col("s"), N, 0.01).alias("mean"), q(1).alias("median"), std.alias("std_pop"), q(0).alias("p25"), q(2).alias("p75"), q(3).alias("p90"), q(4).alias("p95"), ratio(F.col("sc"), N).alias("mean_contracts"), "median_contracts", (F.col("s") / 100).alias("total"))
+    return out.select("role", "n", ratio(F.col("s"), F.col("n"), 0.01).alias("mean"), q(1).alias("median"), std.alias("std_pop"), q(0).alias("p25"), q(2).alias("p75"), q(3).alias("p90"), q(4).alias("p95"), ratio(F.col("sc"), F.col("n")).alias("mean_contracts"), "median_contracts", (F.col("s") / 100).alias("total"))
 
 
 def win_rate_by_trade_size(t: Tables, least: int = 10) -> DataFrame:
     """Takers' win rate by quarter-decade of size in dollars, with a 95 % interval of the excess."""
     size = F.greatest(F.col("contracts") * F.col("price") / 100, F.lit(0.01))
-    by = book_legs(t).where("role = 'taker'").groupBy(F.floor(F.log10(size) * 4).cast("int").alias("bin")).agg(*moments()).where(N >= least)
-    excess, var = ratio(F.col("se"), N, 0.01), variance(N, F.col("se"), F.col("se2"), sample=True) / 1e4
-    se, low, high = interval95(excess, var, N)
-    return by.select("bin", F.pow(F.lit(10.0), F.col("bin") / 4).alias("size_bin"), ratio(WON, N).alias("win_rate"), ratio(F.col("sp"), N, 0.01).alias("expected"), excess.alias("excess"), var.alias("var"), "n", (F.col("cp") / 100).alias("volume"), se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
+    by = book_legs(t).where("role = 'taker'").groupBy(F.floor(F.log10(size) * 4).cast("int").alias("bin")).agg(*moments()).where(F.col("n") >= least)
+    excess, var = ratio(F.col("se"), F.col("n"), 0.01), variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4
+    se, low, high = interval95(excess, var, F.col("n"))
+    return by.select("bin", F.pow(F.lit(10.0), F.col("bin") / 4).alias("size_bin"), ratio(F.col("won"), F.col("n")).alias("win_rate"), ratio(F.col("sp"), F.col("n"), 0.01).alias("expected"), excess.alias("excess"), var.alias("var"), "n", (F.col("cp") / 100).alias("volume"), se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
 
 
 def returns_by_hour(t: Tables, tz: str = "UTC") -> DataFrame:
     """Takers' returns by hour of day."""
     by = book_legs(t).where("role = 'taker'").groupBy(hour_of(F.col("created_time"), tz).alias("hour")).agg(*moments())
-    excess, var = ratio(F.col("se"), N, 0.01), variance(N, F.col("se"), F.col("se2"), sample=True) / 1e4
-    se, low, high = interval95(excess, var, N)
-    return by.select("hour", ratio(WON, N).alias("win_rate"), ratio(F.col("sp"), N, 0.01).alias("avg_implied_prob"), excess.alias("excess"), var.alias("var"), "contracts", (F.col("cp") / 100).alias("volume"), "n", se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
+    excess, var = ratio(F.col("se"), F.col("n"), 0.01), variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4
+    se, low, high = interval95(excess, var, F.col("n"))
+    return by.select("hour", ratio(F.col("won"), F.col("n")).alias("win_rate"), ratio(F.col("sp"), F.col("n"), 0.01).alias("avg_implied_prob"), excess.alias("excess"), var.alias("var"), "contracts", (F.col("cp") / 100).alias("volume"), "n", se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
 
 
 def vwap_by_hour(t: Tables, tz: str = "UTC") -> DataFrame:
     """Takers' volume-weighted price by hour of day."""
     p = F.col("price").cast("long")
     by = book_legs(t).where("role = 'taker'").groupBy(hour_of(F.col("created_time"), tz).alias("hour")).agg(*moments(), F.sum(p * p).alias("sp2"))
-    vwap, std = ratio(F.col("cp"), C), F.sqrt(variance(N, F.col("sp"), F.col("sp2"), sample=True))
-    se = std / F.sqrt(N)
-    return by.select("hour", vwap.alias("vwap"), "contracts", (F.col("cp") / 100).alias("volume"), "n", ratio(F.col("sp"), N).alias("avg_price"), std.alias("std"), se.alias("se"), (vwap - 1.96 * se).alias("ci_low"), (vwap + 1.96 * se).alias("ci_high"))
+    vwap, std = ratio(F.col("cp"), F.col("contracts")), F.sqrt(variance(F.col("n"), F.col("sp"), F.col("sp2"), sample=True))
+    se = std / F.sqrt(F.col("n"))
+    return by.select("hour", vwap.alias("vwap"), "contracts", (F.col("cp") / 100).alias("volume"), "n", ratio(F.col("sp"), F.col("n")).alias("avg_price"), std.alias("std"), se.alias("se"), (vwap - 1.96 * se).alias("ci_low"), (vwap + 1.96 * se).alias("ci_high"))
 
 
 def volume_over_time(t: Tables) -> DataFrame:
@@ -169,7 +167,7 @@ def _bucket_volumes(t: Tables) -> DataFrame:
 def longshot_volume_share(t: Tables) -> DataFrame:
     """Takers' dollars at 1 to 20 cents by quarter, and their share; quarters without any are left out."""
     long = F.col("is_longshot")
-    out = _bucket_volumes(t).groupBy("quarter").agg(_if(long, F.col("cents")).alias("lc"), _if(long, C).alias("longshot_contracts"), _if(long, N).alias("longshot_n"), F.sum("cents").alias("tc"))
+    out = _bucket_volumes(t).groupBy("quarter").agg(_if(long, F.col("cents")).alias("lc"), _if(long, F.col("contracts")).alias("longshot_contracts"), _if(long, F.col("n")).alias("longshot_n"), F.sum("cents").alias("tc"))
     return out.where("longshot_n > 0").select("quarter", (F.col("lc") / 100).alias("longshot_volume"), "longshot_contracts", "longshot_n", (F.col("tc") / 100).alias("total_volume"), ratio(F.col("lc"), F.col("tc"), 100).alias("share_pct"))
 
 
@@ -182,10 +180,10 @@ def price_bucket_share_pivot(t: Tables, least_usd: int = 1_000_000) -> DataFrame
 
 def maker_taker_gap_over_time(t: Tables, least: int = 1000) -> DataFrame:
     """Mean excess by quarter of both roles, each with enough legs, in percentage points, and maker minus taker."""
-    by = book_legs(t).groupBy(quarter("created_time").alias("quarter"), "role").agg(*moments()).where(N >= least)
-    excess, var = ratio(F.col("se"), N), variance(N, F.col("se"), F.col("se2"))
-    se, low, high = interval95(excess, var, N)
-    side = lambda r: by.where(F.col("role") == r).select("quarter", excess.alias(f"{r}_excess_pp"), N.alias(f"{r}_n"), (F.col("cp") / 100).alias(f"{r}_volume"), se.alias(f"{r}_se_pp"), low.alias(f"{r}_ci_low"), high.alias(f"{r}_ci_high"))
+    by = book_legs(t).groupBy(quarter("created_time").alias("quarter"), "role").agg(*moments()).where(F.col("n") >= least)
+    excess, var = ratio(F.col("se"), F.col("n")), variance(F.col("n"), F.col("se"), F.col("se2"))
+    se, low, high = interval95(excess, var, F.col("n"))
+    side = lambda r: by.where(F.col("role") == r).select("quarter", excess.alias(f"{r}_excess_pp"), F.col("n").alias(f"{r}_n"), (F.col("cp") / 100).alias(f"{r}_volume"), se.alias(f"{r}_se_pp"), low.alias(f"{r}_ci_low"), high.alias(f"{r}_ci_high"))
     return side("taker").join(side("maker"), "quarter").withColumn("gap_pp", F.col("maker_excess_pp") - F.col("taker_excess_pp"))
 
 
@@ -226,6 +224,3 @@ def calibration_deviation_over_time(t: Tables, least: int = 1000) -> DataFrame:
 def position_moments(t: Tables) -> DataFrame:
     """The cube that serves the price-keyed analyses: integer moments by quarter, category, role, side and price."""
     return position_cube(book_legs(t).withColumn("quarter", quarter("created_time")), "quarter", "category")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["category"]

@@ -15,7 +15,6 @@ from .categories import classify, rules_table
 #: fixed values: prices and price ranges that are tested
 PRICES = (1, 2, 3, 4, 5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 85, 90, 95, 99)
 RANGES = ((1, 10), (11, 30), (31, 50), (51, 70), (71, 90), (91, 99))
-N = F.col("n")
 
 
 def equal_width_bin(x: Column, low: Column, high: Column, k: int) -> Column:
@@ -52,7 +51,7 @@ def trade_size_by_role(t: Tables, bins: int = 10, least: int = 100, p_values: bo
 def yes_no_asymmetry(t: Tables, least: int = 100, p_values: bool = True) -> DataFrame:
     """Takers' weighted win rates on YES and NO at the listed prices, pooled z, and expected value in percent of the price."""
     by = book_legs(t).where("role = 'taker'").where(F.col("price").isin(*PRICES)).groupBy("price", "side").agg(*moments())
-    side = lambda s: by.where(F.col("side") == s).where(N >= least).select("price", N.alias(f"{s}_n"), F.col("contracts").cast("double").alias(f"{s}_c"), F.col("cw").cast("double").alias(f"{s}_w"))
+    side = lambda s: by.where(F.col("side") == s).where(F.col("n") >= least).select("price", F.col("n").alias(f"{s}_n"), F.col("contracts").cast("double").alias(f"{s}_c"), F.col("cw").cast("double").alias(f"{s}_w"))
     out = side("yes").join(side("no"), "price")
     z = two_proportion_z(F.col("yes_w"), F.col("yes_c"), F.col("no_w"), F.col("no_c"))
     rate = {s: F.col(f"{s}_w") / F.col(f"{s}_c") for s in ("yes", "no")}
@@ -75,8 +74,8 @@ def category_gaps(t: Tables, rules: DataFrame | None = None, base: str = "Financ
     """Takers' excess in each other group against ``base``."""
     rules = rules if rules is not None else rules_table(t.book_trades.sparkSession)
     by = book_legs(t).where("role = 'taker'").groupBy("category").agg(*moments())
-    by = classify(by, rules).groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "se", "se2")]).where(N >= least)
-    by = by.select("group", "n", ratio(F.col("se"), N, 0.01).alias("mean"), (variance(N, F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
+    by = classify(by, rules).groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "se", "se2")]).where(F.col("n") >= least)
+    by = by.select("group", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
     names = by.where(F.col("group") != base).select("group")
     held = by.where(F.col("group") == base).drop("group").crossJoin(names)  # one row with a handful
     return _compared(held, by, ["group"], ("base", "other"), p_values)
@@ -118,7 +117,7 @@ def maker_direction(t: Tables, cap: int = 100, least: int = 100, p_values: bool
     span = F.coalesce(*[F.when(F.col("price").between(a, b), F.lit(f"{a}-{b}")) for a, b in RANGES])
     w, e = F.least("contracts", F.lit(cap)), F.col("e").cast("long")
     by = book_legs(t).where("role = 'maker'").withColumn("range", span).where("range is not null").groupBy("range", "side").agg(F.count(F.lit(1)).alias("legs"), F.sum(w).alias("n"), F.sum(w * e).alias("se"), F.sum(w * e * e).alias("se2")).where(F.col("legs") >= least)
-    by = by.select("range", "side", "n", ratio(F.col("se"), N, 0.01).alias("mean"), (variance(N, F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
+    by = by.select("range", "side", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
     return _compared(by.where("side = 'yes'"), by.where("side = 'no'"), ["range"], ("yes", "no"), p_values)
 
 
