@@ -10,7 +10,7 @@ from .functions.columns import rounded
 from .operators import book, categories, chain
 from .operators import tests_of_significance as tests
 from .sources import ingest
-from .sources.tables import Tables, test_tables
+from .sources.tables import Tables, stand_in_tables
 
 Analysis = Callable[[Tables], DataFrame]
 
@@ -48,7 +48,7 @@ ANALYSES |= {
 
 
 def query(analysis: Analysis) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rounded(analysis(test_tables(spark, sf_dir)))
+    return lambda spark, sf_dir: rounded(analysis(stand_in_tables(spark, sf_dir)))
 
 
 QUERIES = {name: query(f) for name, f in ANALYSES.items()}

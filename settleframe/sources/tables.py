@@ -57,7 +57,7 @@ SPARK = {"minutes": f"l_shipdate + make_dt_interval(0, 0, cast({_MINUTES} as int
 DUCKDB = {"minutes": f"l_shipdate + to_minutes({_MINUTES})", "k": "cast(json_extract_string(props, '$.k') as bigint)", "string": "varchar"}
 
 
-def test_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def stand_in_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as views over the driver's test tables."""
     found = {}
     for name, sql in STAND_INS.items():

@@ -13,7 +13,7 @@ from settleframe.functions import stats
 from settleframe.operators import book, categories
 from settleframe.plans.legs import merged, position_cube
 from settleframe.sources import ingest
-from settleframe.sources.tables import Tables, test_tables
+from settleframe.sources.tables import Tables, stand_in_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,7 +122,7 @@ def test_oracles(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["price", "total_trades", "wins", "win_rate"] and set(entry.oracle_sql()) <= set(entry.queries())
-    assert test_tables(spark, SF).book_trades.count() > 0
+    assert stand_in_tables(spark, SF).book_trades.count() > 0
 
 
 def test_streams(spark, tmp_path, fixture):
