@@ -12,11 +12,13 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sampled(rows: DataFrame, key: Column, by: Column, per_value: int) -> DataFrame:
-    """About ``per_value`` rows of each value of ``by``, chosen by a hash of ``key``: the same rows in every run.
+def sampled(rows: DataFrame, key: Column, by: str, per_value: int) -> DataFrame:
+    """About ``per_value`` rows of each value of the column ``by``, chosen by a hash of ``key``: the same rows in every run.
 
-    The values of ``by`` are counted first; that is one row for each, so ``by`` has to be a label or a language.
+    The values of ``by`` are counted first, one row for each on the driver, so it has to be a label or a language. The
+    shares are literals in the filter: nothing is shuffled.
     """
-    share = rows.groupBy(by.alias("value")).agg((F.lit(float(per_value)) / F.count(F.lit(1))).alias("share"))
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().collect()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[by], per_value / r["count"])]) if counts else F.lit(None).cast("map<string,double>")
     draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("value", by).withColumn("draw", draw).join(share, "value").where("draw < share").drop("share")
+    return rows.withColumn("draw", draw).where(F.col("draw") < (share[F.col(by)] if counts else F.lit(0.0)))

@@ -80,7 +80,7 @@ def fit(labelled: DataFrame) -> Dictionaries:
     texts whose label the other half contradicts are left out of the final dictionaries.
     """
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.length("text") <= SAMPLE_CHARS)
-    rows = sampled(rows, F.struct("doc_id", "text"), F.col("lang"), SAMPLE_TEXTS).select("lang", "text", "draw").collect()
+    rows = sampled(rows, F.struct("doc_id", "text"), "lang", SAMPLE_TEXTS).select("lang", "text", "draw").collect()
     halves: tuple[dict, dict] = ({}, {})
     seen = set()
     for row in sorted(rows, key=lambda r: (r.draw, r.text, r.lang)):

@@ -179,7 +179,7 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, toxic) rows; null texts and labels are ignored. About SAMPLE_DOCS a label are read."""
     rows = labelled.select("doc_id", "text", "toxic").where("text is not null and toxic in (0, 1)").where(F.length("text") <= SAMPLE_CHARS)
-    rows = sampled(rows, F.struct("doc_id", "text"), F.col("toxic"), SAMPLE_DOCS).select("text", "toxic", "draw").collect()
+    rows = sampled(rows, F.struct("doc_id", "text"), "toxic", SAMPLE_DOCS).select("text", "toxic", "draw").collect()
     rows = sorted(rows, key=lambda r: (r.draw, r.text))
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64))
 
