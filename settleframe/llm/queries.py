@@ -35,8 +35,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    marks = _table(spark, sf_dir, "labels").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(marks, "doc_id"))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     out = toxicity.scored(docs.select("doc_id", "text"), model)
     score = F.col("toxicity.score")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -176,10 +176,15 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, toxic) rows; null texts and labels are ignored. About SAMPLE_DOCS a label are read."""
-    rows = labelled.select("doc_id", "text", "toxic").where("text is not null and toxic in (0, 1)").where(F.length("text") <= SAMPLE_CHARS)
-    rows = sampled(rows, F.struct("doc_id", "text"), "toxic", SAMPLE_DOCS).select("text", "toxic", "draw").collect()
+def fit(docs: DataFrame, marks: DataFrame) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``marks`` (doc_id, toxic). About SAMPLE_DOCS ids a label are drawn, by a hash.
+
+    Null texts and ids, and labels other than 0 and 1, are ignored; of an id's labels the greatest holds. The drawn ids
+    are few by construction, so they are broadcast and no text is shuffled.
+    """
+    ids = marks.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = sampled(ids, F.col("doc_id"), "toxic", SAMPLE_DOCS)
+    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("text", "toxic", "draw").collect()
     rows = sorted(rows, key=lambda r: (r.draw, r.text))
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64))
 
