@@ -19,10 +19,11 @@ from .folds import sampled
 from .runtime import ready
 from .textbytes import BASE, WORDLIKE, Slice, mix, powers, slices, words
 
-SAMPLE_DOCS = 3000  # labelled documents read for each label, at most about so many
-SAMPLE_CHARS = 20_000  # longer documents aren't sampled
+SAMPLE_DOCS = 2500  # labelled documents read for each label, at most about so many
+SAMPLE_CHARS = 8_000  # longer documents aren't sampled
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 6
+LEAST_HELD = 50  # texts of each label that the calibration needs
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 2048, 0.5
 RESULT = "struct<score:double,logit:double>"
 
@@ -86,21 +87,29 @@ class Model:
 
 
 def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training bags: bucket ids, bounds of the bags, and each bag's text."""
-    buckets, bags, docs, at = [], [], [], 0
-    for piece in slices(pa.array(texts, pa.string())):
+    """Training bags: bucket ids, bounds of the bags, and each bag's text. Small slices keep the driver's memory low."""
+    buckets, sizes, docs = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for piece in slices(pa.array(texts, pa.string()), 1 << 18):
         ids, owners, first = _grams(piece)
-        doc = np.repeat(np.arange(piece.n), np.diff(first))
-        number = (np.arange(len(doc)) - first[doc]) // SPAN
         per = -(-np.diff(first) // SPAN)
-        bag = (np.cumsum(per) - per)[doc] + number if len(doc) else np.zeros(0, dtype=np.int64)
-        buckets.append(ids)
-        bags.append(bag[owners] + at if len(doc) else np.zeros(0, dtype=np.int64))
+        doc = np.repeat(np.arange(piece.n), np.diff(first))
+        bags = ((np.cumsum(per) - per)[doc] + (np.arange(len(doc)) - first[doc]) // SPAN)[owners]
+        buckets.append(ids[np.argsort(bags, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(bags, minlength=int(per.sum())))
         docs.append(np.repeat(np.arange(piece.n), per) + piece.first)
-        at += int(per.sum())
-    ids, bags, docs = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (buckets, bags, docs))
-    order = np.argsort(bags, kind="stable")
-    return ids[order], np.searchsorted(bags[order], np.arange(at + 1)), docs
+    return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(docs)
+
+
+def _means(margin: np.ndarray, ids: np.ndarray, bounds: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Each bag's mean margin; without n-grams minus infinity."""
+    out = np.full(len(bounds) - 1, -np.inf)
+    for k in range(0, len(out), step):
+        part = bounds[k : k + step + 1]
+        sums = np.concatenate([[0.0], np.cumsum(margin[ids[part[0] : part[-1]]])])
+        size = np.diff(part)
+        mean = (sums[part[1:] - part[0]] - sums[part[:-1] - part[0]]) / np.maximum(size, 1)
+        out[k : k + step] = np.where(size > 0, mean, -np.inf)
+    return out
 
 
 def _take(ids: np.ndarray, bounds: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +119,7 @@ def _take(ids: np.ndarray, bounds: np.ndarray, bags: np.ndarray) -> tuple[np.nda
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
-    """Fit embeddings and softmax together by Adagrad; a fifth of the texts calibrates the documents' scores."""
+    """Fit embeddings and softmax together by Adagrad; a fifth of the texts, if it holds enough, calibrates the scores."""
     draw = np.random.default_rng(seed)
     toxic = np.asarray(toxic, dtype=np.int64)
     ids, bounds, docs = _runs(texts)
@@ -118,7 +127,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     if not len(ids) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))))
     held = np.arange(len(texts)) % 5 == 0
-    held &= toxic[held].min() < toxic[held].max() if held.any() else False
+    if min(toxic[held].sum(), (1 - toxic[held]).sum()) < LEAST_HELD:
+        held[:] = False  # too few to calibrate by: all texts do
     usable = np.flatnonzero(~held[docs] & (np.diff(bounds) > 0))
     vectors = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = draw.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
@@ -127,8 +137,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     for turn in range(ROUNDS):
         if turn:  # of a toxic text's runs only the worst, and those nearly as bad, stay toxic
             margin = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
-            run = np.add.reduceat(np.append(margin[ids], 0.0), np.minimum(bounds[:-1], len(ids)))
-            run = np.where(np.diff(bounds) > 0, run / np.maximum(np.diff(bounds), 1), -np.inf)
+            run = _means(margin, ids, bounds)
             best = np.full(len(texts), -np.inf)
             np.maximum.at(best, docs, run)
             middle = np.median(run[np.isfinite(run)])
