@@ -17,7 +17,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least KEEP_QUALITY. The statistics are made again for scoring, so texts aren't shuffled."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id"))
     model = ready(spark).sparkContext.broadcast(quality.fit_labels(quality.measured(docs), labels))
-    return docs.where(quality.quality_score(quality.described("text"), model) >= KEEP_QUALITY)
+    return docs.where(quality.text_score("text", model) >= KEEP_QUALITY)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,6 +134,8 @@ def test_quality(spark):
     stats = quality.measured(rows)
     scores = [r.score for r in quality.scored(stats, quality.fit_labels(stats, labels)).orderBy("doc_id").collect()]
     assert min(scores[:80]) > 0.5 > max(scores[80:120]) and all(0 <= s <= 1 for s in scores)
+    whole = rows.select("doc_id", quality.text_score("text", spark.sparkContext.broadcast(quality.fit_labels(stats, labels))).alias("s")).orderBy("doc_id").collect()
+    assert np.allclose([r.s for r in whole], scores)  # one pass over the texts gives the same scores
     assert quality._monotone(np.array([3.0, 1.0, 2.0, 5.0]), np.ones(4)).tolist() == [2.0, 2.0, 2.0, 5.0]
     assert quality.scored(stats, quality.fit_labels(stats, labels.limit(0))).first().score == 0.5
 
