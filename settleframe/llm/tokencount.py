@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import ready
+from .runtime import ready, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how byte-level BPE cuts a text before merging
@@ -87,5 +87,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The suffix sums of the documents' encoded lengths."""
-    return suffix_sums(histogram(docs, vocabulary))
+    """The suffix sums of the documents' encoded lengths. The histogram is written first: both branches of the sums read it, and texts are encoded once."""
+    return suffix_sums(written(histogram(docs, vocabulary), "lengths"))
