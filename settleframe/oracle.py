@@ -6,6 +6,7 @@ from .functions.columns import BUCKETS
 from .operators.categories import SAMPLE_RULES
 from .operators.chain import BLOCK_BUCKET
 from .operators.tests_of_significance import PRICES, RANGES
+from .oracle_ingest import INGEST_SQL
 from .sources.tables import DUCKDB, STAND_INS
 
 _VIEWS = {name: sql.format(**DUCKDB) for name, sql in STAND_INS.items()}
@@ -226,4 +227,6 @@ ORACLE_SQL: dict[str, str] = {
     "pending_tickers": _sql("select distinct ticker from book_markets where volume >= 100 and ticker not in (select ticker from book_trades)"),
     "interpolate_blocks": _sql("select b + k as block_number, cast(case when k = 0 then ts else ts + floor((nt - ts)*1.0*k/(nb - b)) end as bigint) as ts from (select b, ts, nb, nt, unnest(range(0, coalesce(nb - b, 1))) as k from (select b, ts, lead(b) over (order by b) as nb, lead(ts) over (order by b) as nt from (select block_number as b, cast(floor(epoch(cast(timestamp as timestamp))) as bigint) as ts from blocks where block_number % 1300 = 0)))"),
     "chain_trade_measures": _sql(f"select *, maker_asset_id = '0' as is_buy, {R('''case when (case when maker_asset_id = '0' then taker_amount else maker_amount end) > 0 then (case when maker_asset_id = '0' then maker_amount else taker_amount end)*1.0/nullif(case when maker_asset_id = '0' then taker_amount else maker_amount end, 0) else 0 end''')} as price, {R('''(case when maker_asset_id = '0' then taker_amount else maker_amount end)/1e6''')} as size, case when maker_asset_id = '0' then 'BUY' else 'SELL' end as side, case when maker_asset_id = '0' then taker_asset_id else maker_asset_id end as token from chain_trades"),
+    "volume_chart": _sql("select concat(year(q), ' Q', quarter(q)) as quarter, round(v/1e3, 2) as volume_thousands from (select date_trunc('quarter', created_time) as q, sum(count) as v from book_trades group by 1)"),
 }
+ORACLE_SQL |= INGEST_SQL

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .functions.columns import rounded
+from .functions.columns import chart_table, quarter_label, rounded
 from .operators import book, categories, chain
 from .operators import tests_of_significance as tests
-from .sources import ingest
+from .sources import ingest, landed
 from .sources.tables import Tables, stand_in_tables
 
 Analysis = Callable[[Tables], DataFrame]
@@ -20,6 +21,11 @@ def _blocks(t: Tables) -> DataFrame:
     return ingest.interpolate_blocks(samples)
 
 
+def _volume_chart(t: Tables) -> DataFrame:
+    by = book.volume_over_time(t).select(quarter_label("quarter").alias("quarter"), (F.col("volume") / 1e3).alias("volume"))
+    return chart_table(by, "quarter", {"volume": "volume_thousands"})
+
+
 ANALYSES: dict[str, Analysis] = {
     f.__name__: f
     for f in (
@@ -43,6 +49,7 @@ ANALYSES |= {
     "test_maker_direction": lambda t: tests.maker_direction(t, p_values=False),
     "pending_tickers": lambda t: ingest.pending_tickers(t.book_markets, t.book_trades),
     "interpolate_blocks": _blocks,
+    "volume_chart": _volume_chart,
     "chain_trade_measures": lambda t: ingest.chain_trade_measures(t.chain_trades),
 }
 
@@ -52,3 +59,4 @@ def query(analysis: Analysis) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: query(f) for name, f in ANALYSES.items()}
+QUERIES |= {name: (lambda spark, sf_dir, job=job: rounded(job(spark, sf_dir))) for name, job in landed.JOBS.items()}

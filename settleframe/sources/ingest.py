@@ -48,7 +48,7 @@ def ingest_data_api_trades(raw: DataFrame) -> DataFrame:
     return raw.select(F.coalesce("conditionId", "market", F.lit("")).alias("condition_id"), F.coalesce("side", F.lit("")).alias("side"), _default("size", 0.0, "double"), _default("price", 0.0, "double"), F.coalesce("outcome", F.lit("")).alias("outcome"), _default("timestamp", 0, "bigint"))
 
 
-#: fixed values: topics of the order, AMM buy and AMM sell events
+#: fixed value: topic of the order event
 ORDER_FILLED = "0xd0a08e8c493f9c94f29311604c9de1b4e8c8d4c06bd0c789af57f2d65bfec0f6"
 
 

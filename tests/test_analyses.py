@@ -12,7 +12,7 @@ from settleframe import oracle, registry
 from settleframe.functions import stats
 from settleframe.operators import book, categories
 from settleframe.plans.legs import merged, position_cube
-from settleframe.sources import ingest
+from settleframe.sources import ingest, landed, sinks
 from settleframe.sources.tables import Tables, stand_in_tables
 
 SF = "/root/testdata/sf0.001"
@@ -109,10 +109,10 @@ def test_dedup_and_blocks(spark):
     assert len(got) == 100_003 and [got[99_999 + k] for k in range(5)] == [100, 102, 105, 108, 111] and got[200_001] == 200_113
 
 
-@pytest.mark.parametrize("name", ["win_rate_by_price", "ev_yes_vs_no", "trade_size_by_role", "market_types_topn", "chain_win_rate_by_price", "chain_trades_per_block"])
+@pytest.mark.parametrize("name", ["win_rate_by_price", "ev_yes_vs_no", "trade_size_by_role", "market_types_topn", "chain_win_rate_by_price", "chain_trades_per_block", *oracle.INGEST_SQL])
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for table in ("lineitem", "orders", "events", "nation"):
+    for table in ("lineitem", "orders", "events", "nation", "part"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(oracle.ORACLE_SQL[name])
     columns = sorted(want.columns)
@@ -120,6 +120,22 @@ def test_oracles(spark, name):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.select(*columns).fetchall()))
 
 
+def test_sinks(spark, tmp_path):
+    df = spark.range(25).select("id", F.when(F.col("id") > 0, "x,\"y\"").alias("s")).repartition(1)
+    sinks.write_parquet(df, str(tmp_path / "p"), rows=10)
+    assert len(list((tmp_path / "p").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "p")).count() == 25
+    sinks.write_csv(df, str(tmp_path / "c"))
+    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "c"), schema="id bigint, s string")
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert set(back.collect()) == set(df.collect()) == set(spark.read.schema(df.schema).json(str(tmp_path / "j")).collect())
+
+
+def test_landed_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"conditionId": "a", "size": "1.5"}\nnot json\n{"market": "m", "price": 0.25}\n')
+    got = ingest.ingest_data_api_trades(landed.read_landed(spark, "data_api_trades", str(tmp_path))).collect()
+    assert sorted((r.condition_id, r["size"], r.price) for r in got) == [("", 0.0, 0.0), ("a", 1.5, 0.0), ("m", 0.0, 0.25)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["price", "total_trades", "wins", "win_rate"] and set(entry.oracle_sql()) <= set(entry.queries())
     assert stand_in_tables(spark, SF).book_trades.count() > 0
