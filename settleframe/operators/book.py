@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS, hour_of, interval95, price_bucket, quarter, ratio, variance
 from ..functions.stats import normal_two_sided_p
-from ..plans.legs import legs, moments, position_cube, two_legs
+from ..plans.legs import by_role, legs, moments, position_cube, two_legs
 from ..sources.tables import Tables
 
 
@@ -37,21 +37,21 @@ def mispricing_by_price(t: Tables) -> DataFrame:
     return out
 
 
-def _returns(prefix: str) -> list[Column]:
-    n, var = F.col("n"), variance(F.col("n"), F.col("se"), F.col("se2")) / 1e4
-    excess, error = ratio(F.col("se"), n, 0.01), F.sqrt(var / n)
+def _returns(role: str) -> list[Column]:
+    c = lambda name: F.col(f"{role}_{name}")
+    n, var = c("n"), variance(c("n"), c("se"), c("se2")) / 1e4
+    excess, error = ratio(c("se"), n, 0.01), F.sqrt(var / n)
     return [
-        ratio(F.col("won"), n).alias(f"{prefix}_win_rate"), (F.col("price") / 100).alias(f"{prefix}_expected"), excess.alias(f"{prefix}_excess"), var.alias(f"{prefix}_var"),
-        n.alias(f"{prefix}_n"), (F.col("cp") / 100).alias(f"{prefix}_volume_usd"), (F.col("ce") / 100).alias(f"{prefix}_pnl"), error.alias(f"{prefix}_se"),
-        (excess / F.nullif(error, F.lit(0.0))).alias(f"{prefix}_z"),
+        ratio(c("won"), n).alias(f"{role}_win_rate"), (F.col("price") / 100).alias(f"{role}_expected"), excess.alias(f"{role}_excess"), var.alias(f"{role}_var"),
+        n.alias(f"{role}_n"), (c("cp") / 100).alias(f"{role}_volume_usd"), (c("ce") / 100).alias(f"{role}_pnl"), error.alias(f"{role}_se"),
+        (excess / F.nullif(error, F.lit(0.0))).alias(f"{role}_z"),
     ]
 
 
 def maker_vs_taker_returns(t: Tables, p_values: bool = True) -> DataFrame:
     """Excess return, spread, volume and profit at each price from 1 to 99 that both roles trade; z and two-sided p."""
     by = book_legs(t).where(F.col("price").between(1, 99)).groupBy("role", "price").agg(*moments())
-    taker = by.where("role = 'taker'").select("price", *_returns("taker"))
-    out = taker.join(by.where("role = 'maker'").select("price", *_returns("maker")), "price")
+    out = by_role(by, "price").select("price", *_returns("taker"), *_returns("maker"))
     if p_values:
         out = out.withColumn("taker_p", normal_two_sided_p("taker_z")).withColumn("maker_p", normal_two_sided_p("maker_z"))
     return out
@@ -181,10 +181,13 @@ def price_bucket_share_pivot(t: Tables, least_usd: int = 1_000_000) -> DataFrame
 def maker_taker_gap_over_time(t: Tables, least: int = 1000) -> DataFrame:
     """Mean excess by quarter of both roles, each with enough legs, in percentage points, and maker minus taker."""
     by = book_legs(t).groupBy(quarter("created_time").alias("quarter"), "role").agg(*moments()).where(F.col("n") >= least)
-    excess, var = ratio(F.col("se"), F.col("n")), variance(F.col("n"), F.col("se"), F.col("se2"))
-    se, low, high = interval95(excess, var, F.col("n"))
-    side = lambda r: by.where(F.col("role") == r).select("quarter", excess.alias(f"{r}_excess_pp"), F.col("n").alias(f"{r}_n"), (F.col("cp") / 100).alias(f"{r}_volume"), se.alias(f"{r}_se_pp"), low.alias(f"{r}_ci_low"), high.alias(f"{r}_ci_high"))
-    return side("taker").join(side("maker"), "quarter").withColumn("gap_pp", F.col("maker_excess_pp") - F.col("taker_excess_pp"))
+    cols = []
+    for r in ("taker", "maker"):
+        n, s, s2 = (F.col(f"{r}_{c}") for c in ("n", "se", "se2"))
+        excess = ratio(s, n)
+        se, low, high = interval95(excess, variance(n, s, s2), n)
+        cols += [excess.alias(f"{r}_excess_pp"), n, (F.col(f"{r}_cp") / 100).alias(f"{r}_volume"), se.alias(f"{r}_se_pp"), low.alias(f"{r}_ci_low"), high.alias(f"{r}_ci_high")]
+    return by_role(by, "quarter").select("quarter", *cols).withColumn("gap_pp", F.col("maker_excess_pp") - F.col("taker_excess_pp"))
 
 
 def meta_stats(t: Tables) -> DataFrame:

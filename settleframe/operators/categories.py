@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, ratio
-from ..plans.legs import moments
+from ..plans.legs import by_role, moments, resolved
 from ..sources.tables import Tables
 from .book import book_legs
 
@@ -39,11 +39,12 @@ def maker_taker_returns_by_category(t: Tables, rules: DataFrame | None = None) -
     """Excess of both roles by group, the categories' means weighted by contracts, in percentage points."""
     rules = rules if rules is not None else rules_table(t.book_trades.sparkSession)
     by = book_legs(t).groupBy("category", "role").agg(*moments())
-    side = lambda r: by.where(F.col("role") == r).select("category", ratio(F.col("se"), F.col("n"), 0.01).alias(f"{r}_x"), F.col("contracts").alias(f"{r}_c"), F.col("n").alias(f"{r}_n"), F.col("cp").alias(f"{r}_cp"), F.col("ce").alias(f"{r}_ce"))
-    both = classify(side("taker").join(side("maker"), "category"), rules)
+    classes = classify(resolved(t.book_markets).select("category").distinct(), rules)  # from the markets, so trades are read once
+    both = by_role(by, "category").join(classes, "category")
     cols = []
     for r in ("taker", "maker"):
-        cols += [(100 * F.sum(F.col(f"{r}_x") * F.col(f"{r}_c")) / F.sum(f"{r}_c")).alias(f"{r}_excess_pp"), F.sum(f"{r}_n").alias(f"{r}_n"), (F.sum(f"{r}_cp") / 100).alias(f"{r}_volume"), (F.sum(f"{r}_ce") / 100).alias(f"{r}_pnl")]
+        n, c, x = F.col(f"{r}_n"), F.col(f"{r}_contracts"), ratio(F.col(f"{r}_se"), F.col(f"{r}_n"), 0.01)
+        cols += [(100 * F.sum(x * c) / F.sum(c)).alias(f"{r}_excess_pp"), F.sum(n).alias(f"{r}_n"), (F.sum(f"{r}_cp") / 100).alias(f"{r}_volume"), (F.sum(f"{r}_ce") / 100).alias(f"{r}_pnl")]
     return both.groupBy("group").agg(*cols).withColumn("gap_pp", F.col("maker_excess_pp") - F.col("taker_excess_pp"))
 
 

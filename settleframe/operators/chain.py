@@ -89,12 +89,13 @@ def cross_venue_calibration(t: Tables, least: int = 1000, every: int = 2) -> Dat
     book = book_legs(t).where(F.col("price").between(1, 99)).select(F.lit("book").alias("venue"), F.date_trunc("day", "created_time").cast("date").alias("day"), "price", "won")
     chain = priced_legs(t).withColumn("bucket", F.expr(f"block_number div {BLOCK_BUCKET}")).join(bucket_times(t), "bucket").select(F.lit("chain").alias("venue"), F.to_date("ts").alias("day"), "price", "won")
     by = book.unionByName(chain).where("day is not null").groupBy("venue", "day", "price").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
-    # what a (venue, price) has by a day is carried to all days on which any leg was traded
-    days = by.select("day").distinct()
-    grid = by.select("venue", "price").distinct().crossJoin(days).join(by, ["venue", "price", "day"], "left")
+    # what a (venue, price) has by a day is carried to all days on which any leg was traded; every reader of the sums by
+    # day asks for both n and w, so that their plans are the same and Spark makes the sums once
+    keys = lambda *names: by.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 0 and w >= 0").select(*names)
+    grid = keys("venue", "price").crossJoin(keys("day")).join(by, ["venue", "price", "day"], "left")
     upto = Window.partitionBy("venue", "price").orderBy("day")
     grid = grid.withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("wins", F.sum(F.coalesce("w", F.lit(0))).over(upto)).where("total > 0")
-    full = grid.groupBy("venue", "day").agg(F.sum("total").alias("all")).groupBy("day").agg(F.max("all").alias("most")).where(F.col("most") >= least)
+    full = grid.groupBy("venue", "day").agg(F.sum("total").alias("all"), F.sum("wins").alias("w")).where("w >= 0").groupBy("day").agg(F.max("all").alias("most")).where(F.col("most") >= least)
     kept = full.withColumn("k", F.row_number().over(Window.orderBy("day"))).where((F.col("k") - 1) % every == 0).select("day")
     return grid.join(kept, "day").select("venue", F.col("day").cast("timestamp_ntz").alias("day"), "price", "total", "wins", ratio(F.col("wins"), F.col("total"), 100).alias("win_rate"))
 

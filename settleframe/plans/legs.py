@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import category
 
 
+MOMENTS = ("n", "won", "contracts", "sp", "se", "se2", "cp", "ce", "cw")
+
+
 def resolved(markets: DataFrame, strict: bool = True) -> DataFrame:
     """Markets with a yes or no result; strict ones are also finalized."""
     found = markets.where(F.col("result").isin("yes", "no"))
@@ -45,6 +48,15 @@ def position_cube(legs_: DataFrame, *keys: str) -> DataFrame:
     return legs_.groupBy(*keys, "role", "side", "price").agg(*moments())
 
 
+def by_role(cube: DataFrame, *keys: str) -> DataFrame:
+    """Moments by keys and role as one row for each key that both roles have: taker_n, maker_n and so on.
+
+    Both roles come from one aggregation of the legs; only its few rows are shuffled again.
+    """
+    sums = [F.sum(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("taker", "maker") for c in MOMENTS]
+    return cube.groupBy(*keys).agg(*sums).where("taker_n is not null and maker_n is not null")
+
+
 def merged(cube: DataFrame, *keys: str) -> DataFrame:
     """A coarser cube from a finer one, or from several put together."""
-    return cube.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "won", "contracts", "sp", "se", "se2", "cp", "ce", "cw")])
+    return cube.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS])

@@ -75,6 +75,12 @@ def test_one_scan(fixture):
     assert "Cartesian" not in plan and plan.count("Generate") <= 2
 
 
+@pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category"])
+def test_roles_share_one_scan_of_trades(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+
+
 def test_first_rule_holds(spark):
     rules = categories.rules_table(spark, [("AB", "one", "m", "s"), ("ABC", "two", "m", "s")])
     got = {r.category: r.group for r in categories.classify(spark.createDataFrame([("xabc",), ("zz",)], "category string"), rules).collect()}
