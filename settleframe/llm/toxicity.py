@@ -70,10 +70,10 @@ class Model:
         if not n:
             return top
         each = np.bincount(owners, self.weight[buckets], n)
-        each[1:][each[1:] == each[:-1]] = 0  # a word said again and again counts once
+        doc = np.repeat(np.arange(piece.n), np.diff(first))
+        each[1:][(each[1:] == each[:-1]) & (doc[1:] == doc[:-1])] = 0  # a word said again and again in one text counts once
         total = np.concatenate([[0.0], np.cumsum(each)])
         count = np.concatenate([[0.0], np.cumsum(np.bincount(owners, minlength=n))])
-        doc = np.repeat(np.arange(piece.n), np.diff(first))
         begin = np.arange(n)
         end = np.minimum(begin + SPAN, first[doc + 1])
         begin = np.maximum(np.minimum(begin, end - SPAN), first[doc])  # the last runs are whole if the text has so many words

@@ -100,6 +100,20 @@ def test_toxicity():
     assert flat.weight.max() == 0
 
 
+def test_toxicity_of_a_text_does_not_depend_on_the_text_before_it():
+    bad = "idiot"
+    weight = np.zeros(toxicity.BUCKETS)
+    for piece in toxicity.slices(pa.array([bad])):
+        weight[toxicity._grams(piece)[0]] = 4.0
+    model = toxicity.Model(weight, -2.0)
+    texts = [bad, bad, bad, f"{bad} w1 w2 w3 w4 {bad}", f"{bad} w5 w6", None, bad, "", bad, f"{bad} {bad} w1"]
+    alone = [float(model.worst(p)[0]) for t in texts for p in toxicity.slices(pa.array([t], pa.string()))]
+    together = np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(texts, pa.string()))])
+    assert np.allclose(together, alone) and (model.score(together[:3]) > 0.5).all()
+    again = np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(texts[::-1], pa.string()))])
+    assert np.allclose(again[::-1], alone)
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/x", "https://m.example.com/en/", "http://example.com", "http://a.net/es/1?q=/x", "http://net/fr/", "nonsense", None, "http://x.org/", "http://ads-1.ads-track.org/", "http://evil.org/.com/", "x://a.b.com/" + "z" * 5000, "://#"]
     got = urlfilter.filtered(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id bigint, url string, host string")).orderBy("page_id").collect()
