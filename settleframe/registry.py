@@ -17,7 +17,7 @@ Analysis = Callable[[Tables], DataFrame]
 
 
 def _blocks(t: Tables) -> DataFrame:
-    samples = t.blocks.selectExpr("block_number", "unix_timestamp(cast(timestamp as timestamp)) as ts").where("block_number % 1300 = 0")
+    samples = t.blocks.selectExpr("block_number", "unix_timestamp(cast(timestamp as timestamp)) as ts")
     return ingest.interpolate_blocks(samples)
 
 

@@ -115,6 +115,16 @@ def test_dedup_and_blocks(spark):
     assert len(got) == 100_003 and [got[99_999 + k] for k in range(5)] == [100, 102, 105, 108, 111] and got[200_001] == 200_113
 
 
+def test_registered_blocks_keep_every_recorded_time(spark):
+    recorded = stand_in_tables(spark, SF).blocks.selectExpr("block_number", "unix_timestamp(cast(timestamp as timestamp)) as ts").collect()
+    samples = sorted((r.block_number, r.ts) for r in recorded)
+    want = dict(samples)
+    for (a, ta), (b, tb) in zip(samples, samples[1:], strict=False):
+        want |= {block: ta + (tb - ta) * (block - a) // (b - a) for block in range(a, b)}
+    got = [(r.block_number, r.ts) for r in registry.QUERIES["interpolate_blocks"](spark, SF).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 @pytest.mark.parametrize("name", ["win_rate_by_price", "ev_yes_vs_no", "trade_size_by_role", "market_types_topn", "chain_win_rate_by_price", "chain_trades_per_block", *oracle.INGEST_SQL])
 def test_oracles(spark, name):
     con = duckdb.connect()
