@@ -19,7 +19,7 @@ SAMPLE_CHARS = 50_000  # longer texts aren't sampled
 DICTIONARY_BYTES = 1 << 15  # raw content kept for each language
 PASSAGE_BYTES = 256  # of each sampled text
 PIECE_BYTES = 1 << 11  # whole texts are compressed in pieces of this size, each from the bare dictionary
-LEVEL, FINE = 6, 19  # short texts with a narrow margin are judged again at the fine level, which finds shorter matches
+LEVEL, FINE = 6, 19  # texts with a narrow margin are judged again at the fine level, which finds shorter matches
 NARROW = 0.004  # second smallest over smallest, less 1: below this the text is rejected
 RESULT = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 
@@ -115,7 +115,7 @@ def language(text: Column | str, dictionaries: Dictionaries):
                     rows.append(("und", 0.0, 0.0, True))
                     continue
                 lang, margin = dictionaries.judge(plain := _plain(text), compressors)
-                if margin < NARROW and len(plain) <= PIECE_BYTES:
+                if margin < NARROW:
                     lang, margin = dictionaries.judge(plain, fine)
                 rows.append((lang, 1 - math.exp(-margin / 0.02), margin, margin < NARROW))
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())

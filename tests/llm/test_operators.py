@@ -72,6 +72,20 @@ def test_language(spark):
     assert langid.identified(docs(spark, ["abc"]), empty, "l").first().l.lang == "und"
 
 
+def test_language_of_long_texts_with_a_narrow_margin_is_judged_finely(spark):
+    alphabet = {"en": "the of and with under over", "de": "der die und mit unter über"}
+    draw = random.Random(4)
+    prose = lambda lang, n: [draw.choice(alphabet[lang].split()) + draw.choice(["", "e", "s"]) for _ in range(n)]
+    model = langid.fit(docs(spark, [" ".join(prose(lang, 30)) for lang in alphabet for _ in range(40)], [lang for lang in alphabet for _ in range(40)]))
+    texts = [" ".join(draw.sample(mixed := prose("en", 350 + k) + prose("de", 650 - k), len(mixed))) for k in range(0, 300, 3)]
+    plains = [langid._plain(t) for t in texts]
+    coarse, fine = ([model.judge(p, model.compressors(level)) for p in plains] for level in (langid.LEVEL, langid.FINE))
+    want = [b if a[1] < langid.NARROW else a for a, b in zip(coarse, fine, strict=True)]
+    assert min(map(len, plains)) > langid.PIECE_BYTES and want != coarse
+    got = [r.l for r in langid.identified(docs(spark, texts), model, "l").orderBy("doc_id").collect()]
+    assert [(r.lang, r.margin, r.rejected) for r in got] == [(lang, margin, margin < langid.NARROW) for lang, margin in want]
+
+
 def test_warc(spark):
     rows = [(3, "http://a/\r\nX: y", "same"), (1, None, "same"), (2, "http://b", None), (5, "u", ""), (4, "é", "ü" * 200_000), (7, "u", "same"), (7, "u", "same"), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, shard int")
