@@ -15,7 +15,7 @@ from .folds import sampled
 from .runtime import ready
 
 SAMPLE_TEXTS = 400  # labelled texts read for each language, at most about so many
-SAMPLE_CHARS = 50_000  # longer texts aren't sampled
+SAMPLE_CHARS = 50_000  # of a longer text, its middle
 DICTIONARY_BYTES = 1 << 15  # raw content kept for each language
 PASSAGE_BYTES = 256  # of each sampled text
 PIECE_BYTES = 1 << 11  # whole texts are compressed in pieces of this size, each from the bare dictionary
@@ -77,10 +77,12 @@ def fit(labelled: DataFrame) -> Dictionaries:
     """Dictionaries from (doc_id, text, lang) rows; rows with a null text or lang, or no letter in the text, are ignored.
 
     About SAMPLE_TEXTS texts a language are read, chosen by a hash of id and text. Two halves then judge each other, and
-    texts whose label the other half contradicts are left out of the final dictionaries.
+    texts whose label the other half contradicts are left out of the final dictionaries. Of a text over SAMPLE_CHARS its
+    middle is read.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.length("text") <= SAMPLE_CHARS)
-    rows = sampled(rows, F.struct("doc_id", "text"), "lang", SAMPLE_TEXTS).select("lang", "text", "draw").collect()
+    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"(length(text) - {SAMPLE_CHARS}) div 2 + 1")).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = sampled(rows, F.struct("doc_id", "text"), "lang", SAMPLE_TEXTS).select("lang", middle.alias("text"), "draw").collect()
     halves: tuple[dict, dict] = ({}, {})
     seen = set()
     for row in sorted(rows, key=lambda r: (r.draw, r.text, r.lang)):

@@ -20,7 +20,7 @@ from .runtime import ready
 from .textbytes import BASE, WORDLIKE, Slice, mix, powers, slices, words
 
 SAMPLE_DOCS = 2500  # labelled documents read for each label, at most about so many
-SAMPLE_CHARS = 8_000  # longer documents aren't sampled
+SAMPLE_CHARS, PASSAGES = 8_000, 8  # of a longer document, so many passages at equal steps, SAMPLE_CHARS in all
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 6
 LEAST_HELD = 50  # texts of each label that the calibration needs
@@ -189,11 +189,15 @@ def fit(docs: DataFrame, marks: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) and ``marks`` (doc_id, toxic). About SAMPLE_DOCS ids a label are drawn, by a hash.
 
     Null texts and ids, and labels other than 0 and 1, are ignored; of an id's labels the greatest holds. The drawn ids
-    are few by construction, so they are broadcast and no text is shuffled.
+    are few by construction, so they are broadcast and no text is shuffled. Documents over SAMPLE_CHARS are read in part,
+    so a toxic one's insult may be missed; the later rounds of training look past such runs.
     """
     ids = marks.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled(ids, F.col("doc_id"), "toxic", SAMPLE_DOCS)
-    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").select("text", "toxic", "draw").collect()
+    size = SAMPLE_CHARS // PASSAGES
+    passages = F.expr(f"array_join(transform(sequence(0, {PASSAGES - 1}), k -> substring(text, cast(1 + k * (length(text) - {size}) div {PASSAGES - 1} as int), {size})), ' ')")
+    read = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(passages)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select(read.alias("text"), "toxic", "draw").collect()
     rows = sorted(rows, key=lambda r: (r.draw, r.text))
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64))
 

@@ -128,6 +128,20 @@ def test_toxicity_of_a_text_does_not_depend_on_the_text_before_it():
     assert np.allclose(again[::-1], alone)
 
 
+def test_long_labelled_documents_are_learned_from(spark):
+    bad = [" ".join([*words(6, k), "dreadful"] * 400) for k in range(60)]
+    clean = [" ".join(words(60, k + 100)) for k in range(120)]
+    assert min(map(len, bad)) > toxicity.SAMPLE_CHARS
+    marks = spark.createDataFrame([(k, int(k < 60)) for k in range(180)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, bad + clean), marks)
+    score = model.score(np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(bad + clean))]))
+    assert score[:60].min() > 0.5 > score[60:].max()
+    long = "der die und mit unter über " * 2000
+    assert len(long) > langid.SAMPLE_CHARS
+    known = langid.fit(docs(spark, [*[" ".join(words(60, k)) for k in range(20)], *[f"{long} {k}" for k in range(4)]], ["xx"] * 20 + ["de"] * 4))
+    assert list(known.content) == ["de", "xx"] and langid.identified(docs(spark, ["unter und über der"]), known, "l").first().l.lang == "de"
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/x", "https://m.example.com/en/", "http://example.com", "http://a.net/es/1?q=/x", "http://net/fr/", "nonsense", None, "http://x.org/", "http://ads-1.ads-track.org/", "http://evil.org/.com/", "x://a.b.com/" + "z" * 5000, "://#"]
     got = urlfilter.filtered(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id bigint, url string, host string")).orderBy("page_id").collect()
