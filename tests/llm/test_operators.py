@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, tokencount, toxicity, urlfilter, warc
+from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, ranges, tokencount, toxicity, urlfilter, warc
 from settleframe.llm.runtime import scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, value string, draw string, grp string"
@@ -151,21 +151,90 @@ def test_url_filter(spark):
     assert urlfilter.fits(automaton, [b"aZZbcd", b"abcd", b"abd", b"q" + b"x" * 71, b"ab", b""]).tolist() == [[True, False, False], [True, False, False], [False] * 3, [False, True, False], [False, False, True], [False] * 3]
 
 
-def test_fingerprints(spark):
-    texts = ["abc" * 50, "abd" * 50, None, "", "ü😀" * 40, "short", "abc" * 50, " ".join(words(300, 1))]
-    got = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, texts), rows=2).collect()}
-    assert len(got) == len(texts) and got[0].fingerprint == got[6].fingerprint
-    for k, text in enumerate(texts):
-        text, after = text or "", texts[(k - 1) % len(texts)] or ""
-        keep = len(text) - len(text) // 3
-        edited = text[:keep] + after[: len(text) // 3]
-        assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[k].fingerprint == fingerprint.fingerprint_of(text) and got[k].edited_fingerprint == fingerprint.fingerprint_of(edited)
-        assert got[k].common_edited == next((j for j, (a, b) in enumerate(zip(text, edited, strict=False)) if a != b), min(len(text), len(edited)))
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+def brute_likeness(a, b, kept=fingerprint.KEPT):
+    """Likeness of two texts without prefix arrays: kept spans by their hashes, common runs by comparing slices."""
+    if a == b:
+        return 1.0
+    spans = []
+    for text in (a, b):
+        width = min(fingerprint.SPAN, len(text))
+        found = {}
+        for k in range(len(text) - width + 1 if width else 0):
+            found.setdefault(text[k : k + width], k)
+        score = {s: fingerprint.prints([s])[1][0].span[0] for s in found}
+        spans.append((found, score, sorted(score.values())[kept - 1] if len(found) >= kept else 1 << 32))
+    limit = min(spans[0][2], spans[1][2])
+    here, there = ({s: k for s, k in f.items() if h[s] <= limit} for f, h, _ in spans)
+    order, those = sorted(here, key=here.get), sorted(there, key=there.get)
+    covered, done, i = 0, 0, 0
+    while i < len(order):
+        if order[i] not in there:
+            i += 1
+            continue
+        k, m, j, more = here[order[i]], there[order[i]], those.index(order[i]), 0
+        # as long as the next kept spans of both are the same text behind the same text
+        while i + more + 1 < len(order) and j + more + 1 < len(those):
+            q, r = here[order[i + more + 1]], there[those[j + more + 1]]
+            if order[i + more + 1] != those[j + more + 1] or a[k:q] != b[m:r]:
+                break
+            more += 1
+        q, r = here[order[i + more]], there[those[j + more]]
+        begin = 0 if a[:k] == b[:m] else k
+        end = len(a) if a[q:] == b[r:] else min(len(a), q + fingerprint.SPAN)
+        covered, done, i = covered + max(0, end - max(begin, done)), max(done, end), i + more + 1
+    return min(1.0, 2 * covered / (len(a) + len(b)))
+
+
+def test_fingerprints(spark, monkeypatch):
+    texts = ["abc" * 50, "abd" * 50, None, "", "ü😀" * 40, "short", "abc" * 50, " ".join(words(300, 1)), " ".join(words(3000, 2)), "a" * 5000, "short"]
+    for piece in (fingerprint.PIECE_CHARS, 100):  # all texts in one piece, and pieces of few texts
+        monkeypatch.setattr(fingerprint, "PIECE_CHARS", piece)
+        got = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, texts), part_bytes=300).collect()}
+        assert len(got) == len(texts) and got[0].fingerprint == got[6].fingerprint
+        for k, text in enumerate(texts):
+            text, after = text or "", texts[(k - 1) % len(texts)] or ""
+            keep = len(text) - len(text) // 3
+            edited = text[:keep] + after[: len(text) // 3]
+            assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert got[k].fingerprint == fingerprint.fingerprint_of(text) and got[k].edited_fingerprint == fingerprint.fingerprint_of(edited)
+            assert got[k].common_edited == next((j for j, (a, b) in enumerate(zip(text, edited, strict=False)) if a != b), min(len(text), len(edited)))
+            assert got[k].near_edited == pytest.approx(brute_likeness(text, edited)) and got[k].near_next == pytest.approx(brute_likeness(text, after))
+    assert got[8].near_edited > 0.55 and got[8].near_next < 0.1
     assert fingerprint.fingerprints(docs(spark, texts).limit(0)).count() == 0
-    a, b = (fingerprint.Prefix(fingerprint.code_points(x)) for x in ("xxhello", "hello world"))
-    assert a.common_extension(2, b, 0) == 5 and a.equal(2, b, 0, 5) and not a.equal(1, b, 0, 5)
+    alone = fingerprint.fingerprints(docs(spark, ["only one text"])).first()
+    assert alone.near_next == 1.0
+    parsed = fingerprint.Print.parsed(got[7].fingerprint)
+    assert str(parsed) == got[7].fingerprint and fingerprint.likeness(parsed, parsed) == 1.0
+
+
+def test_spans_and_extensions_of_prefix_arrays():
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abé😀") for _ in range(draw.randrange(60))) for _ in range(40)] + ["", "xxhello", "hello world"]
+    p = fingerprint.Prefixes(texts)
+    for _ in range(300):
+        a, b = draw.randrange(len(texts)), draw.randrange(len(texts))
+        i, j = draw.randrange(len(texts[a]) + 1), draw.randrange(len(texts[b]) + 1)
+        most = min(len(texts[a]) - i, len(texts[b]) - j)
+        want = next((k for k in range(most) if texts[a][i + k] != texts[b][j + k]), most)
+        at, to = p.begin[[a]] + i, p.begin[[b]] + j
+        assert p.common_extension(at, p, to, np.array([most]))[0] == want
+        assert p.equal(at, p, to, np.array([most]))[0] == (want == most)
+
+
+def test_ranges_follow_bytes_not_ids(spark):
+    texts = [" ".join(words(30, k)) for k in range(400)]
+    dense = docs(spark, texts)
+    far = dense.withColumn("doc_id", F.when(F.col("doc_id") == 399, F.lit(9 * 10**15)).otherwise(F.col("doc_id")))
+    nulls = dense.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    shares = []
+    for rows in (dense, far, nulls):
+        down, name = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), F.xxhash64("text")
+        cut = ranges.ranges(rows, down, name, F.octet_length("text"), 4000)
+        keyed = rows.select(down.alias("a"), name.alias("b")).withColumn("k", cut.of(F.col("a"), F.col("b"))).orderBy("a", "b").collect()
+        assert [r.k for r in keyed] == sorted(r.k for r in keyed) and {r.k for r in keyed} == set(range(cut.n))
+        assert all((r.a, r.b) == (cut.firsts[r.k], cut.seconds[r.k]) for r, before in zip(keyed[1:], keyed, strict=False) if r.k != before.k)
+        shares.append((cut.n, max(sum(r.k == k for r in keyed) for k in range(cut.n))))
+    assert shares[0][0] == shares[1][0] == shares[2][0] > 5 and max(s[1] for s in shares) < 60
 
 
 def test_quality(spark):
