@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

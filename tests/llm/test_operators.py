@@ -56,6 +56,29 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(docs(spark, [None, ""])).count() == 2
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (1, " ".join(a)), (None, " ".join([*a, "z"])), (None, "no other text is like this one here"), (4, None), (4, None)]
+    made = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id bigint, text string, set_name string, cls int")
+    got = near_dups.near_duplicates(made).collect()
+    assert len(got) == len(rows)
+    found = sorted(((r.doc_id, r.component_id, r.kept, r.chosen) for r in got), key=str)
+    want = [(1, 1, True, True)] * 3 + [(2, 1, False, False), (3, 1, False, False), (None, 1, False, False), (None, None, False, True)] + [(4, 4, True, True)] * 2
+    assert found == sorted(want, key=str)
+    assert len({r.row_key for r in got if r.doc_id == 1}) == 2
+
+
+def test_collisions_by_merging_and_probing_are_all_collisions():
+    draw = np.random.default_rng(2)
+    rows = [np.unique(draw.integers(0, 40, 16)).astype(np.uint64) for _ in range(60)]
+    lists = near_dups._Lists(rows)
+    for i, row in enumerate(rows):
+        count = np.array([len(np.intersect1d(row, other)) for other in rows])
+        for match in (1, 4, 9, 99):
+            found, hits = lists.hits(i, match)
+            assert found.tolist() == np.flatnonzero(count >= match).tolist() and hits.tolist() == count[found].tolist()
+
+
 def test_language(spark):
     alphabet = {"en": "the of and with under over", "de": "der die und mit unter über", "fr": "le de et avec sous près"}
     draw, texts, langs = random.Random(3), [], []
