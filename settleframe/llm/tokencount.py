@@ -3,45 +3,78 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
-from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import ready, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY_BYTES = 64 << 20  # a larger file isn't sent to executors
 #: fixed value: how byte-level BPE cuts a text before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-STEP = 1024  # lengths in a group of the two-level sums
+STEP = 64  # lengths in a group of the two-level sums
+#: fixed value: white space as the pattern's engine has it
+_BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = 10_000  # a longer run of white space would overflow the pattern engine's stack, so it is cut by hand
+_LONG = re.compile(f"[{_BLANKS}]{{{LONG_BLANK},}}")
+_encoders: dict[int, object] = {}
 
 
-@cache
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: Broadcast):
+    """The encoder of a broadcast vocabulary file, made once a worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    content = vocabulary.value
+    key = hash(content)
+    if key not in _encoders:
+        ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in content.splitlines() if line.strip())}
+        _encoders.clear()
+        _encoders[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
-def encoded_length(text, vocabulary: str = VOCABULARY):
-    """A long column: tokens of the whole text; null and empty have none. ``vocabulary`` must be on every executor."""
+def tokens(encoder, text: str) -> int:
+    """How many tokens the whole text has.
+
+    The pattern takes a run of white space as one piece, but for its last character if text follows: that one may begin
+    the next piece. A long run is cut there by hand, which gives the same pieces.
+    """
+    total, at = 0, 0
+    for run in _LONG.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
+def vocabulary_of(spark: SparkSession, path: str = VOCABULARY) -> Broadcast:
+    """The vocabulary file, read by the driver and sent to the executors; its size is checked."""
+    if Path(path).stat().st_size > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
+
+
+def encoded_length(text: Column | str, vocabulary: Broadcast) -> Column:
+    """A long column: tokens of the whole text; null and empty have none."""
 
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(vocabulary)
         for column in columns:
-            yield pa.array([len(encoder.encode_ordinary(text)) if text else 0 for text in column.to_pylist()], pa.int64())
+            yield pa.array([tokens(encoder, text) if text else 0 for text in column.to_pylist()], pa.int64())
 
     return F.arrow_udf(count, "long")(text)
 
 
 def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each length. Repeated rows count each; no rows give no rows."""
-    ready(docs.sparkSession)
-    return docs.select(encoded_length("text", vocabulary).alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    sent = vocabulary_of(ready(docs.sparkSession), vocabulary)
+    return docs.select(encoded_length("text", sent).alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
@@ -87,5 +120,9 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The suffix sums of the documents' encoded lengths. The histogram is written first: both branches of the sums read it, and texts are encoded once."""
+    """The suffix sums of the documents' encoded lengths.
+
+    The histogram is written first: both branches of the sums read it, and texts are encoded once. Null and empty texts
+    have length 0; repeated rows each count; an empty table gives no rows; columns besides text are ignored.
+    """
     return suffix_sums(written(histogram(docs, vocabulary), "lengths"))

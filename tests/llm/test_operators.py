@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, ranges, tokencount, toxicity, urlfilter, warc
@@ -320,9 +321,48 @@ def test_mixing(spark):
     assert mixing.mixed(rows.limit(0)).count() == 0
 
 
+def brute_tokens(text, ranks):
+    """Byte-pair merging as it is defined: of each piece, the adjacent pair of the least rank is joined until none has one."""
+    total = 0
+    for piece in regex.findall(tokencount.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        total += len(parts)
+    return total
+
+
+@pytest.fixture(scope="module")
+def encoder(spark):
+    return tokencount._encoder(tokencount.vocabulary_of(spark))
+
+
+def test_encoding_is_byte_pair_merging(encoder):
+    ranks = encoder._mergeable_ranks
+    draw = random.Random(6)
+    texts = ["hello world", "It's  5 o'clock!!\n\n\tnow ", "  ", "\n", "ünï 😀 123abc", " \x1c x", "a\u3000b", "don't   stop   "]
+    texts += ["".join(draw.choice("ab'st \n\t1é!") for _ in range(draw.randrange(80))) for _ in range(120)]
+    assert [tokencount.tokens(encoder, t) for t in texts] == [brute_tokens(t, ranks) for t in texts]
+
+
+def test_long_runs_of_one_kind(encoder, monkeypatch):
+    monkeypatch.setattr(tokencount, "_LONG", re.compile(f"[{tokencount._BLANKS}]{{3,}}"))
+    for run in ("   ", " \n \t ", "\u3000\u3000\u3000", "\n\n\n\n"):
+        for before in ("", "a", "b\x1c", "1"):
+            for after in ("", "a", "'s", "!", "\x1c", " ."[1:]):
+                text = before + run + after + run + "end" + run
+                assert tokencount.tokens(encoder, text) == len(encoder.encode_ordinary(text))
+    monkeypatch.undo()
+    for kind in (" ", "\n", " \n\t", "a", "!", "1", "é", "\u3000"):
+        assert tokencount.tokens(encoder, "x" + kind * 1_500_000 + "y") > 0
+
+
 def test_token_counts(spark):
     texts = ["hello world", "hello world", "", None, "a b c d e f " * 400, "ünï 123"]
-    lengths = [r.n for r in docs(spark, texts).select(tokencount.encoded_length("text").alias("n")).collect()]
+    lengths = [r.n for r in docs(spark, texts).select(tokencount.encoded_length("text", tokencount.vocabulary_of(spark)).alias("n")).collect()]
     assert lengths[0] == lengths[1] == 2 and lengths[2] == lengths[3] == 0
     sums = tokencount.token_counts(docs(spark, texts)).cache()
     for r in sums.collect():
