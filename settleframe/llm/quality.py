@@ -21,6 +21,7 @@ from .textbytes import WORDLIKE, mix, slices, words
 
 FEATURES, WIDTH, RIDGE = 192, 3.0, 1e-2
 BINS = 1000  # of raw scores, for the calibration
+GROUPS = 64  # partitions' sums are first added up in so many groups
 NAMES = (
     "log_bytes", "log_words", "word_length", "word_length_sd", "upper", "digits", "symbols", "beyond_ascii", "spaces", "line_ends",
     "log_line_length", "distinct_words", "again", "pairs_again", "marks_by_word", "long_words",
@@ -153,7 +154,10 @@ def fit(labelled: DataFrame) -> Model:
         return model
     model.centre, spread = np.array(first[2 : 2 + size]), np.array(first[2 + size :])
     model.scale = np.where(spread > 1e-9, spread, 1.0)
-    sums = rows.mapInArrow(_sums(model), "i long, sums array<double>").groupBy("i").applyInPandas(_added, "i long, sums array<double>").collect()
+    shape = "i long, sums array<double>"
+    parts = rows.mapInArrow(_sums(model), shape).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    groups = parts.groupBy("i", "group").applyInPandas(_added, shape)
+    sums = groups.groupBy("i").applyInPandas(_added, shape).collect()
     total = np.array([r.sums for r in sorted(sums)])
     gram, right = total[:, :-1], total[:, -1]
     model.weight = np.linalg.solve(gram + RIDGE * first[0] / len(gram) * np.eye(len(gram)), right)
