@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_VALUES = 10_000  # labels or languages that a sample may have
+
 
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text is a multiple of 5; a null id is held out, so nothing is learned from it."""
@@ -15,10 +17,12 @@ def held_out(doc_id: Column | str) -> Column:
 def sampled(rows: DataFrame, key: Column, by: str, per_value: int) -> DataFrame:
     """About ``per_value`` rows of each value of the column ``by``, chosen by a hash of ``key``: the same rows in every run.
 
-    The values of ``by`` are counted first, one row for each on the driver, so it has to be a label or a language. The
-    shares are literals in the filter: nothing is shuffled.
+    The values of ``by`` are counted first, one row for each on the driver, so it has to be a label or a language: beyond
+    MOST_VALUES it is an error. The shares are literals in the filter: nothing is shuffled.
     """
-    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().collect()
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().limit(MOST_VALUES + 1).collect()
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"{by} has more than {MOST_VALUES} values: it is no label")
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[by], per_value / r["count"])]) if counts else F.lit(None).cast("map<string,double>")
     draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("draw", draw).where(F.col("draw") < (share[F.col(by)] if counts else F.lit(0.0)))
