@@ -1,24 +1,23 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 A source's documents are hashed into blocks. Its target is met by whole passes over all its blocks, and by a partial pass
-over blocks in a permuted order, of which the last is filled document by document. Output shards come from a splitting
-tree: at each node the numbers of blocks that each source still has to place are divided between the two halves by a
-multivariate hypergeometric draw, down to a quota for each shard and source. Shards then take disjoint runs of each
-source's permuted blocks, and rows are shuffled inside their shard by a hash.
+over blocks in a permuted order, of which the last is filled part by part, and its last part document by document.
+Output shards come from a splitting tree: at each node the units (blocks in a pass) that the sources still have to place
+are divided between two halves by a draw without replacement, so each source's share is multivariate hypergeometric, down
+to a quota for each shard and source. Shards then take disjoint runs of each source's permuted units, and rows are
+shuffled inside their shard by a hash. The tree and the plan hold BLOCKS rows for each source and pass, at most.
 """
 
 from __future__ import annotations
 
-import json
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import written
 
-BLOCKS = 512  # of each source
-SHARDS = 16
+BLOCKS = 512  # of each source, and parts of a block
+SHARDS, SEED = 16, 9
+MOST_SOURCES = 4096  # beyond it, the plan would be no small table
 WEIGHTS = (1, 2, 3)  # repeated over the sources in code-point order, null last
 MOST = 3  # passes over a source
 
@@ -59,40 +58,6 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _quotas(units: list[tuple[int, int]], shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(source number, shard, first, last) runs of units: each tree node divides its sources' counts hypergeometrically."""
-    draw = random.Random(seed)
-
-    def split(counts: list[int], low: int, high: int) -> list[tuple[int, list[int]]]:
-        if high - low == 1:
-            return [(low, counts)]
-        middle, total = (low + high) // 2, sum(counts)
-        places, left, rest = total * (middle - low) // (high - low), [], total
-        for n in counts:  # of the places still open on the left, those that go to this source's units
-            got = _hypergeometric(draw, n, rest - n, places)
-            left.append(got)
-            places, rest = places - got, rest - n
-        return split(left, low, middle) + split([n - k for n, k in zip(counts, left, strict=True)], middle, high)
-
-    done, out = [0] * len(units), []
-    for shard, counts in split([n for _, n in units], 0, shards):
-        for k, n in enumerate(counts):
-            if n:
-                out.append((units[k][0], shard, done[k] + 1, done[k] + n))
-                done[k] += n
-    return out
-
-
-def _hypergeometric(draw: random.Random, good: int, bad: int, sample: int) -> int:
-    """How many good ones are in a sample without replacement, drawn one at a time from the smaller side."""
-    if sample > (good + bad) - sample:
-        return good - _hypergeometric(draw, good, bad, good + bad - sample)
-    got = 0
-    for k in range(sample):
-        got += draw.random() * (good + bad - k) < good - got
-    return got
-
-
 def _plan(blocks: DataFrame) -> DataFrame:
     """(source, block, words) to each block's whole passes and the words of a further, partial one.
 
@@ -109,62 +74,121 @@ def _plan(blocks: DataFrame) -> DataFrame:
     return reach.select("source", "block", "words", "source_size", "target", passes.alias("passes"), F.greatest(F.lit(0), F.least("words", room)).alias("more"))
 
 
-def _placed(plan: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(source, block, units): the passes of each block that are taken, each with its shard.
+def _split(units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, shard, quota): how many units (source, block, pass) of each source a shard gets.
 
-    A unit is a block in a pass. Quotas are one row for each source and shard; they alone pass through the driver.
+    A node of the tree has the shards from low up to high. It gives each half its share of places, to the units that come
+    first in a seeded permutation. Of the permutation only the sources' counts are kept.
     """
+    rows = units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
+    for level in range((shards - 1).bit_length()):
+        node = Window.partitionBy("low")
+        drawn = _key(F.lit("split"), F.lit(seed), F.lit(level), F.col("pass"), F.col("block"), F.col("source"))
+        rows = rows.withColumn("rank", F.row_number().over(node.orderBy(drawn, "pass", "block", F.col("source").asc_nulls_last())))
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(node)).withColumn("middle", F.expr("(low + high) div 2").cast("int"))
+        left = F.col("rank") <= F.expr("n * (middle - low) div (high - low)")
+        rows = rows.select("source", "block", "pass", F.when(left, F.col("low")).otherwise(F.col("middle")).alias("low"), F.when(left, F.col("middle")).otherwise(F.col("high")).alias("high"))
+    return rows.groupBy("source", F.col("low").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
+
+
+def _placed(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, block, units): the passes of each block that are taken, each with its shard."""
     last = F.col("passes") - F.when(F.col("more") > 0, F.lit(0)).otherwise(F.lit(1))
     units = plan.where("words > 0 and (passes > 0 or more > 0)").select("source", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pass"))
+    upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    runs = _split(units, shards, seed).withColumn("last", F.sum("quota").over(upto)).withColumn("first", F.col("last") - F.col("quota") + 1)
     order = Window.partitionBy("source").orderBy(_key(F.lit("unit"), F.lit(seed), F.col("pass"), F.col("block"), F.col("source")), "pass", "block")
     units = units.withColumn("unit", F.row_number().over(order))
-    counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    quotas = _quotas([(k, r.n) for k, r in enumerate(counts)], shards, seed)
-    text = json.dumps([{"source": counts[s].source, "shard": shard, "first": a, "last": b} for s, shard, a, b in quotas])
-    runs = plan.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<source:string,shard:int,first:int,last:int>>")))
     placed = units.alias("u").join(runs.alias("q"), F.col("u.source").eqNullSafe(F.col("q.source")) & F.col("unit").between(F.col("first"), F.col("last")))
     return placed.groupBy("u.source", "u.block").agg(F.sort_array(F.collect_list(F.struct("u.pass", "q.shard"))).alias("units"))
 
 
-def taken(docs: DataFrame, shards: int = SHARDS, seed: int = 9) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, units (pass, shard, words of the document), and taken, their words.
+def _keyed(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source, size, block and part of each document, and further columns."""
+    number = _key(F.lit("block"), F.col("doc_id"), F.col("source"))
+    rows = docs.select("doc_id", "source", *also, size_of("text").alias("size"), number.alias("number"))
+    return rows.withColumn("block", (F.col("number") % BLOCKS).cast("int")).withColumn("part", F.expr(f"cast(number div {BLOCKS} % {BLOCKS} as int)")).drop("number")
 
-    Documents are taken whole, except that the last one of a source's partial pass gives as many first words as are
-    missing, so a source's words taken are its target, rounded. None is taken more than MOST times. Null texts and texts
-    without words have size 0 and taken 0. Null sources are one source. Repeated rows each count.
-    """
-    rows = docs.select("doc_id", "source", size_of("text").alias("size")).withColumn("block", F.pmod(_key(F.lit("block"), F.col("doc_id"), F.col("source")), F.lit(BLOCKS)).cast("int"))
-    rows = written(rows, "sizes")
-    plan = written(_plan(rows.groupBy("source", "block").agg(F.sum("size").alias("words"))), "plan")
-    same = F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.block") == F.col("q.block"))
-    plan = plan.alias("p").join(_placed(plan, shards, seed).alias("q"), same, "left").select("p.*", "q.units")
-    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.block") == F.col("p.block"))
-    joined = rows.alias("d").join(plan.alias("p"), same)
-    joined = joined.select("d.doc_id", "d.source", "d.size", "d.block", "p.source_size", "p.target", "p.passes", "p.more", "p.words", "p.units")
-    whole = joined.where("more = 0 or more = words").withColumn("again", F.when(F.col("more") > 0, F.col("size")).otherwise(F.lit(0)))
-    # the one block of each source that is taken in part
-    inside = Window.partitionBy("source").orderBy(_key(F.lit("document"), F.col("doc_id"), F.col("source")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.where("more > 0 and more < words")
-    part = part.withColumn("again", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
-    both = whole.unionByName(part)
+
+def _same(a: str, b: str, *columns: str) -> Column:
+    out = F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for c in columns:
+        out = out & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return out
+
+
+def _parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, block, part, part_words, part_more): of each source's one block that is taken in part, what each part gives."""
+    partial = plan.where("more > 0 and more < words").select("source", "block", "more")
+    by = rows.alias("r").join(partial.alias("p"), _same("r", "p", "block")).groupBy("r.source", "r.block", "r.part").agg(F.sum("r.size").alias("part_words"), F.max("p.more").alias("more"))
+    order = Window.partitionBy("source").orderBy(_key(F.lit("part"), F.col("part"), F.col("source")), "part").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("more") - F.coalesce(F.sum("part_words").over(order), F.lit(0))
+    return by.select("source", "block", "part", "part_words", F.greatest(F.lit(0), F.least("part_words", room)).alias("part_more"))
+
+
+def _planned(rows: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The plan of blocks with their units, and that of parts."""
+    blocks = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+    if blocks.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
+    plan = written(_plan(blocks), "plan")
+    units = written(plan.alias("p").join(_placed(plan, shards, seed).alias("q"), _same("p", "q", "block"), "left").select("p.*", "q.units"), "units")
+    return units, written(_parts(rows, plan), "parts")
+
+
+def _filled(rows: DataFrame, plan: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with source_size, target, units (pass, shard, words of the document), and taken, their words."""
+    own = [f"d.{c}" for c in rows.columns]
+    joined = rows.alias("d").join(plan.alias("p"), _same("d", "p", "block"))
+    joined = joined.select(*own, "p.source_size", "p.target", "p.passes", "p.more", "p.words", "p.units")
+    joined = joined.alias("d").join(parts.alias("q"), _same("d", "q", "block", "part"), "left").select("d.*", "q.part_words", "q.part_more")
+    inside = F.coalesce((F.col("part_more") > 0) & (F.col("part_more") < F.col("part_words")), F.lit(False))
+    gives = F.when(F.col("part_words").isNotNull(), F.col("part_more")).otherwise(F.col("more"))
+    whole = joined.where(~inside).withColumn("again", F.when(gives > 0, F.col("size")).otherwise(F.lit(0)))
+    # the one part of each source that is taken in part
+    before = Window.partitionBy("source").orderBy(_key(F.lit("document"), F.col("doc_id"), F.col("source")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    some = joined.where(inside)
+    some = some.withColumn("again", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part_more") - F.coalesce(F.sum("size").over(before), F.lit(0)))))
+    both = whole.unionByName(some)
     words = lambda u: F.when(u["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("again")).cast("long")
     units = F.transform(F.coalesce("units", F.array()), lambda u: F.struct(u["pass"].alias("pass"), u["shard"].alias("shard"), words(u).alias("words")))
     both = both.withColumn("units", F.filter(units, lambda u: u["words"] > 0))
     total = F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + u["words"])
-    return both.select("doc_id", "source", "size", "source_size", "target", "units", total.alias("taken"))
+    return both.select(*rows.columns, "source_size", "target", "units", total.alias("taken"))
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 9) -> DataFrame:
-    """The mix itself: doc_id, source, pass, words (the document's first ones), shard, and place, an order inside the shard."""
-    rows = taken(docs, shards, seed).select("doc_id", "source", F.explode("units").alias("u")).select("doc_id", "source", "u.*")
-    return rows.withColumn("place", _key(F.lit("place"), F.lit(seed), F.col("pass"), F.col("doc_id")))
+def taken(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, units (pass, shard, words of the document), and taken, their words.
+
+    Documents are taken whole, except that the last one of a source's partial pass gives as many first words as are
+    missing, so a source's words taken are its target, rounded. None is taken more than MOST times. Null texts and texts
+    without words have size 0 and taken 0. Null sources are one source. Repeated rows each count; ties of a permuted order
+    are settled by number, id and size. More than MOST_SOURCES sources are an error. Other columns are ignored.
+    """
+    rows = written(_keyed(docs), "sizes")
+    return _filled(rows, *_planned(rows, shards, seed)).drop("block", "part")
+
+
+def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself: doc_id, source, text, pass, words, shard, and place, an order inside the shard.
+
+    A row is a document in a pass. Its text is whole, but for each source's last document, which is cut to its first
+    ``words`` words.
+    """
+    rows = _filled(_keyed(docs, "text"), *_planned(written(_keyed(docs), "sizes"), shards, seed))
+    each = rows.select("doc_id", "source", "text", "size", F.explode("units").alias("u")).select("doc_id", "source", "text", "size", "u.*")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(first).alias("text")
+    place = _key(F.lit("place"), F.lit(seed), F.col("pass"), F.col("doc_id")).alias("place")
+    return each.select("doc_id", "source", text, "pass", "words", "shard", place)
 
 
-def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 9) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix dealt into one partition for each shard, in its order there."""
     return mixture(docs, shards, seed).repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "doc_id", "pass")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
-    return taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, and placed: 'pass:shard:words' of each time it is taken, by commas."""
+    placed = F.array_join(F.transform("units", lambda u: F.concat_ws(":", u["pass"], u["shard"], u["words"])), ",").alias("placed")
+    return taken(docs, shards, seed).select("doc_id", "size", "source_size", "target", "taken", placed)

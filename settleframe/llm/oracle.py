@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCKS, MOST, WEIGHTS
+from .mixing import BLOCKS, MOST, SEED, SHARDS, WEIGHTS
 from .urlfilter import BLOCKED, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,13 +62,26 @@ from d left join hits using (doc_id) left join items using (doc_id)
 """
 
 
-def _key(*parts: str) -> str:
+def _key(*parts: str) -> str:  # as mixing._key
     text = " || '|' || ".join(f"coalesce(cast({p} as varchar), '~')" for p in parts)
     return f"cast('0x' || substr(md5({text}), 1, 15) as bigint)"
 
 
+def _tree() -> str:
+    """The splitting tree: a table of units by level, each row with the shards from low up to high that are left to it."""
+    levels = [f"u0 as (select source, block, pass, 0 as low, {SHARDS} as high from m, unnest(range(0, passes + case when more > 0 then 1 else 0 end)) t(pass) where words > 0)"]
+    for k in range((SHARDS - 1).bit_length()):
+        order = f"order by {_key(*("'split'", str(SEED), str(k), 'pass', 'block', 'source'))}, pass, block, source nulls last"
+        ranked = f"select *, row_number() over (partition by low {order}) as rank, count(*) over (partition by low) as n, (low + high) // 2 as middle from u{k}"
+        half = "rank <= n*(middle - low) // (high - low)"
+        levels.append(f"u{k + 1} as (select source, block, pass, case when {half} then low else middle end as low, case when {half} then middle else high end as high from ({ranked}))")
+    return ",\n".join(levels)
+
+
+_LAST = f"u{(SHARDS - 1).bit_length()}"
 _MIXING = f"""
-with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) as bigint) as size, {_key("'block'", "doc_id", "source")} % {BLOCKS} as block from documents),
+with k as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) as bigint) as size, {_key("'block'", "doc_id", "source")} as number from documents),
+d as (select doc_id, source, size, number % {BLOCKS} as block, number // {BLOCKS} % {BLOCKS} as part from k),
 b as (select source, block, cast(sum(size) as bigint) as words from d group by 1, 2),
 s as (select source, cast(sum(words) as bigint) as source_size, [{", ".join(map(str, WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as weight from b group by source),
 o as (select *, sum(source_size) over () - {MOST}*coalesce(sum(source_size) over u, 0) as left_, sum(weight) over () - coalesce(sum(weight) over u, 0) as shared, row_number() over (order by source_size/weight, source nulls last) as k
@@ -79,10 +92,21 @@ r as (select b.source, block, words, source_size, target, case when source_size
     coalesce(sum(words) over (partition by b.source order by {_key("'order'", "block", "b.source")}, block rows between unbounded preceding and 1 preceding), 0) as before
     from b join t on b.source is not distinct from t.source),
 m as (select *, greatest(0, least(words, cast(round(target) as bigint) - passes*source_size - before)) as more from r),
-j as (select d.doc_id, d.size, m.source_size, m.target, m.passes, m.more, m.words,
-    coalesce(sum(size) over (partition by d.source, d.block order by {_key("'document'", "doc_id", "d.source")}, doc_id, size rows between unbounded preceding and 1 preceding), 0) as past
-    from d join m on d.source is not distinct from m.source and d.block = m.block)
-select doc_id, size, source_size, target, cast(passes*size + case when more = 0 then 0 when more = words then size else greatest(0, least(size, more - past)) end as bigint) as taken from j
+{_tree()},
+q as (select source, low as shard, count(*) as quota from {_LAST} group by 1, 2),
+runs as (select source, shard, sum(quota) over (partition by source order by shard) as last, last - quota + 1 as first from q),
+pu as (select source, block, pass, row_number() over (partition by source order by {_key("'unit'", str(SEED), "pass", "block", "source")}, pass, block) as unit from u0),
+pl as (select pu.source, pu.block, list({{'pass': pu.pass, 'shard': runs.shard}} order by pu.pass) as units from pu join runs on pu.source is not distinct from runs.source and unit between first and last group by 1, 2),
+w as (select d.source, d.block, d.part, cast(sum(size) as bigint) as part_words, any_value(more) as more from d join m on d.source is not distinct from m.source and d.block = m.block where more > 0 and more < words group by 1, 2, 3),
+x as (select *, greatest(0, least(part_words, more - coalesce(sum(part_words) over (partition by source order by {_key("'part'", "part", "source")}, part rows between unbounded preceding and 1 preceding), 0))) as part_more from w),
+j as (select d.doc_id, d.size, m.source_size, m.target, m.passes, coalesce(pl.units, []) as units,
+    case when x.part is null then case when m.more > 0 then d.size else 0 end when part_more = 0 then 0 when part_more = part_words then d.size else greatest(0, least(d.size, part_more -
+    coalesce(sum(d.size) over (partition by d.source, d.block, d.part order by {_key("'document'", "d.doc_id", "d.source")}, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0))) end as again
+    from d join m on d.source is not distinct from m.source and d.block = m.block left join pl on d.source is not distinct from pl.source and d.block = pl.block
+    left join x on d.source is not distinct from x.source and d.block = x.block and d.part = x.part),
+g as (select *, list_filter(list_transform(units, lambda u: {{'pass': u.pass, 'shard': u.shard, 'words': case when u.pass < passes then size else again end}}), lambda u: u.words > 0) as given from j)
+select doc_id, size, source_size, target, cast(coalesce(list_sum(list_transform(given, lambda u: u.words)), 0) as bigint) as taken,
+    array_to_string(list_transform(given, lambda u: u.pass || ':' || u.shard || ':' || u.words), ',') as placed from g
 """
 
 ORACLE_SQL = {"op1_near_dups": _NEAR_DUPS, "op3_warc": _WARC, "op5_url_filter": _url_filter(), "op8_decontamination": _DECONTAMINATION, "op9_mixing": _MIXING}

@@ -313,11 +313,34 @@ def test_mixing(spark):
     for size, target, total, taken in by.values():
         assert size == total and taken == round(target) and target <= 3 * size
     assert sum(v[1] for v in by.values()) == pytest.approx(sum(v[0] for v in by.values()))
-    placed = mixing.mixture(rows, shards=4)
-    assert placed.agg(F.sum("words")).first()[0] == sum(r.taken for r in got) and placed.select("shard").distinct().count() == 4
-    quotas = mixing._quotas([(0, 40), (1, 8), (2, 1)], 4, 1)
-    per = [sum(b - a + 1 for s, k, a, b in quotas if k == shard) for shard in range(4)]
-    assert sum(per) == 49 and max(per) - min(per) <= 1
+    # the mix: each source's words, shards of nearly as many units, whole texts but for one a source, placed as told
+    seeds = {}
+    for seed in (1, 2):
+        placed = mixing.mixture(rows, shards=5, seed=seed).collect()
+        told = {r.doc_id: r.placed for r in mixing.mixed(rows, shards=5, seed=seed).collect()}
+        units = {}
+        for r in placed:
+            units.setdefault(r.doc_id, []).append((r["pass"], r.shard, r.words))
+            assert r.text == texts[r.doc_id] or r.text.split() == texts[r.doc_id].split()[: r.words]
+            assert len(r.text.split()) == r.words
+        assert sum(r.text != texts[r.doc_id] for r in placed) <= len(by)
+        assert {k: ",".join(f"{p}:{s}:{w}" for p, s, w in sorted(v)) for k, v in units.items()} == {k: v for k, v in told.items() if v}
+        assert sum(r.words for r in placed) == sum(r.taken for r in got)
+        seeds[seed] = told
+    assert seeds[1] != seeds[2]
+    parts = mixing.shuffled(rows, shards=5, seed=1).select(F.spark_partition_id().alias("k"), "shard", "place").collect()
+    assert {(r.k, r.shard) for r in parts} == {(k, k) for k in range(5)}
+    assert all(a.place <= b.place for a, b in zip(parts, parts[1:], strict=False) if a.k == b.k)
+    # the tree's quotas: all units, shards that differ by one at most, and sources in proportion on the average
+    units = spark.createDataFrame([(s, k, 0) for s, n in (("a", 400), (None, 80), ("c", 1)) for k in range(n)], "source string, block int, pass long")
+    shares = []
+    for seed in range(6):
+        quotas = mixing._split(units, 4, seed).collect()
+        per = [sum(r.quota for r in quotas if r.shard == k) for k in range(4)]
+        assert sum(per) == 481 and max(per) - min(per) <= 1
+        assert {s: sum(r.quota for r in quotas if r.source == s) for s in ("a", None, "c")} == {"a": 400, None: 80, "c": 1}
+        shares += [r.quota for r in quotas if r.source is None]
+    assert len(set(shares)) > 3 and 14 < np.mean(shares) < 26 and min(shares) > 5
     assert mixing.mixed(rows.limit(0)).count() == 0
 
 
