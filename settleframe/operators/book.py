@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS, hour_of, interval95, price_bucket, quarter, ratio, variance
 from ..functions.stats import normal_two_sided_p
-from ..plans.legs import by_role, legs, moments, position_cube, two_legs
+from ..plans.legs import by_role, leg_sums, legs, merged, moments, position_cube, resolved, totals, two_legs
 from ..sources.tables import Tables
 
 
@@ -19,18 +19,31 @@ def book_legs(t: Tables, strict: bool = True) -> DataFrame:
     return legs(t.book_trades, t.book_markets, strict)
 
 
-def win_rate_by_price(t: Tables) -> DataFrame:
-    """Both legs by price: total_trades, wins, win_rate in percent."""
-    return book_legs(t).groupBy("price").agg(F.count(F.lit(1)).alias("total_trades"), F.sum("won").alias("wins")).withColumn("win_rate", ratio(F.col("wins"), F.col("total_trades"), 100))
+def book_sums(t: Tables, *keys, sized: bool = False, strict: bool = True) -> DataFrame:
+    """``leg_sums`` of the venue; "quarter" among the keys is made from the time."""
+    keys = [quarter("created_time").alias("quarter") if isinstance(k, str) and k == "quarter" else k for k in keys]
+    return leg_sums(t.book_trades, t.book_markets, *keys, strict=strict, sized=sized)
 
 
-def mispricing_by_price(t: Tables) -> DataFrame:
+def _moments(t: Tables, cube: DataFrame | None, *keys: str) -> DataFrame:
+    """Moments by ``keys`` from a stored cube (``position_moments``), or from the trades."""
+    if cube is not None:
+        return merged(cube, *keys)
+    return book_sums(t, *[k for k in keys if k in ("quarter", "category")]).groupBy(*keys).agg(*moments())
+
+
+def win_rate_by_price(t: Tables, cube: DataFrame | None = None) -> DataFrame:
+    """Both legs by price: total_trades, wins, win_rate in percent. ``cube``: a stored ``position_moments`` to read instead of trades."""
+    by = _moments(t, cube, "price").select("price", F.col("n").alias("total_trades"), F.col("won").alias("wins"))
+    return by.withColumn("win_rate", ratio(F.col("wins"), F.col("total_trades"), 100))
+
+
+def mispricing_by_price(t: Tables, cube: DataFrame | None = None) -> DataFrame:
     """Win rates of takers, makers and both at prices where both roles trade, and how far they are from the price."""
-    taker, maker = F.col("role") == "taker", F.col("role") == "maker"
-    out = book_legs(t).where(F.col("price").between(1, 99)).groupBy("price").agg(
-        _if(taker, 1).alias("taker_trades"), _if(taker, F.col("won")).alias("taker_wins"), _if(maker, 1).alias("maker_trades"), _if(maker, F.col("won")).alias("maker_wins"),
-        F.count(F.lit(1)).alias("combined_trades"), F.sum("won").alias("combined_wins"),
-    ).where("taker_trades > 0 and maker_trades > 0").withColumn("implied_probability", F.col("price").cast("double"))
+    by = by_role(_moments(t, cube, "role", "price").where(F.col("price").between(1, 99)), "price")
+    counts = [F.col(f"{r}_{c}").alias(f"{r}_{name}") for r in ("taker", "maker") for c, name in (("n", "trades"), ("won", "wins"))]
+    both = [(F.col(f"taker_{c}") + F.col(f"maker_{c}")).alias(f"combined_{name}") for c, name in (("n", "trades"), ("won", "wins"))]
+    out = by.select("price", *counts, *both, F.col("price").cast("double").alias("implied_probability"))
     for who in ("taker", "maker", "combined"):
         rate, p = ratio(F.col(f"{who}_wins"), F.col(f"{who}_trades"), 100), F.col("implied_probability")
         out = out.withColumn(f"{who}_win_rate", rate).withColumn(f"{who}_mispricing_pp", rate - p).withColumn(f"{who}_mispricing_pct", (rate - p) / p * 100)
@@ -48,32 +61,38 @@ def _returns(role: str) -> list[Column]:
     ]
 
 
-def maker_vs_taker_returns(t: Tables, p_values: bool = True) -> DataFrame:
+def maker_vs_taker_returns(t: Tables, p_values: bool = True, cube: DataFrame | None = None) -> DataFrame:
     """Excess return, spread, volume and profit at each price from 1 to 99 that both roles trade; z and two-sided p."""
-    by = book_legs(t).where(F.col("price").between(1, 99)).groupBy("role", "price").agg(*moments())
+    by = _moments(t, cube, "role", "price").where(F.col("price").between(1, 99))
     out = by_role(by, "price").select("price", *_returns("taker"), *_returns("maker"))
     if p_values:
         out = out.withColumn("taker_p", normal_two_sided_p("taker_z")).withColumn("maker_p", normal_two_sided_p("maker_z"))
     return out
 
 
-def maker_counterparty_excess(t: Tables) -> DataFrame:
-    """A taker's excess at p beside the maker's at 100 - p; 0 where the maker has none."""
-    out = maker_vs_taker_returns(t, p_values=False)
-    mirror = out.select((100 - F.col("price")).alias("price"), F.col("maker_excess").alias("counterparty_excess"))
-    return out.select("price", "taker_excess").join(mirror, "price", "left").withColumn("counterparty_excess", F.coalesce("counterparty_excess", F.lit(0.0)))
+def maker_counterparty_excess(t: Tables, cube: DataFrame | None = None) -> DataFrame:
+    """A taker's excess at p beside the maker's at 100 - p; 0 where the maker has none.
+
+    Each of the up to 99 rows is told at its own price and, as the other side, at the mirrored one: one aggregation serves both.
+    """
+    rows = maker_vs_taker_returns(t, p_values=False, cube=cube).select("price", "taker_excess", "maker_excess")
+    own = F.struct("price", "taker_excess", F.lit(None).cast("double").alias("other"), F.lit(1).alias("own"))
+    mirror = F.struct((100 - F.col("price")).alias("price"), F.lit(None).cast("double").alias("taker_excess"), F.col("maker_excess").alias("other"), F.lit(0).alias("own"))
+    told = rows.select(F.explode(F.array(own, mirror)).alias("r")).select("r.*")
+    by = told.groupBy("price").agg(F.max("own").alias("own"), F.max("taker_excess").alias("taker_excess"), F.coalesce(F.max("other"), F.lit(0.0)).alias("counterparty_excess"))
+    return by.where("own = 1").drop("own")
 
 
-def _maker_sides(t: Tables) -> DataFrame:
-    by = book_legs(t).where("role = 'maker'").where(F.col("price").between(1, 99))
+def _maker_sides(t: Tables, cube: DataFrame | None) -> DataFrame:
+    by = _moments(t, cube, "role", "side", "price").where("role = 'maker'").where(F.col("price").between(1, 99))
     pick = lambda s, c, name: F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{name}")
     cols = [pick(s, c, c) for s in ("yes", "no") for c in ("n", "won", "contracts", "se", "cp", "cw")]
-    return by.groupBy("side", "price").agg(*moments()).groupBy("price").agg(*cols)
+    return by.groupBy("price").agg(*cols)
 
 
-def maker_returns_by_direction(t: Tables) -> DataFrame:
+def maker_returns_by_direction(t: Tables, cube: DataFrame | None = None) -> DataFrame:
     """Makers' trade-weighted win rate and excess by side and price, and NO minus YES."""
-    out = _maker_sides(t)
+    out = _maker_sides(t, cube)
     cols = [c for s in ("yes", "no") for c in (
         ratio(F.col(f"{s}_won"), F.col(f"{s}_n")).alias(f"{s}_win_rate"), ratio(F.col(f"{s}_se"), F.col(f"{s}_n"), 0.01).alias(f"{s}_excess"), F.col(f"{s}_n"),
         F.col(f"{s}_contracts"), (F.col(f"{s}_cp") / 100).alias(f"{s}_volume"),
@@ -81,20 +100,21 @@ def maker_returns_by_direction(t: Tables) -> DataFrame:
     return out.select("price", *cols).withColumn("diff", F.col("no_excess") - F.col("yes_excess"))
 
 
-def maker_win_rate_by_direction(t: Tables) -> DataFrame:
+def maker_win_rate_by_direction(t: Tables, cube: DataFrame | None = None) -> DataFrame:
     """The same weighted by contracts: win rate and mispricing against the price."""
     cols = []
     for s in ("yes", "no"):
         rate = ratio(F.col(f"{s}_cw"), F.col(f"{s}_contracts"))
         cols += [rate.alias(f"{s}_win_rate"), (rate - F.col("price") / 100).alias(f"{s}_mispricing"), F.col(f"{s}_n"), F.col(f"{s}_contracts")]
-    return _maker_sides(t).select("price", (F.col("price") / 100).alias("implied_prob"), *cols)
+    return _maker_sides(t, cube).select("price", (F.col("price") / 100).alias("implied_prob"), *cols)
 
 
 def ev_yes_vs_no(t: Tables) -> DataFrame:
     """Of each price from 1 to 99 the expected value in cents of buying YES and NO, weighted by contracts, and the better; a tie is NO."""
     trades = t.book_trades.join(t.book_markets.where(F.col("result").isin("yes", "no")).select("ticker", "result"), "ticker")
+    sums = trades.groupBy("yes_price", "no_price", "result").agg(F.sum("count").alias("count"))
     side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_price").alias("price"))
-    rows = trades.select("count", "result", F.explode(F.array(side("yes"), side("no"))).alias("b")).select("count", "result", "b.*")
+    rows = sums.select("count", "result", F.explode(F.array(side("yes"), side("no"))).alias("b")).select("count", "result", "b.*")
     pick = lambda s, test: F.sum(F.when((F.col("side") == s) & test, F.col("count")))
     won, all_ = F.col("side") == F.col("result"), F.lit(True)
     by = rows.groupBy("price").agg(*[e for s in ("yes", "no") for e in (pick(s, all_).alias(f"{s}_contracts"), F.coalesce(pick(s, won), F.lit(0)).alias(f"{s}_w"))])
@@ -110,7 +130,8 @@ def ev_yes_vs_no(t: Tables) -> DataFrame:
 
 def yes_vs_no_by_price(t: Tables) -> DataFrame:
     """Contracts by role and side at each price, resolved or not, and their shares in percent."""
-    by = two_legs(t.book_trades).where(F.col("price").between(1, 99))
+    sums = t.book_trades.groupBy("taker_side", "yes_price", "no_price").agg(F.sum("count").alias("count"))
+    by = two_legs(sums).where(F.col("price").between(1, 99))
     names = [(r, s) for r in ("taker", "maker") for s in ("yes", "no")]
     out = by.groupBy("price").agg(*[_if((F.col("role") == r) & (F.col("side") == s), F.col("contracts")).alias(f"{r}_{s}") for r, s in names], F.sum("contracts").alias("total"))
     return out.select("*", *[ratio(F.col(f"{r}_{s}"), F.col("total"), 100).alias(f"{r}_{s}_pct") for r, s in names])
@@ -118,7 +139,7 @@ def yes_vs_no_by_price(t: Tables) -> DataFrame:
 
 def trade_size_by_role(t: Tables) -> DataFrame:
     """Distribution of trade sizes in dollars by role: from a table of how often each size occurs."""
-    by = book_legs(t).groupBy("role", (F.col("contracts") * F.col("price")).alias("cents"), "contracts").agg(F.count(F.lit(1)).alias("f"))
+    by = book_sums(t, sized=True).groupBy("role", (F.col("contracts") * F.col("price")).alias("cents"), "contracts").agg(F.sum("n").alias("f"))
     size = F.col("cents") / 100
     at = F.percentile("cents", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95)]), F.col("f")).alias("q")
     wide, c = F.col("cents").cast("decimal(38,0)"), F.col("cents")
@@ -131,7 +152,8 @@ def trade_size_by_role(t: Tables) -> DataFrame:
 def win_rate_by_trade_size(t: Tables, least: int = 10) -> DataFrame:
     """Takers' win rate by quarter-decade of size in dollars, with a 95 % interval of the excess."""
     size = F.greatest(F.col("contracts") * F.col("price") / 100, F.lit(0.01))
-    by = book_legs(t).where("role = 'taker'").groupBy(F.floor(F.log10(size) * 4).cast("int").alias("bin")).agg(*moments()).where(F.col("n") >= least)
+    binned = totals(book_sums(t, sized=True).where("role = 'taker'").withColumn("bin", F.floor(F.log10(size) * 4).cast("int")))
+    by = binned.groupBy("bin").agg(*moments()).where(F.col("n") >= least)
     excess, var = ratio(F.col("se"), F.col("n"), 0.01), variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4
     se, low, high = interval95(excess, var, F.col("n"))
     return by.select("bin", F.pow(F.lit(10.0), F.col("bin") / 4).alias("size_bin"), ratio(F.col("won"), F.col("n")).alias("win_rate"), ratio(F.col("sp"), F.col("n"), 0.01).alias("expected"), excess.alias("excess"), var.alias("var"), "n", (F.col("cp") / 100).alias("volume"), se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
@@ -139,7 +161,7 @@ def win_rate_by_trade_size(t: Tables, least: int = 10) -> DataFrame:
 
 def returns_by_hour(t: Tables, tz: str = "UTC") -> DataFrame:
     """Takers' returns by hour of day."""
-    by = book_legs(t).where("role = 'taker'").groupBy(hour_of(F.col("created_time"), tz).alias("hour")).agg(*moments())
+    by = book_sums(t, hour_of(F.col("created_time"), tz).alias("hour")).where("role = 'taker'").groupBy("hour").agg(*moments())
     excess, var = ratio(F.col("se"), F.col("n"), 0.01), variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4
     se, low, high = interval95(excess, var, F.col("n"))
     return by.select("hour", ratio(F.col("won"), F.col("n")).alias("win_rate"), ratio(F.col("sp"), F.col("n"), 0.01).alias("avg_implied_prob"), excess.alias("excess"), var.alias("var"), "contracts", (F.col("cp") / 100).alias("volume"), "n", se.alias("se"), low.alias("ci_low"), high.alias("ci_high"))
@@ -148,7 +170,8 @@ def returns_by_hour(t: Tables, tz: str = "UTC") -> DataFrame:
 def vwap_by_hour(t: Tables, tz: str = "UTC") -> DataFrame:
     """Takers' volume-weighted price by hour of day."""
     p = F.col("price").cast("long")
-    by = book_legs(t).where("role = 'taker'").groupBy(hour_of(F.col("created_time"), tz).alias("hour")).agg(*moments(), F.sum(p * p).alias("sp2"))
+    rows = book_sums(t, hour_of(F.col("created_time"), tz).alias("hour")).where("role = 'taker'")
+    by = rows.groupBy("hour").agg(*moments(), F.sum(F.col("n") * p * p).alias("sp2"))
     vwap, std = ratio(F.col("cp"), F.col("contracts")), F.sqrt(variance(F.col("n"), F.col("sp"), F.col("sp2"), sample=True))
     se = std / F.sqrt(F.col("n"))
     return by.select("hour", vwap.alias("vwap"), "contracts", (F.col("cp") / 100).alias("volume"), "n", ratio(F.col("sp"), F.col("n")).alias("avg_price"), std.alias("std"), se.alias("se"), (vwap - 1.96 * se).alias("ci_low"), (vwap + 1.96 * se).alias("ci_high"))
@@ -159,28 +182,29 @@ def volume_over_time(t: Tables) -> DataFrame:
     return t.book_trades.groupBy(quarter("created_time").alias("quarter")).agg(F.sum("count").alias("volume"))
 
 
-def _bucket_volumes(t: Tables) -> DataFrame:
-    by = book_legs(t).where("role = 'taker'").groupBy(quarter("created_time").alias("quarter"), price_bucket(F.col("price")).alias("price_bucket"), F.coalesce(F.col("price").between(1, 20), F.lit(False)).alias("is_longshot"))
-    return by.agg(F.sum(F.col("contracts") * F.col("price")).alias("cents"), F.sum("contracts").alias("contracts"), F.count(F.lit(1)).alias("n"))
+def _bucket_volumes(t: Tables, cube: DataFrame | None) -> DataFrame:
+    long = F.coalesce(F.col("price").between(1, 20), F.lit(False)).alias("is_longshot")
+    by = _moments(t, cube, "quarter", "role", "price").where("role = 'taker'").groupBy("quarter", price_bucket(F.col("price")).alias("price_bucket"), long)
+    return by.agg(F.sum("cp").alias("cents"), F.sum("contracts").alias("contracts"), F.sum("n").alias("n"))
 
 
-def longshot_volume_share(t: Tables) -> DataFrame:
+def longshot_volume_share(t: Tables, cube: DataFrame | None = None) -> DataFrame:
     """Takers' dollars at 1 to 20 cents by quarter, and their share; quarters without any are left out."""
     long = F.col("is_longshot")
-    out = _bucket_volumes(t).groupBy("quarter").agg(_if(long, F.col("cents")).alias("lc"), _if(long, F.col("contracts")).alias("longshot_contracts"), _if(long, F.col("n")).alias("longshot_n"), F.sum("cents").alias("tc"))
+    out = _bucket_volumes(t, cube).groupBy("quarter").agg(_if(long, F.col("cents")).alias("lc"), _if(long, F.col("contracts")).alias("longshot_contracts"), _if(long, F.col("n")).alias("longshot_n"), F.sum("cents").alias("tc"))
     return out.where("longshot_n > 0").select("quarter", (F.col("lc") / 100).alias("longshot_volume"), "longshot_contracts", "longshot_n", (F.col("tc") / 100).alias("total_volume"), ratio(F.col("lc"), F.col("tc"), 100).alias("share_pct"))
 
 
-def price_bucket_share_pivot(t: Tables, least_usd: int = 1_000_000) -> DataFrame:
+def price_bucket_share_pivot(t: Tables, least_usd: int = 1_000_000, cube: DataFrame | None = None) -> DataFrame:
     """Share of each price bucket by quarter in percent, for quarters with enough volume; a column for each bucket."""
     cols = [F.sum(F.when(F.col("price_bucket") == b, F.col("cents")).otherwise(0)).alias(b) for b in BUCKETS]
-    out = _bucket_volumes(t).groupBy("quarter").agg(*cols, F.sum("cents").alias("tc")).where(F.col("tc") >= 100 * least_usd)
+    out = _bucket_volumes(t, cube).groupBy("quarter").agg(*cols, F.sum("cents").alias("tc")).where(F.col("tc") >= 100 * least_usd)
     return out.select("quarter", *[ratio(F.col(b), F.col("tc"), 100).alias("p" + b.rstrip("c").replace("-", "_")) for b in BUCKETS])
 
 
-def maker_taker_gap_over_time(t: Tables, least: int = 1000) -> DataFrame:
+def maker_taker_gap_over_time(t: Tables, least: int = 1000, cube: DataFrame | None = None) -> DataFrame:
     """Mean excess by quarter of both roles, each with enough legs, in percentage points, and maker minus taker."""
-    by = book_legs(t).groupBy(quarter("created_time").alias("quarter"), "role").agg(*moments()).where(F.col("n") >= least)
+    by = _moments(t, cube, "quarter", "role").where(F.col("n") >= least)
     cols = []
     for r in ("taker", "maker"):
         n, s, s2 = (F.col(f"{r}_{c}") for c in ("n", "se", "se2"))
@@ -208,14 +232,17 @@ def calibration_deviation_over_time(t: Tables, least: int = 1000) -> DataFrame:
     A leg counts from the first boundary at or after it. Legs are summed by boundary and price before the running sums, so
     the windows hold 99 rows a week.
     """
-    rows = book_legs(t, strict=False).where(F.col("price").between(1, 99))
-    first = rows.agg(F.min("created_time").alias("lo"), F.max("created_time").alias("hi"))
+    joined = t.book_trades.join(resolved(t.book_markets, strict=False), "ticker")
+    in_range = F.col("yes_price").between(1, 99) | F.col("no_price").between(1, 99)
+    first = joined.where(in_range).agg(F.min("created_time").alias("lo"), F.max("created_time").alias("hi"))
     # Sunday is day 1; days on to the first Sunday that isn't before the first leg
     sunday = F.col("lo") + F.make_dt_interval(F.pmod(8 - F.dayofweek("lo"), F.lit(7)).cast("int"))
     bounds = first.select(sunday.alias("start"), "hi").where("start <= hi")
     week = F.greatest(F.lit(0), F.ceil(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("created_time")) / F.lit(7 * 86400 * 1_000_000)))
-    at = rows.join(F.broadcast(bounds)).withColumn("at", F.col("start") + F.make_dt_interval((7 * week).cast("int"))).where("at <= hi")
-    sums = at.groupBy("at", "price").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
+    at = F.col("start") + F.make_dt_interval((7 * week).cast("int"))
+    dated = t.book_trades.join(F.broadcast(bounds)).withColumn("at", at).where("at <= hi")  # one row
+    rows = leg_sums(dated, t.book_markets, "at", strict=False).where(F.col("price").between(1, 99))
+    sums = rows.groupBy("at", "price").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("won")).alias("w"))
     weeks = bounds.select(F.explode(F.sequence("start", "hi", F.expr("interval 7 days"))).alias("at"))
     grid = weeks.crossJoin(t.book_trades.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("price"))).join(sums, ["at", "price"], "left")
     upto = Window.partitionBy("price").orderBy("at")
@@ -226,4 +253,4 @@ def calibration_deviation_over_time(t: Tables, least: int = 1000) -> DataFrame:
 
 def position_moments(t: Tables) -> DataFrame:
     """The cube that serves the price-keyed analyses: integer moments by quarter, category, role, side and price."""
-    return position_cube(book_legs(t).withColumn("quarter", quarter("created_time")), "quarter", "category")
+    return position_cube(book_sums(t, "quarter", "category"), "quarter", "category")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, ratio
-from ..plans.legs import by_role, moments, resolved
+from ..plans.legs import by_role, resolved
 from ..sources.tables import Tables
-from .book import book_legs
+from .book import _moments
 
 #: a small sample; users bring their own rules (pattern, group, category, subcategory), the first that fits counts
 SAMPLE_RULES = (
@@ -28,17 +28,17 @@ def classify(df: DataFrame, rules: DataFrame, col: str = "category") -> DataFram
     Rules meet the distinct categories only, as a nested loop over both short lists.
     """
     names = df.select(F.col(col).alias("_name")).distinct()
-    hit = names.join(F.broadcast(rules), F.contains(F.upper("_name"), F.col("pattern")))
+    hit = names.join(rules, F.contains(F.upper("_name"), F.col("pattern")))
     first = hit.groupBy("_name").agg(F.min_by(F.struct("group", "mid", "sub"), "ordinal").alias("_r"))
     out = df.join(first, F.col(col) == F.col("_name"), "left").drop("_name")
     other = F.struct(F.lit("Other").alias("group"), F.lit("Other").alias("mid"), F.col(col).alias("sub"))
     return out.withColumn("_r", F.coalesce("_r", other)).select("*", "_r.group", "_r.mid", "_r.sub").drop("_r")
 
 
-def maker_taker_returns_by_category(t: Tables, rules: DataFrame | None = None) -> DataFrame:
+def maker_taker_returns_by_category(t: Tables, rules: DataFrame | None = None, cube: DataFrame | None = None) -> DataFrame:
     """Excess of both roles by group, the categories' means weighted by contracts, in percentage points."""
     rules = rules if rules is not None else rules_table(t.book_trades.sparkSession)
-    by = book_legs(t).groupBy("category", "role").agg(*moments())
+    by = _moments(t, cube, "category", "role")
     classes = classify(resolved(t.book_markets).select("category").distinct(), rules)  # from the markets, so trades are read once
     both = by_role(by, "category").join(classes, "category")
     cols = []
@@ -83,3 +83,9 @@ def market_types_topn(t: Tables, rules: DataFrame | None = None, n: int = 8) ->
     ranked = _volumes(t, rules).withColumn("k", F.row_number().over(order))
     name = F.when(F.col("k") <= n, F.col("category")).otherwise(F.concat("group", F.lit(" Other")))
     return ranked.groupBy("group", name.alias("category"), (F.col("k") > n).alias("rest")).agg(F.sum("volume").alias("volume")).where("not rest or volume > 0").drop("rest")
+
+
+def top_groups(t: Tables, rules: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """The n groups with the most dollars of both roles, largest first (ties by name), with both excesses."""
+    by = maker_taker_returns_by_category(t, rules).withColumn("volume", F.col("taker_volume") + F.col("maker_volume"))
+    return by.select("group", "volume", "taker_excess_pp", "maker_excess_pp").orderBy(F.desc("volume"), "group").limit(n)

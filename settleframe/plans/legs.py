@@ -27,19 +27,41 @@ def two_legs(trades: DataFrame) -> DataFrame:
     return trades.select(*other, F.col("count").alias("contracts"), F.explode(F.array(leg("taker", yes), leg("maker", ~yes))).alias("leg")).select(*other, "contracts", "leg.*")
 
 
+def _outcome(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("won", (F.col("side") == F.col("result")).cast("long"))
+    return out.withColumn("e", 100 * F.col("won") - F.col("price"))
+
+
 def legs(trades: DataFrame, markets: DataFrame, strict: bool = True) -> DataFrame:
-    """Legs of trades in resolved markets, with won (0 or 1), e = 100 * won - price in cents, and the market's category."""
+    """Legs of trades in resolved markets: n (1), contracts, won (0 or 1), e = 100 * won - price in cents, and the category."""
+    return _outcome(two_legs(trades.join(resolved(markets, strict), "ticker"))).withColumn("n", F.lit(1).cast("long"))
+
+
+def leg_sums(trades: DataFrame, markets: DataFrame, *keys, strict: bool = True, sized: bool = False) -> DataFrame:
+    """As ``legs``, for trades that were summed by side, prices, result and ``keys`` before they are mirrored.
+
+    n is the number of trades in a row and contracts their sum; ``sized``, trades are also told apart by their contracts,
+    and contracts is what each of them has. Trades are summed where they are read and joined: of what is shuffled and
+    mirrored there are a few rows for each pair of prices.
+    """
     joined = trades.join(resolved(markets, strict), "ticker")
-    out = two_legs(joined).withColumn("won", (F.col("side") == F.col("result")).cast("long"))
-    return out.withColumn("e", 100 * F.col("won") - F.col("price"))
+    by = ("taker_side", "yes_price", "no_price", "result", *keys)
+    number = F.count(F.lit(1)).alias("n")
+    sums = joined.groupBy(*by, "count").agg(number) if sized else joined.groupBy(*by).agg(number, F.sum("count").alias("count"))
+    return _outcome(two_legs(sums))
+
+
+def totals(sized: DataFrame) -> DataFrame:
+    """Rows of ``leg_sums(sized=True)`` with contracts summed, as ``moments`` needs them."""
+    return sized.withColumn("contracts", F.col("n") * F.col("contracts"))
 
 
 def moments() -> list:
-    """Exact integer sums that the price-keyed analyses need; they add up over any split of the rows."""
-    p, w, e, c = (F.col(x).cast("long") for x in ("price", "won", "e", "contracts"))
+    """Exact integer sums that the price-keyed analyses need, of legs or their sums; they add up over any split of the rows."""
+    n, p, w, e, c = (F.col(x).cast("long") for x in ("n", "price", "won", "e", "contracts"))
     return [
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("won"), F.sum(c).alias("contracts"), F.sum(p).alias("sp"), F.sum(e).alias("se"), F.sum(e * e).alias("se2"),
-        F.sum(c * p).alias("cp"), F.sum(c * e).alias("ce"), F.sum(c * w).alias("cw"),
+        F.sum(n).alias("n"), F.sum(n * w).alias("won"), F.sum(c).alias("contracts"), F.sum(n * p).alias("sp"), F.sum(n * e).alias("se"),
+        F.sum(n * e * e).alias("se2"), F.sum(c * p).alias("cp"), F.sum(c * e).alias("ce"), F.sum(c * w).alias("cw"),
     ]
 
 
