@@ -22,6 +22,11 @@ def quarter_label(ts: Column | str) -> Column:
     return F.concat(F.year(ts), F.lit(" Q"), F.quarter(ts))
 
 
+def quarter_short(ts: Column | str) -> Column:
+    """As in Q3 '24."""
+    return F.concat(F.lit("Q"), F.quarter(ts), F.lit(" '"), F.substring(F.year(ts).cast("string"), -2, 2))
+
+
 def hour_of(ts: Column, tz: str = "UTC") -> Column:
     """Hour of day in ``tz`` of a time stored in UTC."""
     return F.hour(ts if tz == "UTC" else F.from_utc_timestamp(ts, tz))

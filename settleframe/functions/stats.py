@@ -34,7 +34,9 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 
 def student_p(t: float, df: float) -> float:
     """Two-sided p of Student's t."""
-    return _beta_tail(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else math.nan
+    if df <= 0 or math.isnan(t):
+        return math.nan
+    return _beta_tail(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
 
 
 @F.pandas_udf(DoubleType())
@@ -66,6 +68,13 @@ def welch(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column
     return t, (a + b) ** 2 / F.nullif(a**2 / (n1 - 1) + b**2 / (n2 - 1), F.lit(0.0))
 
 
+def correlation_t(r: Column, n: Column) -> Column:
+    """Student's t of a correlation of n pairs, with n - 2 degrees of freedom; null for fewer than three pairs, infinite for r = 1 and -1."""
+    rest = 1 - r * r
+    t = r * F.sqrt((n - 2) / F.nullif(rest, F.lit(0.0)))
+    return F.when(n > 2, F.when(rest <= 0, r * F.lit(float("inf"))).otherwise(t))
+
+
 def cohens_d(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
     sd = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
     return F.when(sd == 0, F.lit(0.0)).otherwise((m1 - m2) / F.nullif(sd, F.lit(0.0)))

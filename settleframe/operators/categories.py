@@ -86,6 +86,6 @@ def market_types_topn(t: Tables, rules: DataFrame | None = None, n: int = 8) ->
 
 
 def top_groups(t: Tables, rules: DataFrame | None = None, n: int = 8) -> DataFrame:
-    """The n groups with the most dollars of both roles, largest first (ties by name), with both excesses."""
-    by = maker_taker_returns_by_category(t, rules).withColumn("volume", F.col("taker_volume") + F.col("maker_volume"))
-    return by.select("group", "volume", "taker_excess_pp", "maker_excess_pp").orderBy(F.desc("volume"), "group").limit(n)
+    """The n groups with the most dollars taken, largest first (ties by name), with both roles' excess."""
+    by = maker_taker_returns_by_category(t, rules)
+    return by.select("group", "taker_volume", "taker_excess_pp", "maker_excess_pp").orderBy(F.desc("taker_volume"), "group").limit(n)

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, variance
-from ..functions.stats import cohens_d, normal_two_sided_p, normal_upper_p, student_two_sided_p, two_proportion_z, welch
-from ..plans.legs import moments
+from ..functions.stats import cohens_d, correlation_t, normal_two_sided_p, normal_upper_p, student_two_sided_p, two_proportion_z, welch
+from ..plans.legs import moments, resolved, totals
 from ..sources.tables import Tables
-from .book import book_legs
+from .book import book_sums
 from .categories import classify, rules_table
 
+STEP = 256  # values in a group of the two-level rank sums
 #: fixed values: prices and price ranges that are tested
 PRICES = (1, 2, 3, 4, 5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 85, 90, 95, 99)
 RANGES = ((1, 10), (11, 30), (31, 50), (51, 70), (71, 90), (91, 99))
@@ -23,40 +24,65 @@ def equal_width_bin(x: Column, low: Column, high: Column, k: int) -> Column:
     return F.when(high == low, F.lit(1)).otherwise(F.least(F.lit(k), F.greatest(F.lit(1), F.ceil((x - low) / F.nullif(width, F.lit(0.0))).cast("int"))))
 
 
-def trade_size_by_role(t: Tables, bins: int = 10, least: int = 100, p_values: bool = True) -> DataFrame:
+def frequencies(t: Tables) -> DataFrame:
+    """How often each (role, side, category, price, contracts, outcome) occurs: all five tests can read this one table."""
+    return book_sums(t, "category", sized=True)
+
+
+def _below(freq: DataFrame, value: str, weight: Column, *by: str) -> DataFrame:
+    """``freq`` with the column below: the weight of lesser values inside ``by``.
+
+    Sums are taken inside groups of STEP values and then over the groups, so no task sorts all values.
+    """
+    inside = Window.partitionBy(*by, "step").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = freq.withColumn("step", F.expr(f"{value} div {STEP}")).withColumn("weight", weight)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("weight").over(inside), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = freq.groupBy(*by, F.expr(f"{value} div {STEP}").alias("step")).agg(F.sum(weight).alias("sum"))
+    steps = steps.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
+    return rows.join(steps, [*by, "step"]).withColumn("below", F.col("inside") + F.col("before")).drop("step", "weight", "inside", "before")
+
+
+def trade_size_by_role(t: Tables, bins: int = 10, least: int = 100, p_values: bool = True, freq: DataFrame | None = None) -> DataFrame:
     """By price bin: mean and median size of makers and takers, and Mann-Whitney U (makers larger) by rank sums of a frequency table."""
-    rows = book_legs(t).select("role", "price", (F.col("contracts") * F.col("price")).alias("cents"))
+    rows = (freq if freq is not None else frequencies(t)).select("role", "price", "n", (F.col("contracts") * F.col("price")).alias("cents"))
     ends = rows.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    binned = rows.join(F.broadcast(ends)).withColumn("bin", equal_width_bin(F.col("price"), F.col("lo"), F.col("hi"), bins))
+    binned = rows.join(F.broadcast(ends)).withColumn("bin", equal_width_bin(F.col("price"), F.col("lo"), F.col("hi"), bins))  # one row
     maker = F.col("role") == "maker"
-    freq = binned.groupBy("bin", "cents").agg(F.sum(maker.cast("long")).alias("m"), F.sum((~maker).cast("long")).alias("k"))
-    upto = Window.partitionBy("bin").orderBy("cents").rowsBetween(Window.unboundedPreceding, -1)
+    by = binned.groupBy("bin", "cents").agg(F.sum(F.when(maker, F.col("n")).otherwise(0)).alias("m"), F.sum(F.when(maker, 0).otherwise(F.col("n"))).alias("k"))
     tied = F.col("m") + F.col("k")
-    rank = freq.withColumn("below", F.coalesce(F.sum(tied).over(upto), F.lit(0))).withColumn("rank", F.col("below") + (tied + 1) / 2.0)
+    rank = _below(by, "cents", tied, "bin").withColumn("rank", F.col("below") + (tied + 1) / 2.0)
     mid = lambda c: F.percentile("cents", F.lit(0.5), F.col(c)) / 100
     ties = F.sum((tied.cast("double") * tied * tied - tied)).alias("ties")
     by = rank.groupBy("bin").agg(
-        F.sum("m").alias("n1"), F.sum("k").alias("n2"), F.sum(F.col("m") * F.col("rank")).alias("r1"), ties, F.sum(F.col("m") * F.col("cents")).alias("s1"), F.sum(F.col("k") * F.col("cents")).alias("s2"),
-        mid("m").alias("maker_median"), mid("k").alias("taker_median"),
+        F.sum("m").alias("n1"), F.sum("k").alias("n2"), F.sum(F.col("m") * F.col("rank")).alias("r1"), ties,
+        F.sum(F.col("m") * F.col("cents")).alias("s1"), F.sum(F.col("k") * F.col("cents")).alias("s2"), mid("m").alias("maker_median"), mid("k").alias("taker_median"),
     ).where((F.col("n1") >= least) & (F.col("n2") >= least))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     total = n1 + n2
     sd = F.sqrt(n1 * n2 / 12 * (total + 1 - F.col("ties") / (total * (total - 1))))
-    out = by.select("bin", F.col("n1").alias("maker_n"), F.col("n2").alias("taker_n"), ratio(F.col("s1"), n1, 0.01).alias("maker_mean"), ratio(F.col("s2"), n2, 0.01).alias("taker_mean"), "maker_median", "taker_median", u.alias("u"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"), ((u - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    out = by.select(
+        "bin", F.col("n1").alias("maker_n"), F.col("n2").alias("taker_n"), ratio(F.col("s1"), n1, 0.01).alias("maker_mean"),
+        ratio(F.col("s2"), n2, 0.01).alias("taker_mean"), "maker_median", "taker_median", u.alias("u"), (1 - 2 * u / (n1 * n2)).alias("rank_biserial"),
+        ((u - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))).alias("z"),
+    )
     out = out.withColumn("mean_ratio", F.col("maker_mean") / F.nullif("taker_mean", F.lit(0.0)))
     return out.withColumn("p", normal_upper_p("z")) if p_values else out
 
 
-def yes_no_asymmetry(t: Tables, least: int = 100, p_values: bool = True) -> DataFrame:
+def yes_no_asymmetry(t: Tables, least: int = 100, p_values: bool = True, freq: DataFrame | None = None) -> DataFrame:
     """Takers' weighted win rates on YES and NO at the listed prices, pooled z, and expected value in percent of the price."""
-    by = book_legs(t).where("role = 'taker'").where(F.col("price").isin(*PRICES)).groupBy("price", "side").agg(*moments())
-    side = lambda s: by.where(F.col("side") == s).where(F.col("n") >= least).select("price", F.col("n").alias(f"{s}_n"), F.col("contracts").cast("double").alias(f"{s}_c"), F.col("cw").cast("double").alias(f"{s}_w"))
-    out = side("yes").join(side("no"), "price")
+    rows = totals(freq if freq is not None else frequencies(t)).where("role = 'taker'").where(F.col("price").isin(*PRICES))
+    pick = lambda s, c: F.sum(F.when(F.col("side") == s, F.col(c)))
+    sums = [pick(s, c).alias(f"{s}_{name}") for s in ("yes", "no") for c, name in (("n", "n"), ("contracts", "c"), ("cw", "w"))]
+    both = rows.groupBy("price", "side").agg(*moments()).where(F.col("n") >= least).groupBy("price").agg(*sums)
+    out = both.where("yes_n is not null and no_n is not null").select("price", *[F.col(c).cast("double" if c[-1] in "cw" else "long").alias(c) for c in both.columns[1:]])
     z = two_proportion_z(F.col("yes_w"), F.col("yes_c"), F.col("no_w"), F.col("no_c"))
     rate = {s: F.col(f"{s}_w") / F.col(f"{s}_c") for s in ("yes", "no")}
     p = F.col("price") / 100
-    out = out.select("price", "yes_n", "no_n", *[rate[s].alias(f"{s}_win_rate") for s in rate], *[((rate[s] - p) / p * 100).alias(f"{s}_ev_pct") for s in rate], z.alias("z"))
+    rates, values = [rate[s].alias(f"{s}_win_rate") for s in rate], [((rate[s] - p) / p * 100).alias(f"{s}_ev_pct") for s in rate]
+    out = out.select("price", "yes_n", "no_n", *rates, *values, z.alias("z"))
     return out.withColumn("p", normal_two_sided_p("z")) if p_values else out
 
 
@@ -70,36 +96,46 @@ def _compared(a: DataFrame, b: DataFrame, on: list[str], names: tuple[str, str],
     return out.withColumn("p", student_two_sided_p("t", "df")) if p_values else out
 
 
-def category_gaps(t: Tables, rules: DataFrame | None = None, base: str = "Finance", least: int = 100, p_values: bool = True) -> DataFrame:
+def category_gaps(
+    t: Tables, rules: DataFrame | None = None, base: str = "Finance", least: int = 100, p_values: bool = True, freq: DataFrame | None = None
+) -> DataFrame:
     """Takers' excess in each other group against ``base``."""
     rules = rules if rules is not None else rules_table(t.book_trades.sparkSession)
-    by = book_legs(t).where("role = 'taker'").groupBy("category").agg(*moments())
-    by = classify(by, rules).groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "se", "se2")]).where(F.col("n") >= least)
+    rows = totals(freq if freq is not None else frequencies(t)).where("role = 'taker'")
+    classes = classify(resolved(t.book_markets).select("category").distinct(), rules).select("category", "group")  # from the markets
+    by = rows.groupBy("category").agg(*moments()).join(classes, "category").groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "se", "se2")])
+    by = by.where(F.col("n") >= least)
     by = by.select("group", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
     names = by.where(F.col("group") != base).select("group")
     held = by.where(F.col("group") == base).drop("group").crossJoin(names)  # one row with a handful
     return _compared(held, by, ["group"], ("base", "other"), p_values)
 
 
-def trade_size_performance(t: Tables, bins: int = 20) -> DataFrame:
-    """One row: Pearson and Spearman of takers' log10 size and excess, and the weighted line over size bins with its R².
+def trade_size_performance(t: Tables, bins: int = 20, p_values: bool = True, freq: DataFrame | None = None) -> DataFrame:
+    """One row: Pearson and Spearman of takers' log10 size and excess with their p, and the weighted line over size bins with its R².
 
-    All come from the frequency table of (size, excess). The line is fitted with the bins' counts, its R² uses their roots.
+    All come from the frequency table of (size, excess); sizes under a cent count as one. The line is fitted with the
+    bins' counts, its R² uses their roots.
     """
-    rows = book_legs(t).where("role = 'taker'").groupBy((F.col("contracts") * F.col("price")).alias("cents"), "e").agg(F.count(F.lit(1)).alias("f"))
-    rows = rows.where("cents > 0").withColumn("x", F.log10(F.col("cents") / 100)).withColumn("y", F.col("e") / 100)
+    rows = (freq if freq is not None else frequencies(t)).where("role = 'taker'")
+    rows = rows.groupBy(F.greatest(F.col("contracts") * F.col("price"), F.lit(1)).cast("long").alias("cents"), "e").agg(F.sum("n").alias("f"))
+    rows = rows.withColumn("x", F.log10(F.col("cents") / 100)).withColumn("y", F.col("e") / 100)
 
     def ranked(col: str) -> DataFrame:
-        by = rows.groupBy(col).agg(F.sum("f").alias("c"))
-        upto = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)  # distinct sizes or excesses, not rows
-        return by.select(col, (F.coalesce(F.sum("c").over(upto), F.lit(0)) + (F.col("c") + 1) / 2.0).alias(f"rank_{col}"))
+        by = _below(rows.groupBy(col).agg(F.sum("f").alias("c")), col, F.col("c"))
+        return by.select(col, (F.col("below") + (F.col("c") + 1) / 2.0).alias(f"rank_{col}"))
 
     def correlation(x: str, y: str, name: str) -> Column:
         w, a, b = F.col("f"), F.col(x), F.col(y)
         n, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * b)
-        return ((F.sum(w * a * b) - sx * sy / n) / F.sqrt((F.sum(w * a * a) - sx * sx / n) * (F.sum(w * b * b) - sy * sy / n))).alias(name)
-
-    all_ = rows.join(ranked("cents"), "cents").join(ranked("e"), "e").agg(F.sum("f").alias("n"), correlation("x", "y", "pearson"), correlation("rank_cents", "rank_e", "spearman"))
+        spread = F.sqrt((F.sum(w * a * a) - sx * sx / n) * (F.sum(w * b * b) - sy * sy / n))
+        return ((F.sum(w * a * b) - sx * sy / n) / F.nullif(spread, F.lit(0.0))).alias(name)
+
+    both = rows.join(ranked("cents"), "cents").join(ranked("e"), "e")
+    all_ = both.agg(F.sum("f").alias("n"), correlation("x", "y", "pearson"), correlation("rank_cents", "rank_e", "spearman"))
+    if p_values:
+        for name in ("pearson", "spearman"):
+            all_ = all_.withColumn(f"{name}_p", student_two_sided_p(correlation_t(F.col(name), F.col("n")), (F.col("n") - 2).cast("double")))
     ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     by = rows.join(F.broadcast(ends)).groupBy(equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.sum("f").alias("w"), (F.sum(F.col("f") * F.col("x")) / F.sum("f")).alias("bx"), (F.sum(F.col("f") * F.col("y")) / F.sum("f")).alias("by"))
     w, x, y = F.col("w"), F.col("bx"), F.col("by")
@@ -112,28 +148,34 @@ def trade_size_performance(t: Tables, bins: int = 20) -> DataFrame:
     return all_.crossJoin(fitted)  # one row with one row
 
 
-def maker_direction(t: Tables, cap: int = 100, least: int = 100, p_values: bool = True) -> DataFrame:
+def maker_direction(t: Tables, cap: int = 100, least: int = 100, p_values: bool = True, freq: DataFrame | None = None) -> DataFrame:
     """Makers' YES against NO in price ranges, each leg weighted by its contracts up to ``cap``: as if it were repeated so often."""
     span = F.coalesce(*[F.when(F.col("price").between(a, b), F.lit(f"{a}-{b}")) for a, b in RANGES])
-    w, e = F.least("contracts", F.lit(cap)), F.col("e").cast("long")
-    by = book_legs(t).where("role = 'maker'").withColumn("range", span).where("range is not null").groupBy("range", "side").agg(F.count(F.lit(1)).alias("legs"), F.sum(w).alias("n"), F.sum(w * e).alias("se"), F.sum(w * e * e).alias("se2")).where(F.col("legs") >= least)
+    w, e = F.col("n") * F.least("contracts", F.lit(cap)), F.col("e").cast("long")
+    rows = (freq if freq is not None else frequencies(t)).where("role = 'maker'").withColumn("range", span).where("range is not null")
+    by = rows.groupBy("range", "side").agg(F.sum("n").alias("legs"), F.sum(w).alias("n"), F.sum(w * e).alias("se"), F.sum(w * e * e).alias("se2"))
+    by = by.where(F.col("legs") >= least)
     by = by.select("range", "side", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
     return _compared(by.where("side = 'yes'"), by.where("side = 'no'"), ["range"], ("yes", "no"), p_values)
 
 
 def statistical_tests(t: Tables) -> DataFrame:
-    """(test, metric, value) of all five."""
+    """(test, metric, value) of all five, from one frequency table: Spark makes its shuffle once and reads it for each test."""
+    freq = frequencies(t)
+
     def rows(df: DataFrame, test: str, **metrics: Column) -> DataFrame:
         out = df.agg(*[c.cast("double").alias(k) for k, c in metrics.items()])
-        return out.select(F.lit(test).alias("test"), F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics])).alias("r")).select("test", "r.*")
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics])).alias("r")
+        return out.select(F.lit(test).alias("test"), each).select("test", "r.*")
 
     count, significant = F.count(F.lit(1)), F.coalesce(F.sum((F.col("p") < 0.05).cast("int")), F.lit(0))
+    single = {k: F.max(k) for k in ("pearson", "pearson_p", "spearman", "spearman_p", "slope", "r2")}
     parts = [
-        rows(trade_size_by_role(t), "trade_size_by_role", groups=count, significant=significant, mean_ratio=F.avg("mean_ratio")),
-        rows(yes_no_asymmetry(t), "yes_no_asymmetry", groups=count, significant=significant, mean_difference=F.avg(F.col("yes_win_rate") - F.col("no_win_rate"))),
-        rows(category_gaps(t), "category_gaps", groups=count, significant=significant, max_abs_d=F.max(F.abs("cohens_d"))),
-        rows(trade_size_performance(t), "trade_size_performance", pearson=F.max("pearson"), spearman=F.max("spearman"), slope=F.max("slope"), r2=F.max("r2")),
-        rows(maker_direction(t), "maker_direction", groups=count, significant=significant, max_abs_d=F.max(F.abs("cohens_d"))),
+        rows(trade_size_by_role(t, freq=freq), "trade_size_by_role", groups=count, significant=significant, mean_ratio=F.avg("mean_ratio")),
+        rows(yes_no_asymmetry(t, freq=freq), "yes_no_asymmetry", groups=count, significant=significant, mean_difference=F.avg(F.col("yes_win_rate") - F.col("no_win_rate"))),
+        rows(category_gaps(t, freq=freq), "category_gaps", groups=count, significant=significant, max_abs_d=F.max(F.abs("cohens_d"))),
+        rows(trade_size_performance(t, freq=freq), "trade_size_performance", **single),
+        rows(maker_direction(t, freq=freq), "maker_direction", groups=count, significant=significant, max_abs_d=F.max(F.abs("cohens_d"))),
     ]
     out = parts[0]
     for part in parts[1:]:
