@@ -86,11 +86,10 @@ def yes_no_asymmetry(t: Tables, least: int = 100, p_values: bool = True, freq: D
     return out.withColumn("p", normal_two_sided_p("z")) if p_values else out
 
 
-def _compared(a: DataFrame, b: DataFrame, on: list[str], names: tuple[str, str], p_values: bool) -> DataFrame:
-    """Welch's t and Cohen's d of rows (n, mean, var) of two frames."""
-    side = lambda df, s: df.select(*on, *[F.col(c).cast("double").alias(f"{s}_{c}") for c in ("n", "mean", "var")])
-    out = side(a, names[0]).join(side(b, names[1]), on)
-    of = [F.col(f"{s}_{c}") for s in names for c in ("n", "mean", "var")]
+def _compared(rows: DataFrame, key: str, names: tuple[str, str], p_values: bool) -> DataFrame:
+    """Welch's t and Cohen's d of the columns n, mean and var of two sides in each row."""
+    sides = [F.col(f"{s}_{c}").cast("double").alias(f"{s}_{c}") for s in names for c in ("n", "mean", "var")]
+    out, of = rows.select(key, *sides), [F.col(f"{s}_{c}") for s in names for c in ("n", "mean", "var")]
     t, df = welch(*of)
     out = out.withColumn("t", t).withColumn("df", df).withColumn("cohens_d", cohens_d(*of)).withColumn("diff", of[1] - of[4])
     return out.withColumn("p", student_two_sided_p("t", "df")) if p_values else out
@@ -106,9 +105,11 @@ def category_gaps(
     by = rows.groupBy("category").agg(*moments()).join(classes, "category").groupBy("group").agg(*[F.sum(c).alias(c) for c in ("n", "se", "se2")])
     by = by.where(F.col("n") >= least)
     by = by.select("group", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
-    names = by.where(F.col("group") != base).select("group")
-    held = by.where(F.col("group") == base).drop("group").crossJoin(names)  # one row with a handful
-    return _compared(held, by, ["group"], ("base", "other"), p_values)
+    # the base group's values beside each other group: a handful of rows in one window
+    everything = Window.partitionBy(F.lit(1))
+    held = [F.max(F.when(F.col("group") == base, F.col(c))).over(everything).alias(f"base_{c}") for c in ("n", "mean", "var")]
+    both = by.select("group", *held, *[F.col(c).alias(f"other_{c}") for c in ("n", "mean", "var")])
+    return _compared(both.where((F.col("group") != base) & F.col("base_n").isNotNull()), "group", ("base", "other"), p_values)
 
 
 def trade_size_performance(t: Tables, bins: int = 20, p_values: bool = True, freq: DataFrame | None = None) -> DataFrame:
@@ -156,7 +157,9 @@ def maker_direction(t: Tables, cap: int = 100, least: int = 100, p_values: bool
     by = rows.groupBy("range", "side").agg(F.sum("n").alias("legs"), F.sum(w).alias("n"), F.sum(w * e).alias("se"), F.sum(w * e * e).alias("se2"))
     by = by.where(F.col("legs") >= least)
     by = by.select("range", "side", "n", ratio(F.col("se"), F.col("n"), 0.01).alias("mean"), (variance(F.col("n"), F.col("se"), F.col("se2"), sample=True) / 1e4).alias("var"))
-    return _compared(by.where("side = 'yes'"), by.where("side = 'no'"), ["range"], ("yes", "no"), p_values)
+    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
+    both = by.groupBy("range").agg(*[pick(s, c) for s in ("yes", "no") for c in ("n", "mean", "var")])
+    return _compared(both.where("yes_n is not null and no_n is not null"), "range", ("yes", "no"), p_values)
 
 
 def statistical_tests(t: Tables) -> DataFrame:

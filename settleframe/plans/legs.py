@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import category
 
-
 MOMENTS = ("n", "won", "contracts", "sp", "se", "se2", "cp", "ce", "cw")
 
 
@@ -51,6 +50,11 @@ def leg_sums(trades: DataFrame, markets: DataFrame, *keys, strict: bool = True,
     return _outcome(two_legs(sums))
 
 
+def mirrored(sums: DataFrame, markets: DataFrame, strict: bool = True) -> DataFrame:
+    """Legs of trades that were summed before by ticker, side, prices and other columns (n and count), as ``leg_sums`` gives them."""
+    return _outcome(two_legs(sums.join(resolved(markets, strict), "ticker")))
+
+
 def totals(sized: DataFrame) -> DataFrame:
     """Rows of ``leg_sums(sized=True)`` with contracts summed, as ``moments`` needs them."""
     return sized.withColumn("contracts", F.col("n") * F.col("contracts"))

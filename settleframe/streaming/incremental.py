@@ -1,4 +1,7 @@
-"""Exactly-once appends and a running position cube with Structured Streaming."""
+"""Exactly-once appends and a running position cube with Structured Streaming.
+
+Both jobs write each batch into a folder of its own, so a batch that runs again after a failure replaces what it wrote.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +9,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.legs import legs, merged, position_cube
-from ..sources.ingest import ingest_book_trades
+from ..functions.columns import category
+from ..plans.legs import merged, mirrored, position_cube
+from ..sources.ingest import dedup_append, ingest_book_trades
 
 RAW_TRADES = "trade_id string, ticker string, count bigint, yes_price int, no_price int, taker_side string, created_time string"
+STORED = "trade_id string, ticker string, count bigint, yes_price int, no_price int, taker_side string, created_time timestamp_ntz, batch bigint"
+SUMS = "ticker string, day date, taker_side string, yes_price int, no_price int, n bigint, count bigint, batch bigint"
+
 
+def _batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All batches under ``folder``; none if the first one isn't written yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
 
-def append_trades(spark: SparkSession, landing: str, table: str, checkpoint: str, lateness: str = "7 days") -> StreamingQuery:
-    """Landed JSON trades to a Parquet folder: each trade_id once within ``lateness``; a restart goes on where the checkpoint is."""
-    trades = ingest_book_trades(spark.readStream.schema(RAW_TRADES).json(landing)).withColumn("at", F.col("created_time").cast("timestamp"))
-    once = trades.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["trade_id"]).drop("at")
-    return once.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def append_trades(spark: SparkSession, landing: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Landed JSON trades to a Parquet folder, each trade_id once, however late it comes; of a batch's repeats the earliest stays.
 
-def grow_cube(trades: DataFrame, markets: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the moments of each batch of streamed trades under ``folder``, by batch: one that runs again replaces its own."""
+    Of the stored keys only those that the batch has too are compared; a restart goes on where the checkpoint is.
+    """
+    trades = ingest_book_trades(spark.readStream.schema(RAW_TRADES).json(landing))
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = legs(batch, markets).withColumn("day", F.to_date("created_time"))
-        position_cube(rows, "day").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        stored = _batches(batch.sparkSession, table, STORED).where(F.col("batch") != number).select("trade_id")
+        seen = stored.join(batch.select("trade_id").distinct(), "trade_id", "left_semi")
+        order = ["created_time", "ticker", "count", "yes_price", "no_price", "taker_side"]
+        dedup_append(seen, batch, ["trade_id"], order).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return trades.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cube_so_far(spark: SparkSession, folder: str) -> DataFrame:
-    """All batches' moments added up."""
-    return merged(spark.read.parquet(folder), "day", "role", "side", "price")
+def stored_trades(spark: SparkSession, table: str) -> DataFrame:
+    """What ``append_trades`` stored."""
+    return _batches(spark, table, STORED).drop("batch")
+
+
+def grow_cube(trades: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep sums of each batch of streamed trades by ticker, day, side and prices under ``folder``.
+
+    Outcomes are joined when the cube is read, so a trade that comes before its market is resolved counts from then on.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        by = batch.groupBy("ticker", F.to_date("created_time").alias("day"), "taker_side", "yes_price", "no_price")
+        by.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("count")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return trades.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cube_so_far(spark: SparkSession, folder: str, markets: DataFrame, strict: bool = True) -> DataFrame:
+    """Moments by day, category, role, side and price of all trades so far in markets that are resolved by now."""
+    sums = _batches(spark, folder, SUMS).groupBy("ticker", "day", "taker_side", "yes_price", "no_price").agg(F.sum("n").alias("n"), F.sum("count").alias("count"))
+    return position_cube(mirrored(sums, markets, strict), "day", "category")
+
+
+def cube_of_all(cube: DataFrame) -> DataFrame:
+    """The same over all days and categories."""
+    return merged(cube, "role", "side", "price")
+
+
+def pending_categories(spark: SparkSession, folder: str, markets: DataFrame) -> DataFrame:
+    """(category, n): trades so far whose market has no outcome yet; without a market their category is null."""
+    open_ = markets.select("ticker", category(F.col("event_ticker")).alias("category"), F.col("result").isin("yes", "no").alias("done"))
+    by = _batches(spark, folder, SUMS).groupBy("ticker").agg(F.sum("n").alias("n")).join(open_, "ticker", "left")
+    return by.where(~F.coalesce("done", F.lit(False))).groupBy("category").agg(F.sum("n").alias("n"))

@@ -1,7 +1,11 @@
-"""Goldens on a hand-made fixture, invariants, and the oracles at the smallest scale."""
+"""Analyses against plain Python over rows of our own, invariants, plans, and the oracles at the smallest scale."""
 
 import datetime
+import json
 import math
+import random
+from collections import Counter, defaultdict
+from statistics import median, pstdev
 
 import duckdb
 import pytest
@@ -10,72 +14,140 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from settleframe import oracle, registry
 from settleframe.functions import stats
+from settleframe.functions.columns import sample_n
 from settleframe.operators import book, categories
-from settleframe.plans.legs import merged, position_cube
+from settleframe.plans.legs import leg_sums, legs, merged, moments, position_cube
 from settleframe.sources import ingest, landed, sinks
-from settleframe.sources.tables import Tables, stand_in_tables
+from settleframe.sources.tables import Tables, read_collateral, read_tables, stand_in_tables
+from settleframe.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
+TRADES = "trade_id string, ticker string, count bigint, yes_price int, no_price int, taker_side string, created_time timestamp_ntz"
+MARKETS = "ticker string, status string, result string, volume bigint, event_ticker string"
+#: a resolved YES and NO, one without event, one that is closed but not finalized, and two without outcome
+OUTCOMES = [
+    ("rain", "finalized", "yes", 70, "RAIN-MAY"), ("goal", "finalized", "no", 40, "GOAL7x"), ("odd", "finalized", "no", None, None),
+    ("coin", "closed", "yes", 9, "RAIN-JUNE"), ("void", "finalized", "", 5, "VOID"), ("open", "open", "", 3, ""),
+]
+
+
+def _trades():
+    """A few hundred trades in ties and repeats, in all markets and one that is unknown, at prices from 1 to 99."""
+    draw, rows, start = random.Random(77), [], datetime.datetime(2023, 11, 9, 21, 17, 5, 250)
+    for k in range(900):
+        yes = draw.choice([1, 4, 4, 19, 20, 21, 37, 50, 50, 63, 80, 96, 99])
+        ticker = draw.choice(["rain", "rain", "goal", "goal", "odd", "coin", "void", "open", "unknown"])
+        at = start + datetime.timedelta(minutes=draw.randrange(400_000), microseconds=draw.randrange(1000))
+        rows.append((f"t{k}", ticker, draw.choice([0, 1, 2, 2, 7, 30, 150]), yes, 100 - yes, draw.choice(["yes", "no"]), at))
+    return rows
+
+
+ROWS = _trades()
+
+
+def brute_legs(strict=True):
+    """(role, side, price, won, contracts, time, category) by plain Python."""
+    market = {m[0]: m for m in OUTCOMES}
+    for _, ticker, count, yes, no, taker, at in ROWS:
+        _, status, result, _, event = market.get(ticker, (None, None, None, None, None))
+        if result not in ("yes", "no") or (strict and status != "finalized"):
+            continue
+        lead = "".join(c for i, c in enumerate(event or "") if all(x.isupper() or x.isdigit() for x in event[: i + 1]))
+        for role, side in (("taker", taker), ("maker", "no" if taker == "yes" else "yes")):
+            yield role, side, yes if side == "yes" else no, int(side == result), count, at, lead or "independent"
 
 
 @pytest.fixture(scope="module")
 def fixture(spark):
-    rows, i = [], 0
-    for _ in range(100):
-        for p in (10, 20, 30, 50, 60, 70, 90):
-            for ticker, side, yes, count in (("MKT-A", "yes", p, 10), ("MKT-B", "no", 100 - p, 5), ("MKT-B", "yes", p, 3)):
-                i += 1
-                rows.append((str(i), ticker, count, yes, 100 - yes, side, datetime.datetime(2024, 6, 1, 12) + datetime.timedelta(minutes=i)))
-    trades = spark.createDataFrame(rows, "trade_id string, ticker string, count bigint, yes_price int, no_price int, taker_side string, created_time timestamp_ntz")
-    markets = spark.createDataFrame([("MKT-A", "finalized", "yes", 1000, "INXD-24JAN01"), ("MKT-B", "finalized", "no", 2000, "NFLGAME-25FEB01")], "ticker string, status string, result string, volume bigint, event_ticker string")
-    return Tables(trades, markets, None, None, None, None, None)
+    return Tables(spark.createDataFrame(ROWS, TRADES), spark.createDataFrame(OUTCOMES, MARKETS), None, None, None, None, None)
 
 
-def by(df, key):
-    return {r[key]: r for r in df.collect()}
+def by(df, *keys):
+    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}
 
 
-def test_win_rate_golden(fixture):
+def test_win_rates(fixture):
+    want = defaultdict(list)
+    for _, _, price, won, *_ in brute_legs():
+        want[price].append(won)
     got = by(book.win_rate_by_price(fixture), "price")
-    assert {p: (r.total_trades, r.wins) for p, r in got.items()} == {10: (600, 300), 20: (300, 200), 30: (600, 300), 40: (300, 100), 50: (600, 300), 60: (300, 200), 70: (600, 300), 80: (300, 100), 90: (600, 300)}
+    assert {p: (r.total_trades, r.wins, r.win_rate) for p, r in got.items()} == {p: (len(w), sum(w), pytest.approx(100 * sum(w) / len(w))) for p, w in want.items()}
 
 
-def test_returns_golden(fixture):
+def test_returns(fixture):
+    want = defaultdict(list)
+    for role, _, price, won, count, *_ in brute_legs():
+        want[role, price].append((won - price / 100, count))
     got = by(book.maker_vs_taker_returns(fixture), "price")
-    assert sorted(got) == [10, 30, 50, 70, 90]
-    assert got[10].taker_excess == pytest.approx(0.566667, abs=1e-6) and got[10].taker_pnl == 1320 and got[90].maker_pnl == -1320
-    assert got[50].taker_var == pytest.approx(2 / 9) and 0 <= got[50].taker_p <= 1
+    assert set(got) == {p for r, p in want if r == "taker"} & {p for r, p in want if r == "maker"}
+    for price, r in got.items():
+        for role in ("taker", "maker"):
+            x = [e for e, _ in want[role, price]]
+            assert r[f"{role}_n"] == len(x) and r[f"{role}_excess"] == pytest.approx(sum(x) / len(x)) and r[f"{role}_var"] == pytest.approx(pstdev(x) ** 2)
+            assert r[f"{role}_pnl"] == pytest.approx(sum(e * c for e, c in want[role, price]))
+            if r[f"{role}_z"] is not None:
+                assert r[f"{role}_p"] == pytest.approx(math.erfc(abs(r[f"{role}_z"]) / math.sqrt(2)))
 
 
-def test_sizes_golden(fixture):
+def test_sizes(fixture):
     got = by(book.trade_size_by_role(fixture), "role")
-    assert got["taker"].total == 5940 and got["maker"].total == 6660
-    assert got["taker"]["mean"] == pytest.approx(2.828571, abs=1e-6) and got["maker"].std_pop == pytest.approx(2.361223, abs=1e-6) and got["taker"].p95 == 7
-
-
-def test_calibration_golden(fixture):
-    (row,) = book.calibration_deviation_over_time(fixture).collect()
-    assert row.week == datetime.datetime(2024, 6, 2, 12, 1) and row.cumulative_legs == 2882 and row.mean_abs_deviation == pytest.approx(25.275388, abs=1e-6)
+    for role in ("taker", "maker"):
+        sizes = sorted(price * count / 100 for r, _, price, _, count, *_ in brute_legs() if r == role)
+        at = 0.9 * (len(sizes) - 1)
+        p90 = sizes[int(at)] + (at - int(at)) * (sizes[min(int(at) + 1, len(sizes) - 1)] - sizes[int(at)])
+        r = got[role]
+        assert r.n == len(sizes) and r.total == pytest.approx(sum(sizes)) and r["median"] == pytest.approx(median(sizes))
+        assert r.std_pop == pytest.approx(pstdev(sizes)) and r.p90 == pytest.approx(p90)
+
+
+def test_calibration(fixture):
+    rows = [(at, price, won) for _, _, price, won, _, at, _ in brute_legs(strict=False)]
+    low, high = min(r[0] for r in rows), max(r[0] for r in rows)
+    week = low + datetime.timedelta(days=(6 - low.weekday()) % 7)
+    want = {}
+    while week <= high:
+        seen = defaultdict(list)
+        for at, price, won in rows:
+            if at <= week:
+                seen[price].append(won)
+        n = sum(map(len, seen.values()))
+        if n >= 50:
+            want[week] = (n, pytest.approx(sum(abs(100 * sum(w) / len(w) - p) for p, w in seen.items()) / len(seen)))
+        week += datetime.timedelta(days=7)
+    got = book.calibration_deviation_over_time(fixture, least=50).collect()
+    assert len(want) > 20 and {r.week: (r.cumulative_legs, r.mean_abs_deviation) for r in got} == want
 
 
 def test_legs_mirror(fixture):
-    legs = book.book_legs(fixture)
-    sums = by(legs.groupBy("role").agg(F.sum("won").alias("w"), F.sum(F.col("contracts") * F.col("e")).alias("pnl"), F.count(F.lit(1)).alias("n")), "role")
+    found = book.book_legs(fixture)
+    sums = by(found.groupBy("role").agg(F.sum("won").alias("w"), F.sum(F.col("contracts") * F.col("e")).alias("pnl"), F.count(F.lit(1)).alias("n")), "role")
     assert sums["taker"].w + sums["maker"].w == sums["taker"].n and sums["taker"].pnl + sums["maker"].pnl == 0
+    want = Counter((role, side, price, won, count, category) for role, side, price, won, count, _, category in brute_legs())
+    assert Counter(tuple(r) for r in found.select("role", "side", "price", "won", "contracts", "category").collect()) == want
+
+
+def test_sums_of_trades_are_sums_of_legs(fixture):
+    keys = ("role", "side", "price", "category")
+    direct = legs(fixture.book_trades, fixture.book_markets).groupBy(*keys).agg(*moments())
+    summed = leg_sums(fixture.book_trades, fixture.book_markets, "category").groupBy(*keys).agg(*moments())
+    assert {tuple(r) for r in direct.collect()} == {tuple(r) for r in summed.collect()}
+    fine = position_cube(book.book_legs(fixture).withColumn("day", F.to_date("created_time")), "day")
+    assert {tuple(r) for r in merged(fine, "role", "side", "price").collect()} == {tuple(r) for r in position_cube(book.book_legs(fixture)).collect()}
 
 
-def test_cube_is_direct(fixture):
-    legs = book.book_legs(fixture)
-    fine = position_cube(legs.withColumn("day", F.to_date("created_time")), "day")
-    assert {tuple(r) for r in merged(fine, "role", "side", "price").collect()} == {tuple(r) for r in position_cube(legs).collect()}
+def test_analyses_read_a_stored_cube(spark, fixture, tmp_path):
+    book.position_moments(fixture).write.parquet(str(tmp_path / "cube"))
+    cube, gone = spark.read.parquet(str(tmp_path / "cube")), Tables(*[None] * 7)
+    for analysis in (book.win_rate_by_price, book.mispricing_by_price, book.maker_counterparty_excess, book.maker_win_rate_by_direction, book.longshot_volume_share):
+        assert sorted(map(str, analysis(gone, cube=cube).collect())) == sorted(map(str, analysis(fixture).collect()))
 
 
-def test_one_scan(fixture):
-    plan = book.win_rate_by_price(fixture)._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and plan.count("Generate") <= 2
+def test_trades_are_summed_before_they_are_mirrored(fixture):
+    plan = book.win_rate_by_price(fixture)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and plan.count("Generate") == 1 and plan.index("Generate") < plan.rindex("Aggregate") < plan.index("Join")
 
 
-@pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category"])
+@pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category", "maker_counterparty_excess", "test_category_gaps", "test_maker_direction", "test_yes_no_asymmetry"])
 def test_roles_share_one_scan_of_trades(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
@@ -88,8 +160,16 @@ def test_first_rule_holds(spark):
 
 
 def test_student_and_normal(spark):
-    assert stats.student_p(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and stats.student_p(0, 5) == pytest.approx(1)
-    assert spark.range(1).select(stats.normal_two_sided_p(F.lit(1.96)).alias("p")).first().p == pytest.approx(math.erfc(1.96 / math.sqrt(2)))
+    #: fixed values: published two-sided 5 and 1 percent points of Student's t
+    for df, five, one in ((1, 12.7062, 63.6567), (5, 2.5706, 4.0321), (10, 2.2281, 3.1693), (30, 2.0423, 2.7500), (120, 1.9799, 2.6174)):
+        assert stats.student_p(five, df) == pytest.approx(0.05, abs=1e-5) and stats.student_p(-one, df) == pytest.approx(0.01, abs=1e-5)
+    assert stats.student_p(0, 5) == pytest.approx(1) and stats.student_p(math.inf, 3) == 0 and math.isnan(stats.student_p(1.0, 0))
+    rows = spark.createDataFrame([(1.96,), (0.0,), (-3.5,), (None,)], "z double")
+    got = [tuple(r) for r in rows.select(stats.normal_two_sided_p("z"), stats.normal_upper_p("z")).collect()]
+    assert got[0] == (pytest.approx(0.0499958, abs=1e-6), pytest.approx(0.0249979, abs=1e-6)) and got[1] == (1.0, 0.5) and got[3] == (None, None)
+    assert got[2][1] == pytest.approx(1 - got[2][0] / 2)
+    r = spark.createDataFrame([(0.5, 12), (1.0, 9), (0.3, 2)], "r double, n long").select(stats.correlation_t(F.col("r"), F.col("n")).alias("t")).collect()
+    assert [x.t for x in r] == [pytest.approx(0.5 * math.sqrt(10 / 0.75)), math.inf, None]
 
 
 def test_event_times(spark):
@@ -125,7 +205,10 @@ def test_registered_blocks_keep_every_recorded_time(spark):
     assert len(got) == len(want) and dict(got) == want
 
 
-@pytest.mark.parametrize("name", ["win_rate_by_price", "ev_yes_vs_no", "trade_size_by_role", "market_types_topn", "chain_win_rate_by_price", "chain_trades_per_block", *oracle.INGEST_SQL])
+@pytest.mark.parametrize("name", [
+    "win_rate_by_price", "ev_yes_vs_no", "trade_size_by_role", "market_types_topn", "chain_win_rate_by_price", "chain_trades_per_block", "statistical_tests",
+    "maker_vs_taker_returns", "calibration_deviation_over_time", "top_groups", "iso_blocks", "interpolate_blocks", "volume_chart_short", *oracle.INGEST_SQL,
+])
 def test_oracles(spark, name):
     con = duckdb.connect()
     for table in ("lineitem", "orders", "events", "nation", "part"):
@@ -157,17 +240,83 @@ def test_entry(spark):
     assert stand_in_tables(spark, SF).book_trades.count() > 0
 
 
-def test_streams(spark, tmp_path, fixture):
-    from settleframe.streaming import incremental
-
-    landing = tmp_path / "landing"
-    landing.mkdir()
-    line = '{"trade_id": "%s", "ticker": "MKT-A", "count": 1, "yes_price": 40, "no_price": 60, "taker_side": "yes", "created_time": "2024-06-01T12:00:00Z"}'
-    (landing / "a.json").write_text("\n".join(line % k for k in ("1", "1", "2")))
-    for _ in range(2):
-        incremental.append_trades(spark, str(landing), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
-    stored = spark.read.parquet(str(tmp_path / "t"))
-    assert sorted(r.trade_id for r in stored.collect()) == ["1", "2"]
-    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "t"))
-    incremental.grow_cube(stream, fixture.book_markets, str(tmp_path / "cube"), str(tmp_path / "c2")).awaitTermination(120)
-    assert {(r.role, r.n, r.won) for r in incremental.cube_so_far(spark, str(tmp_path / "cube")).collect()} == {("taker", 2, 2), ("maker", 2, 0)}
+LINE = {"ticker": "rain", "count": 1, "yes_price": 40, "no_price": 60, "taker_side": "yes"}
+
+
+def _land(folder, name, *trades):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(LINE | {"trade_id": k, "created_time": at} | more) for k, at, more in trades))
+
+
+def _stored(spark, tmp_path):
+    incremental.append_trades(spark, str(tmp_path / "landing"), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination(120)
+    return sorted((r.trade_id, r["count"]) for r in incremental.stored_trades(spark, str(tmp_path / "table")).collect())
+
+
+def test_appends_keep_each_trade_once_in_any_order(spark, tmp_path):
+    _land(tmp_path / "landing", "a.json", ("1", "2024-06-01T12:00:00Z", {}), ("1", "2024-06-01T11:00:00Z", {"count": 5}), ("2", "2024-06-01T12:00:00Z", {}))
+    assert _stored(spark, tmp_path) == [("1", 5), ("2", 1)]
+    _land(tmp_path / "landing", "b.json", ("3", "2024-07-01T12:00:00Z", {}), ("2", "2024-07-01T12:00:00Z", {"count": 9}))
+    assert _stored(spark, tmp_path) == [("1", 5), ("2", 1), ("3", 1)]
+    _land(tmp_path / "landing", "c.json", ("4", "2024-06-10T12:00:00Z", {}), ("5", "2019-01-01T00:00:00Z", {}))  # long before what is stored
+    assert _stored(spark, tmp_path) == [("1", 5), ("2", 1), ("3", 1), ("4", 1), ("5", 1)]
+    for log in (tmp_path / "check" / "commits").glob("*2*"):
+        log.unlink()  # the last batch was written, but the stream didn't live to say so: it runs again
+    assert _stored(spark, tmp_path) == [("1", 5), ("2", 1), ("3", 1), ("4", 1), ("5", 1)]
+
+
+def test_cube_counts_trades_of_markets_that_resolve_later(spark, tmp_path):
+    folder, early = str(tmp_path / "cube"), spark.createDataFrame([("rain", "open", "", 1, "RAIN")], MARKETS)
+    late = spark.createDataFrame([("rain", "finalized", "yes", 1, "RAIN")], MARKETS)
+    source = tmp_path / "trades"
+    for k, rows in enumerate((ROWS[:500], ROWS[500:])):
+        spark.createDataFrame(rows, TRADES).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(TRADES).parquet(str(source))
+        incremental.grow_cube(stream, folder, str(tmp_path / "check")).awaitTermination(120)
+        if not k:
+            assert incremental.cube_so_far(spark, folder, early).count() == 0
+            assert by(incremental.pending_categories(spark, folder, early), "category")["RAIN"].n == sum(r[1] == "rain" for r in ROWS[:500])
+    trades = spark.createDataFrame(ROWS, TRADES)
+    want = position_cube(legs(trades, late).withColumn("day", F.to_date("created_time")), "day", "category")
+    assert {tuple(r) for r in incremental.cube_so_far(spark, folder, late).collect()} == {tuple(r) for r in want.collect()}
+    everything = {tuple(r) for r in position_cube(legs(trades, late)).collect()}
+    assert {tuple(r) for r in incremental.cube_of_all(incremental.cube_so_far(spark, folder, late)).collect()} == everything
+
+
+def test_tables_and_lookups_are_read_with_their_schemas(spark, fixture, tmp_path):
+    made = stand_in_tables(spark, SF)
+    for name in ("book_trades", "book_markets", "chain_trades", "chain_legacy_trades", "chain_markets", "blocks", "collateral_lookup"):
+        rows = getattr(fixture if name.startswith("book") else made, name)
+        rows.select(*[F.col(c).cast("int") if c == "outcome_index" else F.col(c) for c in rows.columns if c != "outcome_index"]).write.parquet(str(tmp_path / name))
+    tables = read_tables(spark, str(tmp_path))
+    assert {r.price: r.wins for r in book.win_rate_by_price(tables).collect()} == {r.price: r.wins for r in book.win_rate_by_price(fixture).collect()}
+    assert "_fetched_at" in tables.book_trades.columns and tables.chain_markets.schema["closed"].dataType.typeName() == "boolean"
+    (tmp_path / "c.json").write_text('{"0xA": {"collateral_symbol": "USDC", "collateral_address": "0x1"}, "0xB": {"collateral_symbol": null}, "0xC": {}}')
+    assert sorted(map(tuple, read_collateral(spark, str(tmp_path / "c.json")).collect())) == [("0xA", "USDC", "0x1"), ("0xB", None, None), ("0xC", None, None)]
+
+
+def test_samples_times_provenance_and_compaction(spark, tmp_path):
+    rows = spark.range(5000).withColumn("v", F.col("id") % 7)
+    one, two = ({r.id for r in sample_n(rows.repartition(k), 100, 5, "id").collect()} for k in (1, 6))
+    assert one == two and len(one) == 100 and one != {r.id for r in sample_n(rows, 100, 6, "id").collect()}
+    assert sample_n(rows, 9000, 5, "id").count() == 5000 and sample_n(rows.limit(0), 3, 5, "id").count() == 0
+    times = ingest.iso_blocks(spark.createDataFrame([(1, 0), (2, 1_717_243_205), (3, None)], "block_number long, ts long")).collect()
+    assert [r.timestamp for r in times] == ["1970-01-01T00:00:00Z", "2024-06-01T12:00:05Z", None]
+    tagged = ingest.tag_provenance(rows.limit(2), "0xc").collect()
+    assert {r._contract for r in tagged} == {"0xc"} and len({r._fetched_at for r in tagged}) == 1
+    assert ingest.tag_provenance(rows.limit(1)).first()._contract is None
+    ingest.compact(rows.repartition(20), str(tmp_path / "t"), "id", rows=1000, partitions=4)
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert 4 <= len(files) <= 8 and spark.read.parquet(str(tmp_path / "t")).count() == 5000
+    ranges = sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name()).agg(F.min("id").alias("a"), F.max("id").alias("b")).collect())
+    assert all(b < a for (_, b), (a, _) in zip(ranges, ranges[1:], strict=False))
+
+
+def test_top_groups_are_the_largest_in_order(fixture):
+    every = categories.maker_taker_returns_by_category(fixture).collect()
+    got = categories.top_groups(fixture, n=1).collect()
+    assert [r.group for r in got] == [max(every, key=lambda r: r.taker_volume).group]
+
+
+def test_entry_names_what_is_there():
+    assert (entry.llm is None) == (not any(k.startswith("op1_") for k in entry.queries()))
