@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id: a histogram of payload bytes over id ranges fixes the shards, so the same rows always
-make the same files. A task writes a shard under temporary names, rolls to the next file once the compressed size passes
+Records are range-sorted by id: ranges of about equal payload bytes, from a sample of ids that a hash draws, fix the
+shards, so the same rows always make the same files. A task writes a shard under temporary names, rolls to the next file once the compressed size passes
 ``roll_bytes``, renames each whole file, and returns its manifest line; a task that runs again writes the same bytes.
 Only files in the manifest belong to an archive. Headers, lengths and digests are made from the payloads anew.
 """
@@ -20,11 +20,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import ranges
 from .runtime import ready, scratch, written
 
 SHARD_BYTES = 64 << 20  # payload bytes aimed at for a shard
 ROLL_BYTES = 16 << 20  # compressed bytes after which a file ends; one record may go beyond
-BINS = 4096  # id ranges in the histogram that fixes the shards
 MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, intact boolean"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,21 +124,11 @@ def _write(folder: str, roll_bytes: int):
 
 
 def _shard_of(pages: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """A shard number that rises with page_id, and how many there are; null ids are in the first shard."""
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None or high == low:
-        return F.lit(0), 1
-    width = max(1, -(-(high - low + 1) // BINS))
-    bin_of = F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(0)).cast("int")
-    sizes = dict(pages.groupBy(bin_of.alias("b")).agg(F.sum(size)).collect())
-    shards, shard, held = [], 0, 0
-    for b in range(BINS):
-        if held and held + sizes.get(b, 0) > shard_bytes:
-            shard, held = shard + 1, 0
-        shards.append(shard)
-        held += sizes.get(b, 0)
-    return F.element_at(F.lit(shards), bin_of + 1), shard + 1
+    """A shard number that rises with page_id, and how many there are. Null ids come first, dealt by their rows' hashes."""
+    first = F.coalesce("page_id", F.lit(-(1 << 63)))
+    second = F.when(F.col("page_id").isNull(), F.xxhash64("url", "html")).otherwise(F.lit(0))
+    cut = ranges(pages, first, second, F.coalesce(F.octet_length("html"), F.lit(0)) + 500, shard_bytes)
+    return cut.of(first, second), cut.n
 
 
 def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:

@@ -126,6 +126,37 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_shards_follow_bytes(spark):
+    rows = [(k, f"u{k}", "x" * 200) for k in range(300)]
+    nulls = [(None, f"n{k}", "y" * 200 + str(k)) for k in range(150)]
+    for made in (rows, rows[:-1] + [(9 * 10**15, "far", "x" * 200)], rows[:150] + nulls):
+        pages = spark.createDataFrame(made, "page_id bigint, url string, html string")
+        manifest = warc.write_archive(pages, scratch(spark, "warc-test"), shard_bytes=14_000).collect()
+        per = [sum(m.records for m in manifest if m.shard == s) for s in {m.shard for m in manifest}]
+        assert len(per) in (15, 16) and max(per) <= 30 and sum(per) == 300
+    ordered = sorted(manifest, key=lambda m: (m.shard, m.part))
+    assert all(a.last_id is None or b.first_id >= a.last_id for a, b in zip(ordered, ordered[1:], strict=False))
+
+
+def test_warc_task_that_runs_again_leaves_whole_files_only(tmp_path):
+    batch = pa.RecordBatch.from_pylist([{"page_id": k, "url": "u", "html": f"<p>{k}", "name": None, "head": None, "shard": 0} for k in range(40)])
+    write = warc._write(f"file://{tmp_path}", 500)
+
+    def broken():
+        yield batch.slice(0, 25)
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        list(write(broken()))
+    early = {f.name: f.read_bytes() for f in tmp_path.glob("*.warc.gz")}
+    (again,) = write(iter([batch.slice(0, 7), batch.slice(7)]))
+    lines = again.to_pylist()
+    assert sum(m["records"] for m in lines) == 40 and len(early) > 1
+    for m in lines:  # files of the lost task are replaced by the same bytes, and what it left half written has another name
+        content = (tmp_path / m["file"]).read_bytes()
+        assert len(content) == m["bytes"] and hashlib.sha256(content).hexdigest() == m["sha256"] and early.get(m["file"], content) == content
+
+
 def test_toxicity():
     draw = random.Random(1)
     clean = [" ".join(words(draw.randrange(1, 200), k)) for k in range(400)]
@@ -295,8 +326,14 @@ def test_decontamination(spark, monkeypatch):
         want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     for size in (decontam.BLOCK_CHARS, 40):  # one block, and many
         monkeypatch.setattr(decontam, "BLOCK_CHARS", size)
-        got = {r.doc_id: tuple(r)[1:] for r in decontam.report(docs(spark, texts), bench).collect()}
-        assert got == want
+        report = decontam.report(docs(spark, texts), bench)
+        assert {r.doc_id: tuple(r)[1:] for r in report.collect()} == want
+        assert report._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert not any(r.n_hit for r in decontam.report(docs(spark, texts), bench.limit(0)).collect())
+    whole = " ".join(["again"] * 5000)  # a benchmark that repeats itself has one pattern
+    assert [len(t.bucket) for t in decontam.build([("a", whole), ("b", whole)]).tables] == [1]
+    block = pa.array([None, "", "x " * 400_000, whole, "a" * 2_000_000])
+    assert [len(decontam.search(w := decontam.words(p, decontam.WORDLIKE), decontam.build([("a", whole)]))[1]) for p in decontam.slices(block, 1 << 62)] == [4991] and len(w.hash) == 405_001
 
 
 def test_mixing(spark):
