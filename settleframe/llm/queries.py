@@ -18,10 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its number of 4-word shingles, its group by similarity 0.8, and whether it stays: see ``near_duplicates``."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fold, language by compression, score, margin and whether it is rejected.
+
+    Null texts and texts without a letter are und, with score 0. Equal texts have equal rows. Without labelled texts all are und.
+    """
     docs = _table(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.where(~held_out("doc_id")))
     out = langid.identified(docs.select("doc_id", "text"), dictionaries)
@@ -29,11 +34,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as its record was read back from a WARC archive: see ``warc.write_archive`` for ties, nulls and repeats."""
     records = warc.round_trip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fold, toxicity score and prediction. Null and empty texts have the score of a text without words."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     out = toxicity.scored(docs.select("doc_id", "text"), model)
@@ -42,14 +49,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with host, path, rule and verdict: see ``urlfilter.filtered`` for nulls and ties."""
     return urlfilter.filtered(_table(spark, sf_dir, "pages")).drop("globs")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its edited text and the next document: see ``fingerprint.fingerprints``."""
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its fold, quality score and prediction. Null and empty texts are scored by statistics of 0."""
     stats = quality.measured(_table(spark, sf_dir, "documents"))
     model = quality.fit_labels(stats, _table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     score = F.col("score")
@@ -57,21 +67,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its words, hit words and benchmark items: see ``decontam.contamination``."""
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its source's target, the words taken of it, and where they are placed: see ``mixing.taken``."""
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each encoded length that occurs with its documents and suffix sums: see ``tokencount.suffix_sums``."""
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_near_dups, op2_language, op3_warc, op4_toxicity, op5_url_filter, op6_fingerprint, op7_quality, op8_decontamination, op9_mixing, op10_token_counts,
+        op1_near_dups, op2_language, op3_warc, op4_toxicity, op5_url_filter, op6_fingerprint, op7_quality, op8_decontamination, op9_mixing,
+        op10_token_counts,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,10 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 2000  # rows of text that go to Python at once, if the session has Spark's own setting for narrow rows (10,000)
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even where the driver was started from another folder."""
+    """Let Python workers import this package even where the driver was started from another folder, and keep batches of texts small."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

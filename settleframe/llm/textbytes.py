@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19  # texts are handled in slices of about this size, so temporaries stay bounded whatever the batch
+SLICE_BYTES = 1 << 18  # texts are handled in slices of about this size, so temporaries stay bounded whatever the batch
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

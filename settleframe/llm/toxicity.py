@@ -23,7 +23,7 @@ SAMPLE_DOCS = 2500  # labelled documents read for each label, at most about so m
 SAMPLE_CHARS, PASSAGES = 8_000, 8  # of a longer document, so many passages at equal steps, SAMPLE_CHARS in all
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 6
-LEAST_HELD = 50  # texts of each label that the calibration needs
+LEAST_HELD = 50  # texts of each label that calibration on held texts needs; with fewer, it is on the texts learned from
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 2048, 0.5
 RESULT = "struct<score:double,logit:double>"
 
@@ -119,7 +119,11 @@ def _take(ids: np.ndarray, bounds: np.ndarray, bags: np.ndarray) -> tuple[np.nda
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
-    """Fit embeddings and softmax together by Adagrad; a fifth of the texts, if it holds enough, calibrates the scores."""
+    """Fit embeddings and softmax together by Adagrad; a fifth of the texts calibrates the scores.
+
+    If that fifth has fewer than LEAST_HELD texts of a label, all texts are learned from and calibrate, so scores lean to 0
+    and 1. Without texts of both labels the model is flat.
+    """
     draw = np.random.default_rng(seed)
     toxic = np.asarray(toxic, dtype=np.int64)
     ids, bounds, docs = _runs(texts)

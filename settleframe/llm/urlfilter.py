@@ -100,7 +100,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def filtered(pages: DataFrame, rules=RULES, blocked=BLOCKED) -> DataFrame:
     """Per page: page_id, host, path, rule (the longest that fits, as host and path; else null), verdict, globs (those blocked that fit).
 
-    A rule fits its host and all subdomains if the path starts with the rule's. Where no rule fits, the verdict is block
+    A rule fits its host and all subdomains if the path starts with the rule's; of the longest, block comes before allow,
+    then the greater host. Where no rule fits, the verdict is block
     if one of the globs does, else allow. A null or malformed URL has an empty host and path: no rule fits, and it is
     allowed. Repeated rows each get a row; extra columns are ignored.
     """

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import zstandard
 from pyspark.sql import functions as F
 
-from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, ranges, tokencount, toxicity, urlfilter, warc
+from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, queries, ranges, tokencount, toxicity, urlfilter, warc
 from settleframe.llm.runtime import scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, value string, draw string, grp string"
@@ -110,6 +111,34 @@ def test_language_of_long_texts_with_a_narrow_margin_is_judged_finely(spark):
     assert [(r.lang, r.margin, r.rejected) for r in got] == [(lang, margin, margin < langid.NARROW) for lang, margin in want]
 
 
+def test_language_is_the_smallest_output(spark):
+    """Against compressing each piece anew, with ties and long texts of one kind."""
+    draw, alphabet = random.Random(9), {"en": "the of and with under over", "de": "der die und mit unter über", "fr": "le de et avec sous près"}
+    made = lambda lang, n: " ".join(draw.choice(alphabet[lang].split()) + draw.choice(["", "e", "s"]) for _ in range(n))
+    langs = [list(alphabet)[k % 3] for k in range(90)]
+    model = langid.fit(docs(spark, [made(lang, 30) for lang in langs], langs))
+    model.content["aa"] = model.content["en"]  # as good as en for every text: the first by name counts
+    texts = [made(draw.choice(list(alphabet)), draw.choice([1, 5, 60, 900])) for _ in range(25)] + ["x" * 50_000, "1 2 3 é", " " * 90_000 + "der", "Under THE over, of 12"]
+    got = [r.l for r in langid.identified(docs(spark, texts), model, "l").orderBy("doc_id").collect()]
+
+    def sizes(plain, level):
+        out = {}
+        for lang, content in model.content.items():
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            make = lambda: zstandard.ZstdCompressor(dict_data=raw, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)  # noqa: B023, E731
+            out[lang] = sum(len(make().compress(plain[k : k + langid.PIECE_BYTES])) for k in range(0, len(plain), langid.PIECE_BYTES))
+        return sorted((n, lang) for lang, n in out.items())
+
+    for text, row in zip(texts, got, strict=True):
+        letters = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+        plain = f" {' '.join(letters.split())} ".encode()
+        best = sizes(plain, langid.LEVEL)
+        if best[1][0] / best[0][0] - 1 < langid.NARROW:
+            best = sizes(plain, langid.FINE)
+        assert row.lang == best[0][1] and row.margin == pytest.approx(best[1][0] / best[0][0] - 1) and row.rejected == (row.margin < langid.NARROW)
+    assert {r.lang for r in got} >= {"aa", "de", "fr"} and "en" not in {r.lang for r in got}
+
+
 def test_warc(spark):
     rows = [(3, "http://a/\r\nX: y", "same"), (1, None, "same"), (2, "http://b", None), (5, "u", ""), (4, "é", "ü" * 200_000), (7, "u", "same"), (7, "u", "same"), (None, "n", "same")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, shard int")
@@ -202,6 +231,9 @@ def test_url_filter(spark):
     got = urlfilter.filtered(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id bigint, url string, host string")).orderBy("page_id").collect()
     assert [r.rule for r in got] == ["www.example.com/en/", "example.com/en/", None, "net/es/", "net/fr/", None, None, None, None, None, "com/", None]
     assert [r.verdict for r in got[:9]] == ["allow", "block", "allow", "block", "block", "allow", "allow", "allow", "block"]
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("allow", "b.a.com", ""), ("block", "a.com", "/y")]  # of equal length
+    said = urlfilter.filtered(spark.createDataFrame([(1, "http://b.a.com/x"), (2, "h://b.a.com/y"), (3, "h://b.a.com/z")], "page_id bigint, url string"), rules, ()).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in said] == [("a.com/x", "block"), ("a.com/y", "block"), ("b.a.com", "allow")]
     automaton = urlfilter.compiled(["a*b?d", "*" + "x" * 70 + "*", "ab"])
     assert urlfilter.fits(automaton, [b"aZZbcd", b"abcd", b"abd", b"q" + b"x" * 71, b"ab", b""]).tolist() == [[True, False, False], [True, False, False], [False] * 3, [False, True, False], [False, False, True], [False] * 3]
 
@@ -306,6 +338,61 @@ def test_quality(spark):
     assert quality.scored(stats, quality.fit_labels(stats, labels.limit(0))).first().score == 0.5
 
 
+def test_quality_is_dense_least_squares_and_isotonic(spark):
+    """Against one dense system and the min-max formula of isotonic regression."""
+    draw = np.random.default_rng(3)
+    texts = [" ".join(words(int(draw.integers(1, 90)), k)) + "!" * int(draw.integers(0, 9)) for k in range(150)]
+    marks = (draw.random(150) < [0.2 + 0.6 * (len(t) > 250) for t in texts]).astype(int).tolist()
+    labels = spark.createDataFrame([(k, m) for k, m in enumerate(marks)] + [(0, marks[0])], "doc_id bigint, quality int")
+    stats = quality.measured(docs(spark, texts).repartition(5))
+    model = quality.fit_labels(stats, labels)
+    rows = quality.statistics(pa.array(texts))
+    assert np.allclose(model.centre, rows.mean(0)) and np.allclose(model.scale, np.where(rows.std(0) > 1e-9, rows.std(0), 1))
+    x, y = model.features(rows), np.array(marks, dtype=float)
+    gram = x.T @ x + quality.RIDGE * len(x) / x.shape[1] * np.eye(x.shape[1])
+    assert np.allclose(x @ model.weight, x @ np.linalg.lstsq(gram, x.T @ y, rcond=None)[0], atol=1e-6)
+    raw = np.clip(x @ model.weight, 0, 1)
+    bins = np.floor(raw * quality.BINS)
+    names = np.unique(bins)
+    at, value, weight = (np.array([f(bins == b) for b in names]) for f in (lambda m: raw[m].mean(), lambda m: y[m].mean(), lambda m: m.sum()))
+    mean = lambda a, b: (value[a : b + 1] * weight[a : b + 1]).sum() / weight[a : b + 1].sum()
+    isotonic = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    want = np.interp(raw, at, isotonic)
+    got = [r.score for r in quality.scored(stats, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+HELD = "/root/testdata/sf0.1"  # enough labelled documents: sf0.01 holds out six toxic ones, of which five are caught
+
+
+def area(scores, marks):
+    """Share of pairs of both labels that the scores order rightly."""
+    good, bad = ([s for s, m in zip(scores, marks, strict=True) if m == k] for k in (1, 0))
+    return np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+
+
+def held_marks(spark, label):
+    marks = spark.read.parquet(f"{HELD}/labels.parquet").where(F.col(label).isNotNull())
+    return {r.doc_id: r[label] for r in marks.select("doc_id", label).collect()}
+
+
+@pytest.mark.parametrize(("name", "label", "least", "recall", "false"), [("op4_toxicity", "toxic", 0.99, 0.9, 0.02), ("op7_quality", "quality", 0.98, 0.95, 0.2)])
+def test_held_out_labels_are_told(spark, name, label, least, recall, false):
+    marks = held_marks(spark, label)
+    rows = [r for r in queries.QUERIES[name](spark, HELD).where("held_out").collect() if r.doc_id in marks]
+    got, want = np.array([r.score for r in rows]), np.array([marks[r.doc_id] for r in rows])
+    said = np.array([r.predicted for r in rows])
+    print(name, len(rows), want.sum(), area(got, want), said[want == 1].mean(), said[want == 0].mean())
+    assert want.sum() >= 30 and area(got, want) >= least
+    assert said[want == 1].mean() >= recall and said[want == 0].mean() <= false
+
+
+def test_held_out_languages_are_told(spark):
+    known = {r.doc_id: r.lang for r in spark.read.parquet(f"{HELD}/documents.parquet").where("lang is not null").select("doc_id", "lang").collect()}
+    rows = [r for r in queries.QUERIES["op2_language"](spark, HELD).where("held_out").collect() if r.doc_id in known]
+    assert len(rows) > 100 and np.mean([r.lang_pred == known[r.doc_id] for r in rows]) > 0.97
+
+
 def test_decontamination(spark, monkeypatch):
     draw = random.Random(8)
     items = [" ".join(words(n, n, 6)) for n in (1, 2, 3, 9, 10, 11, 30)] + [None, "", "!!", "É-x y"]

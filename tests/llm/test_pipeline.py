@@ -100,6 +100,16 @@ def test_stages(spark, sf_dir):
         assert sum(r.taken for r in seen["mixing"] if source[r.doc_id] == s) == round(target)
 
 
+def test_different_texts_of_one_id_both_stay(spark):
+    a, b = " ".join(f"stone{k}" for k in range(40)), " ".join(f"river{k}" for k in range(40))
+    rows = [(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more"), (1, a), (None, f"{b} most"), (None, None), (None, None), (4, ""), (4, "")]
+    made = spark.createDataFrame([(k, t, "en", "s", 1, "x", "y") for k, t in rows], SCHEMA.replace("value", "row_key").replace("grp", "_row_7"))
+    left = corpus_pipeline.one_of_each(spark, made, "")
+    assert left.columns == made.columns
+    want = [(1, a), (1, b), (None, None), (None, None), (4, ""), (4, "")]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run_is_the_stages_in_order_and_survives_empty_tables(spark, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "decontamination", "mixing"]
     got = corpus_pipeline.run(spark, sf_dir)
