@@ -6,7 +6,8 @@ rarest pairs of each, in any common order. Values that occur once fill most pref
 a shared passage makes common comes last. Sets that meet in posting lists form candidate groups; inside a group, the
 lists are merged by counting collisions, skipping sets that already share a component, and pairs that collide
 ``match`` times are confirmed on the full sets. Groups beyond ``block`` sets are cut into blocks: first against the
-group's most central set, then what that leaves over, block by block. Nothing is dropped or capped.
+group's most central set, then what that leaves over, in those blocks that hold one of its posted values. Nothing is
+dropped or capped.
 """
 
 from __future__ import annotations
@@ -172,15 +173,15 @@ def _across(match: int, percent: int):
     return run
 
 
-def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Join ``groups``, one row for each ``key``, to ``rows`` (with a column cls), of which one key may have a third.
+def _with_group(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
+    """Join ``groups``, one row for each ``key`` (a column or several), to ``rows`` (with a column cls), of which one key may have a third.
 
     Few groups are broadcast. Beyond BROADCAST_IDS each is repeated for every salt, and rows are dealt by key and salt.
     """
     if groups.count() <= BROADCAST_IDS:
         return rows.join(F.broadcast(groups), key)
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [*([key] if isinstance(key, str) else key), "salt"]).drop("salt")
 
 
 def near_duplicates(
@@ -258,14 +259,24 @@ def _joined(docs: DataFrame, classes: DataFrame, width: int, percent: int, match
     large = written(large.withColumn("label", F.coalesce("label", "cls")), "large")
     if large.isEmpty():
         return joined
-    # what the centre's component left over is asked against every block
+    # what the centre's component left over is asked against other blocks
     main = large.where("cls = centre").select("grp", F.col("label").alias("main"))
     asks = written(_with_group(large, main, "grp").where("label <> main").drop("main"), "asks")
     if asks.isEmpty():
         return joined
-    deals = asks.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("deals"))
-    asks = _with_group(asks, deals, "grp").withColumn("deal", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("deals")).cast("int"))
-    asks = asks.withColumn("part", F.explode(everywhere)).withColumn("asks", F.lit(True))
-    told = _with_group(large, deals, "grp").withColumn("part", own).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("asks", F.lit(False))
+    # a set is asked only in those blocks, but its own, that hold a set with one of its posted values
+    posted = postings.select("cls", F.explode("prefix").alias("token"))
+    holds = posted.join(large.select("cls", "grp", own.alias("part")), "cls").select("grp", "token", "part").distinct()
+    asked = posted.join(asks.select("cls", "grp", own.alias("home"), F.octet_length("members").alias("spelled")), "cls")
+    visits = asked.join(holds, ["grp", "token"]).where("part <> home").select("cls", "grp", "part", "spelled").distinct()
+    visits = written(visits, "visits")
+    if visits.isEmpty():
+        return joined
+    deals = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("spelled") / BLOCK_BYTES)).cast("int")
+    deals = written(visits.groupBy("grp", "part").agg(deals.alias("deals")), "deals")
+    visits = _with_group(visits, deals, ["grp", "part"]).withColumn("deal", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("deals")).cast("int"))
+    asks = visits.select("cls", "part", "deal").join(asks, "cls").withColumn("asks", F.lit(True))
+    told = _with_group(large.withColumn("part", own), deals, ["grp", "part"])
+    told = told.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("asks", F.lit(False)).drop("deals")
     pairs = asks.unionByName(told).groupBy("grp", "part", "deal").applyInPandas(_across(match, percent), "a long, b long")
     return connected(written(links.unionByName(pairs), "links"))

@@ -33,6 +33,19 @@ def shingled(text, width):
     return {tuple(found[k : k + width]) for k in range(len(found) - width + 1)} if len(found) >= width else {tuple(found)} - {()}
 
 
+def by_hand(texts, width=5):
+    """Each text's shingles and the least number of its component, by comparing all pairs."""
+    sets = [shingled(t, width) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    return sets, label
+
+
 def test_near_duplicates(spark):
     texts = [None, "", " \n", "one", "ONE", "a b c", "É é"]
     for g in range(6):
@@ -43,14 +56,7 @@ def test_near_duplicates(spark):
                 edited[(17 * j + k) % 120] = f"x{k}_{j}"
             texts.append(" ".join(edited))
     texts += [texts[-1]] * 3 + [" ".join(words(4000, 99))]
-    sets = [shingled(t, 5) for t in texts]
-    label = list(range(len(texts)))
-    for _ in texts:
-        for a in range(len(texts)):
-            for b in range(a):
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+    sets, label = by_hand(texts)
     for block in (512, 5):  # whole groups, and groups cut into blocks
         got = {r.doc_id: r for r in near_dups.near_duplicates(docs(spark, texts), block=block).collect()}
         assert [got[k].component_id for k in range(len(texts))] == label
@@ -58,6 +64,24 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(docs(spark, [None, ""])).count() == 2
 
 
+def test_families_under_one_passage_are_found_across_blocks(spark):
+    """A passage of all texts makes one candidate group of many components, cut into blocks much smaller than it."""
+    passage, texts = words(150, 7), []
+    for g in range(9):
+        own = words(60, 100 + g)
+        for k in range(5):
+            edited = [*own, f"y{g}_{k}", *passage]
+            edited[(11 * k) % 60] = f"x{k}"
+            texts.append(" ".join(edited))
+    texts += [" ".join(passage)] + [" ".join([*words(90, 200 + k), *passage[:60]]) for k in range(4)]
+    random.Random(3).shuffle(texts)
+    _, label = by_hand(texts)
+    assert 5 < len(set(label)) < len(texts)
+    for block in (2, 6):
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs(spark, texts), block=block).collect()}
+        assert [got[k] for k in range(len(texts))] == label
+
+
 def test_near_duplicates_of_rows_that_share_an_id(spark):
     a, b = words(60, 1), words(60, 2)
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (1, " ".join(a)), (None, " ".join([*a, "z"])), (None, "no other text is like this one here"), (4, None), (4, None)]
