@@ -12,13 +12,12 @@ def connected(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b long) to (node, label): each node that isn't its component's least, with that least node.
 
     Nulls, loops and repeated edges are ignored. Each round is two joins on aggregated minima and is written to the
-    shared folder; the rounds grow with the logarithm of the longest path.
+    shared folder; the rounds grow with the logarithm of the longest path and end when each component is a star.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    state = _state(now)
-    while state[0]:
+    while not _stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         low = low.select("a", F.least("a", "m").alias("m"))
@@ -26,13 +25,13 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         then = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
-        was, state = state, _state(then)
         removed(now.sparkSession, now)
         now = then
-        if was == state:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has either one edge to a lesser node, or only edges from greater ones: every component is done."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("least"))
+    return not nodes.agg(F.max((F.col("outs") > 1) | ((F.col("outs") == 1) & (F.col("least") == 0)))).first()[0]

@@ -279,4 +279,4 @@ def _joined(docs: DataFrame, classes: DataFrame, width: int, percent: int, match
     told = _with_group(large.withColumn("part", own), deals, ["grp", "part"])
     told = told.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).withColumn("asks", F.lit(False)).drop("deals")
     pairs = asks.unionByName(told).groupBy("grp", "part", "deal").applyInPandas(_across(match, percent), "a long, b long")
-    return connected(written(links.unionByName(pairs), "links"))
+    return connected(joined.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(pairs))
