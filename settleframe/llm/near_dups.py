@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import ready, written
+from .runtime import hot_beyond, ready, spread_join, written
 from .textbytes import NOT_SPACE, mix, shingles, slices, words
 
 COORDINATES, MATCH, BLOCK = 64, 32, 512  # a pair of similarity 0.8 agrees on fewer than 32 of 64 once in 50 million
@@ -202,17 +202,18 @@ def near_duplicates(
     schema = "doc_id long, row_key long, n_shingles long, set_name binary, tokens array<long>"
     made = written(docs.mapInArrow(_featurize(width, coordinates), schema), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    classes = made.where("set_name is not null").groupBy("set_name").agg(best, F.first("n_shingles").alias("size"), F.first("tokens").alias("tokens"))
+    classes = made.where("set_name is not null").groupBy("set_name").agg(best, F.first("n_shingles").alias("size"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     # numbers are stored with the table, so each class keeps its own
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    joined = _joined(docs, classes, width, percent, match, block)
+    joined = _joined(docs, classes, width, percent, coordinates, match, block)
     more = joined.select(F.col("node").alias("cls"), "label").unionByName(joined.select(F.col("label").alias("cls"), "label").distinct())
     more = written(more.join(classes.select("cls", "set_name", "best"), "cls"), "joined")
     least = more.groupBy("label").agg(F.min("best").alias("least"))
     of_set = written(_with_group(more.select("cls", "label", "set_name"), least, "label").select("set_name", "least"), "components")
     own = made.where("set_name is not null").drop("tokens")
-    bests = classes.select("set_name", "best").join(of_set, "set_name", "left").select("set_name", F.coalesce("least", "best").alias("least"))
-    found = own.join(bests, "set_name").drop("set_name")
+    bests = classes.select("set_name", "best", "n").join(of_set, "set_name", "left").select("set_name", F.coalesce("least", "best").alias("least"), "n")
+    rows = made.count()
+    found = spread_join(own, bests, "set_name", hot_beyond(rows, rows)).drop("set_name")
     alone = made.where("set_name is null").select("doc_id", "row_key", "n_shingles", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("least"))
     both = found.unionByName(alone)
     component = F.col("least.doc_id")
@@ -222,19 +223,23 @@ def near_duplicates(
     )
 
 
-def _joined(docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int, block: int) -> DataFrame:
+def _joined(docs: DataFrame, classes: DataFrame, width: int, percent: int, coordinates: int, match: int, block: int) -> DataFrame:
     """(node, label): each class that isn't the least of its component, with that least one."""
     posted = classes.select("cls", F.explode("tokens").alias("token"))
     common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a token has one posting a class; those of a family's common values stay where they are
+    n = classes.count()
+    hot = hot_beyond(n * coordinates, n)
+    common = common.withColumn("others", F.col("n"))
     # of a set's tokens, those that others have too, rarest first; unshared ones take up the prefix without a posting
-    shared = posted.join(common, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= match)
+    shared = spread_join(posted, common, "token", hot).withColumnRenamed("others", "n").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= match)
     prefix = F.slice("t", F.lit(1), F.size("t") - F.lit(match - 1))
     central = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("central")
     postings = written(shared.select("cls", central, F.transform(prefix, lambda x: x["token"]).alias("prefix")), "postings")
     lists = postings.select("cls", "central", F.explode("prefix").alias("token"))
     most_central = F.max(F.struct("central", (-F.col("cls")).alias("r"))).alias("h")
     heads = lists.groupBy("token").agg(most_central, F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = lists.join(heads.select("token", (-F.col("h.r")).alias("head")), "token").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    met = spread_join(lists, heads.select("token", (-F.col("h.r")).alias("head"), "n"), "token", hot).where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     groups = connected(written(met, "met"))
     groups = groups.select(F.col("node").alias("cls"), F.col("label").alias("grp")).unionByName(groups.select(F.col("label").alias("cls"), F.col("label").alias("grp")).distinct())
 

@@ -9,11 +9,14 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 2000  # rows of text that go to Python at once, if the session has Spark's own setting for narrow rows (10,000)
 
+HOT, HOT_KEYS = 100_000, 1_000_000  # rows of a key that one task takes at most in a join; keys beyond it that are broadcast at most
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package even where the driver was started from another folder, and keep batches of texts small."""
@@ -58,3 +61,24 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, single: DataFrame, key: str, hot: int | None) -> DataFrame:
+    """Inner join of ``rows`` to ``single``, one row a key, whose column n is at least the key's number of rows.
+
+    Keys with n > ``hot`` are broadcast, so their rows aren't shuffled into one task; the caller picks ``hot`` so that there
+    are at most HOT_KEYS of them. None: no key is that large. n is not in the result.
+    """
+    if hot is None:
+        return rows.join(single.drop("n"), key)
+    large = F.broadcast(single.where(F.col("n") > hot).drop("n"))
+    others = rows.join(F.broadcast(single.where(F.col("n") > hot).select(key)), key, "left_anti")
+    return rows.join(large, key).unionByName(others.join(single.where(F.col("n") <= hot).drop("n"), key))
+
+
+def hot_beyond(rows: int, most: int) -> int | None:
+    """``hot`` for ``rows`` rows, of which a key has ``most`` or fewer: None if no key has more than HOT.
+
+    Fewer than HOT_KEYS keys can have more rows than ``hot``.
+    """
+    return max(HOT, rows // HOT_KEYS) if most > HOT else None

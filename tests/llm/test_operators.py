@@ -11,7 +11,8 @@ import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from settleframe.llm import decontam, fingerprint, langid, mixing, near_dups, quality, queries, ranges, tokencount, toxicity, urlfilter, warc
+from settleframe.llm import components, decontam, fingerprint, langid, mixing, near_dups, quality, queries, ranges, runtime, tokencount, toxicity, urlfilter, warc
+from settleframe.llm.components import connected
 from settleframe.llm.runtime import scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, value string, draw string, grp string"
@@ -82,6 +83,43 @@ def test_families_under_one_passage_are_found_across_blocks(spark):
         assert [got[k] for k in range(len(texts))] == label
 
 
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    common = " ".join(words(60, 41))
+    texts = [common] * 40 + [common + f" tail{k}" for k in range(40)] + [" ".join(words(30, 100 + k)) for k in range(20)] + ["", None, "one two"]
+    want = {tuple(r) for r in near_dups.near_duplicates(docs(spark, texts)).collect()}
+    draw = np.random.default_rng(6)
+    edges = [(3, k) for k in range(4, 90)] + [(200, k) for k in range(100, 190)] + [(int(a), int(b)) for a, b in draw.integers(300, 420, (70, 2))]
+    edges += [(None, 1), (2, None), (5, 5), (3, 4)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    stars = {tuple(r) for r in connected(table).collect()}
+    seen = []
+    join = runtime.spread_join
+
+    def watched(rows, single, key, hot):
+        seen.append((key, hot))
+        return join(rows, single, key, hot)
+
+    monkeypatch.setattr(runtime, "HOT", 10)
+    monkeypatch.setattr(near_dups, "spread_join", watched)
+    monkeypatch.setattr(components, "spread_join", watched)
+    assert {tuple(r) for r in near_dups.near_duplicates(docs(spark, texts)).collect()} == want
+    assert {key for key, hot in seen if hot == 10} == {"token", "a", "set_name"}
+    assert {tuple(r) for r in connected(table).collect()} == stars
+    least = {}
+    for a, b in ((a, b) for a, b in edges if a is not None and b is not None and a != b):  # union-find by hand
+        roots = []
+        for x in (a, b):
+            while least.get(x, x) != x:
+                x = least[x]
+            roots.append(x)
+        least[max(roots)] = min(roots)
+
+    def root(x):
+        return x if least.get(x, x) == x else root(least[x])
+
+    assert stars == {(x, root(x)) for x in least if root(x) != x}
+
+
 def test_near_duplicates_of_rows_that_share_an_id(spark):
     a, b = words(60, 1), words(60, 2)
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (1, " ".join(a)), (None, " ".join([*a, "z"])), (None, "no other text is like this one here"), (4, None), (4, None)]
