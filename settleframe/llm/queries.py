@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, mixing, quality, tokencount, toxicity, urlfilter, warc
+from . import decontam, fingerprint, langid, maxent, merkle, mixing, prefixtrie, quality, tokencount, toxicity, urlfilter, warc
 from .folds import held_out
 from .near_dups import near_duplicates
 from .oracle import ORACLE_SQL
@@ -81,11 +81,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node of the trie of rebuilt conversations: see ``prefixtrie.turns``, ``rebuilt`` and ``trie`` for nulls, ties and repeats."""
+    return prefixtrie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its tokens, exact unigram base and model score: see ``maxent.scored`` for nulls and repeats."""
+    return maxent.scored(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its leaf, roots, proof, and whether its tampered text still proves: see ``merkle.manifest`` and ``audit``."""
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_dups, op2_language, op3_warc, op4_toxicity, op5_url_filter, op6_fingerprint, op7_quality, op8_decontamination, op9_mixing,
-        op10_token_counts,
+        op10_token_counts, op11_prefix_trie, op12_lm_scores, op13_merkle,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
