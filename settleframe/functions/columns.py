@@ -67,6 +67,30 @@ def chart_table(df: DataFrame, x: str, ys: dict[str, str], places: int = 2) -> D
     return rounded(df.select(x, *[F.col(c).cast("double").alias(name) for c, name in ys.items()]), places).orderBy(x)
 
 
+FEW = 1 << 12  # rows that one task sorts, and about the ranges that are counted at a time
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows in the order of a seeded hash of the key: the same ones every time."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """The n rows with the least seeded hashes of the key: the same ones every time, and fewer only if there are fewer.
+
+    Ranges of the hash are counted, which tells the one that the n-th row falls into; all rows of lower ranges are taken
+    where they are, and that range is counted by finer ones until it holds only FEW rows, which are sorted. Each count is
+    a scan of the key alone. Rows that share their hash, as repeated keys do, are interchangeable.
+    """
+    draw, name = F.xxhash64(key, F.lit(seed)), "_span"
+    inside, taken, left = F.lit(True), F.lit(False), n
+    for shift in (52, 40, 28, 16, 4, 0):
+        spans = F.shiftright(draw, shift)  # keeps the order and the sign
+        counts = sorted((r[name], r["count"]) for r in df.where(inside).groupBy(spans.alias(name)).count().collect())
+        if sum(c for _, c in counts) <= left:
+            return df.where(taken | inside)
+        for cut, count in counts:
+            if count > left:
+                break
+            left -= count
+        taken, inside = taken | (inside & (spans < cut)), spans == cut
+        if not left:
+            return df.where(taken)
+        if count <= FEW:
+            return df.where(taken).unionByName(df.where(inside).orderBy(draw, key).limit(left))
+    return df.where(taken).unionByName(df.where(inside).limit(left))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS, hour_of, interval95, price_bucket, quarter, ratio, variance
+from ..functions.quantiles import distinct_estimates, distinct_sketches, percentiles, quantile_sketches, sketched_percentiles
 from ..functions.stats import normal_two_sided_p
-from ..plans.legs import by_role, leg_sums, legs, merged, moments, position_cube, resolved, totals, two_legs
+from ..plans.legs import by_role, leg_sums, legs, merged, moments, position_cube, totals, two_legs
+from ..sources.shared import stored
 from ..sources.tables import Tables
 
 
@@ -20,7 +22,7 @@ def book_legs(t: Tables, strict: bool = True) -> DataFrame:
 
 
 def book_sums(t: Tables, *keys, sized: bool = False, strict: bool = True) -> DataFrame:
-    """``leg_sums`` of the venue; "quarter" among the keys is made from the time."""
+    """``leg_sums`` of the venue; "quarter" among the keys is made from the time, "category" comes from the market."""
     keys = [quarter("created_time").alias("quarter") if isinstance(k, str) and k == "quarter" else k for k in keys]
     return leg_sums(t.book_trades, t.book_markets, *keys, strict=strict, sized=sized)
 
@@ -137,16 +139,47 @@ def yes_vs_no_by_price(t: Tables) -> DataFrame:
     return out.select("*", *[ratio(F.col(f"{r}_{s}"), F.col("total"), 100).alias(f"{r}_{s}_pct") for r, s in names])
 
 
+SHARES = (0.5, 0.25, 0.75, 0.9, 0.95)
+
+
+def size_sketches(t: Tables, *keys) -> DataFrame:
+    """KLL sketches of trade sizes in cents, and of contracts, by role and ``keys``: to be stored, and merged over days.
+
+    Each trade is sketched on its own, so this reads legs and not their sums.
+    """
+    rows = book_legs(t).withColumn("cents", F.col("contracts") * F.col("price"))
+    by = ["role", *keys]
+    cents = quantile_sketches(rows, by, "cents").withColumn("of", F.lit("cents"))
+    return cents.unionByName(quantile_sketches(rows, by, "contracts").withColumn("of", F.lit("contracts")))
+
+
+def sketched_sizes(sketches: DataFrame) -> DataFrame:
+    """(role, median, p25, p75, p90, p95, median_contracts) from stored ``size_sketches``, with a rank error near 1 %."""
+    q = sketched_percentiles(sketches, ["role", "of"], SHARES)
+    dollars = q.where("of = 'cents'").select("role", *[(F.col("q")[k] / 100).alias(n) for k, n in enumerate(("median", "p25", "p75", "p90", "p95"))])
+    return dollars.join(q.where("of = 'contracts'").select("role", F.col("q")[0].alias("median_contracts")), "role")
+
+
 def trade_size_by_role(t: Tables) -> DataFrame:
-    """Distribution of trade sizes in dollars by role: from a table of how often each size occurs."""
+    """Distribution of trade sizes in dollars by role, exact: percentiles by rank selection from a table of how often each size occurs.
+
+    ``size_sketches`` and ``sketched_sizes`` are the approximate option.
+    """
     by = book_sums(t, sized=True).groupBy("role", (F.col("contracts") * F.col("price")).alias("cents"), "contracts").agg(F.sum("n").alias("f"))
-    size = F.col("cents") / 100
-    at = F.percentile("cents", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95)]), F.col("f")).alias("q")
+    by = stored(by, "sizes")
     wide, c = F.col("cents").cast("decimal(38,0)"), F.col("cents")
-    out = by.groupBy("role").agg(F.sum("f").alias("n"), F.sum(c * F.col("f")).alias("s"), F.sum(wide * c * F.col("f")).alias("s2"), at, F.sum(F.col("contracts") * F.col("f")).alias("sc"), F.percentile("contracts", F.lit(0.5), F.col("f")).alias("median_contracts"), F.max(size).alias("max_size"))
+    sums = by.groupBy("role").agg(
+        F.sum("f").alias("n"), F.sum(c * F.col("f")).alias("s"), F.sum(wide * c * F.col("f")).alias("s2"), F.sum(F.col("contracts") * F.col("f")).alias("sc")
+    )
+    most = by.agg(F.max("cents").alias("cents"), F.max("contracts").alias("contracts")).first()
+    middle = percentiles(by, ["role"], "contracts", "f", [0.5], most.contracts or 0).select("role", F.col("q")[0].alias("median_contracts"))
+    out = sums.join(percentiles(by, ["role"], "cents", "f", SHARES, most.cents or 0), "role").join(middle, "role")
     std = F.sqrt((F.col("n").cast("decimal(38,0)") * F.col("s2") - F.col("s").cast("decimal(38,0)") * F.col("s")).cast("double")) / F.col("n") / 100
     q = lambda k: (F.col("q")[k] / 100)
-    return out.select("role", "n", ratio(F.col("s"), F.col("n"), 0.01).alias("mean"), q(1).alias("median"), std.alias("std_pop"), q(0).alias("p25"), q(2).alias("p75"), q(3).alias("p90"), q(4).alias("p95"), ratio(F.col("sc"), F.col("n")).alias("mean_contracts"), "median_contracts", (F.col("s") / 100).alias("total"))
+    return out.select(
+        "role", "n", ratio(F.col("s"), F.col("n"), 0.01).alias("mean"), q(0).alias("median"), std.alias("std_pop"), q(1).alias("p25"), q(2).alias("p75"),
+        q(3).alias("p90"), q(4).alias("p95"), ratio(F.col("sc"), F.col("n")).alias("mean_contracts"), "median_contracts", (F.col("s") / 100).alias("total"),
+    )
 
 
 def win_rate_by_trade_size(t: Tables, least: int = 10) -> DataFrame:
@@ -214,37 +247,61 @@ def maker_taker_gap_over_time(t: Tables, least: int = 1000, cube: DataFrame | No
     return by_role(by, "quarter").select("quarter", *cols).withColumn("gap_pp", F.col("maker_excess_pp") - F.col("taker_excess_pp"))
 
 
-def meta_stats(t: Tables) -> DataFrame:
-    """Sizes of the data as metric, value, formatted."""
-    trades = t.book_trades.agg(F.count(F.lit(1)).alias("num_trades"), F.sum("count").alias("total_volume"), F.countDistinct("ticker").alias("num_tickers"))
+def ticker_sketches(t: Tables, *keys) -> DataFrame:
+    """HyperLogLog sketches of the tickers traded, by ``keys`` such as a day, to be stored beside a cube."""
+    return distinct_sketches(t.book_trades, list(keys), "ticker")
+
+
+def meta_stats(t: Tables, tickers: DataFrame | None = None) -> DataFrame:
+    """Sizes of the data as metric, value, formatted. Counts are exact; with stored ``ticker_sketches``, num_tickers comes from them."""
+    exact = [F.countDistinct("ticker").alias("num_tickers")] if tickers is None else []
+    trades = t.book_trades.agg(F.count(F.lit(1)).alias("num_trades"), F.sum("count").alias("total_volume"), *exact)
     markets = t.book_markets.agg(F.count(F.lit(1)).alias("num_markets"), F.countDistinct("event_ticker").alias("num_events"))
     names = ("num_trades", "total_volume", "num_markets", "num_events", "num_tickers")
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("value")) for n in names])).alias("r")
-    out = trades.crossJoin(markets).select(rows).select("r.*")  # one row with one row
-    millions = out.where("metric = 'num_trades'").select(F.lit("num_trades_millions").alias("metric"), "value", F.format_string("%.1f million", F.col("value") / 1e6).alias("formatted"))
-    billions = out.where("metric = 'total_volume'").select(F.lit("total_volume_billions").alias("metric"), "value", F.format_string("$%.2f billion", F.col("value") / 1e9).alias("formatted"))
+    one = trades.crossJoin(markets)  # one row with one row
+    if tickers is not None:
+        one = one.crossJoin(distinct_estimates(tickers, []).withColumnRenamed("distinct", "num_tickers"))  # and one more
+    out = one.select(rows).select("r.*")
+    millions = out.where("metric = 'num_trades'").select(
+        F.lit("num_trades_millions").alias("metric"), "value", F.format_string("%.1f million", F.col("value") / 1e6).alias("formatted")
+    )
+    billions = out.where("metric = 'total_volume'").select(
+        F.lit("total_volume_billions").alias("metric"), "value", F.format_string("$%.2f billion", F.col("value") / 1e9).alias("formatted")
+    )
     return out.withColumn("formatted", F.format_number("value", 0)).unionByName(millions).unionByName(billions)
 
 
-def calibration_deviation_over_time(t: Tables, least: int = 1000) -> DataFrame:
+def calibration_sums(t: Tables) -> DataFrame:
+    """Wins and legs by time slot and price, all that ``calibration_deviation_over_time`` needs of the trades: one scan.
+
+    A slot is a day, but on Sundays, which a weekly boundary cuts at a time that isn't known yet, each time on its own.
+    """
+    at = F.col("created_time")
+    slot = F.when(F.dayofweek(at) == 1, at).otherwise(F.date_trunc("day", at).cast("timestamp_ntz")).alias("slot")
+    rows = leg_sums(t.book_trades, t.book_markets, slot, strict=False, also=("created_time",)).where(F.col("price").between(1, 99))
+    return rows.groupBy("slot", "price").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("won")).alias("w"), F.min("least_created_time").alias("least"), F.max("most_created_time").alias("most")
+    )
+
+
+def calibration_deviation_over_time(t: Tables, least: int = 1000, sums: DataFrame | None = None) -> DataFrame:
     """At each weekly boundary from the first Sunday on, at the first leg's time of day, the mean over prices of |cumulative win rate - price|.
 
-    A leg counts from the first boundary at or after it. Legs are summed by boundary and price before the running sums, so
-    the windows hold 99 rows a week.
+    A leg counts from the first boundary at or after it. Trades are scanned once, for ``calibration_sums`` (``sums``: stored
+    ones to read instead); the windows hold 99 rows a week.
     """
-    joined = t.book_trades.join(resolved(t.book_markets, strict=False), "ticker")
-    in_range = F.col("yes_price").between(1, 99) | F.col("no_price").between(1, 99)
-    first = joined.where(in_range).agg(F.min("created_time").alias("lo"), F.max("created_time").alias("hi"))
+    sums = stored(calibration_sums(t), "calibration") if sums is None else sums
+    first = sums.agg(F.min("least").alias("lo"), F.max("most").alias("hi"))
     # Sunday is day 1; days on to the first Sunday that isn't before the first leg
     sunday = F.col("lo") + F.make_dt_interval(F.pmod(8 - F.dayofweek("lo"), F.lit(7)).cast("int"))
     bounds = first.select(sunday.alias("start"), "hi").where("start <= hi")
-    week = F.greatest(F.lit(0), F.ceil(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("created_time")) / F.lit(7 * 86400 * 1_000_000)))
+    week = F.greatest(F.lit(0), F.ceil(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("slot")) / F.lit(7 * 86400 * 1_000_000)))
     at = F.col("start") + F.make_dt_interval((7 * week).cast("int"))
-    dated = t.book_trades.join(F.broadcast(bounds)).withColumn("at", at).where("at <= hi")  # one row
-    rows = leg_sums(dated, t.book_markets, "at", strict=False).where(F.col("price").between(1, 99))
-    sums = rows.groupBy("at", "price").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("won")).alias("w"))
+    dated = sums.join(F.broadcast(bounds)).withColumn("at", at).where("at <= hi")  # one row
+    by = dated.groupBy("at", "price").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     weeks = bounds.select(F.explode(F.sequence("start", "hi", F.expr("interval 7 days"))).alias("at"))
-    grid = weeks.crossJoin(t.book_trades.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("price"))).join(sums, ["at", "price"], "left")
+    grid = weeks.crossJoin(sums.sparkSession.range(1, 100).select(F.col("id").cast("int").alias("price"))).join(by, ["at", "price"], "left")
     upto = Window.partitionBy("price").orderBy("at")
     grid = grid.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("w", F.sum(F.coalesce("w", F.lit(0))).over(upto)).where("n > 0")
     out = grid.groupBy("at").agg(F.avg(F.abs(100 * F.col("w") / F.col("n") - F.col("price"))).alias("mean_abs_deviation"), F.sum("n").alias("cumulative_legs"))

@@ -25,10 +25,17 @@ def rules_table(spark: SparkSession, rules=SAMPLE_RULES) -> DataFrame:
 def classify(df: DataFrame, rules: DataFrame, col: str = "category") -> DataFrame:
     """``df`` with group, mid and sub of the first rule whose pattern is in the upper-cased category; else Other, Other, the category.
 
-    Rules meet the distinct categories only, as a nested loop over both short lists.
+    The distinct categories' substrings of the lengths that patterns have are looked up among the patterns, so rules and
+    categories meet in an equi-join, however many of both there are. An empty pattern is in every category, a null
+    category has none.
     """
-    names = df.select(F.col(col).alias("_name")).distinct()
-    hit = names.join(rules, F.contains(F.upper("_name"), F.col("pattern")))
+    names = df.select(F.col(col).alias("_name")).where(F.col(col).isNotNull()).distinct()
+    lengths = rules.select(F.length("pattern").alias("n")).agg(F.collect_set("n"))
+    sized = names.withColumn("_upper", F.upper("_name")).withColumn("_lengths", F.coalesce(lengths.scalar(), F.array().cast("array<int>")))
+    starts = lambda n: F.sequence(F.lit(1), F.length("_upper") - n + 1)
+    parts = F.transform(F.filter("_lengths", lambda n: n <= F.length("_upper")), lambda n: F.transform(starts(n), lambda k: F.substring(F.col("_upper"), k, n)))
+    looked_up = sized.select("_name", F.explode(F.array_distinct(F.flatten(parts))).alias("pattern"))
+    hit = looked_up.join(rules, "pattern")
     first = hit.groupBy("_name").agg(F.min_by(F.struct("group", "mid", "sub"), "ordinal").alias("_r"))
     out = df.join(first, F.col(col) == F.col("_name"), "left").drop("_name")
     other = F.struct(F.lit("Other").alias("group"), F.lit("Other").alias("mid"), F.col(col).alias("sub"))

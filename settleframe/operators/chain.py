@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quarter, ratio
+from ..plans.carry import as_of
+from ..sources.shared import stored
 from ..sources.tables import Tables
-from .book import book_legs
+from .book import book_sums
 
 BLOCK_BUCKET = 10_800  # blocks whose times are taken as one
 
@@ -84,20 +86,29 @@ def chain_trades_per_block(t: Tables) -> DataFrame:
 def cross_venue_calibration(t: Tables, least: int = 1000, every: int = 2) -> DataFrame:
     """Cumulative (total, wins, win_rate) by venue, price and day, on every second day on which either venue has ``least`` legs by then.
 
-    Legs are summed by day and price first; the running sums go over that dense grid.
+    Legs are summed by day and price, written once. A running total holds until its venue and price trade again, so it is
+    told for the kept days in between: how many kept days lie before a day is asked as of that day, and no grid is made.
     """
-    book = book_legs(t).where(F.col("price").between(1, 99)).select(F.lit("book").alias("venue"), F.date_trunc("day", "created_time").cast("date").alias("day"), "price", "won")
-    chain = priced_legs(t).withColumn("bucket", F.expr(f"block_number div {BLOCK_BUCKET}")).join(bucket_times(t), "bucket").select(F.lit("chain").alias("venue"), F.to_date("ts").alias("day"), "price", "won")
-    by = book.unionByName(chain).where("day is not null").groupBy("venue", "day", "price").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
-    # what a (venue, price) has by a day is carried to all days on which any leg was traded; every reader of the sums by
-    # day asks for both n and w, so that their plans are the same and Spark makes the sums once
-    keys = lambda *names: by.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 0 and w >= 0").select(*names)
-    grid = keys("venue", "price").crossJoin(keys("day")).join(by, ["venue", "price", "day"], "left")
-    upto = Window.partitionBy("venue", "price").orderBy("day")
-    grid = grid.withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("wins", F.sum(F.coalesce("w", F.lit(0))).over(upto)).where("total > 0")
-    full = grid.groupBy("venue", "day").agg(F.sum("total").alias("all"), F.sum("wins").alias("w")).where("w >= 0").groupBy("day").agg(F.max("all").alias("most")).where(F.col("most") >= least)
-    kept = full.withColumn("k", F.row_number().over(Window.orderBy("day"))).where((F.col("k") - 1) % every == 0).select("day")
-    return grid.join(kept, "day").select("venue", F.col("day").cast("timestamp_ntz").alias("day"), "price", "total", "wins", ratio(F.col("wins"), F.col("total"), 100).alias("win_rate"))
+    dated = book_sums(t, F.date_trunc("day", "created_time").cast("date").alias("day")).where(F.col("price").between(1, 99))
+    book = dated.select(F.lit("book").alias("venue"), "day", "price", "n", (F.col("n") * F.col("won")).alias("w"))
+    chain = priced_legs(t).withColumn("bucket", F.expr(f"block_number div {BLOCK_BUCKET}")).groupBy("bucket", "price").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
+    chain = chain.join(bucket_times(t), "bucket").select(F.lit("chain").alias("venue"), F.to_date("ts").alias("day"), "price", "n", "w")
+    by = stored(book.unionByName(chain).where("day is not null").groupBy("venue", "day", "price").agg(F.sum("n").alias("n"), F.sum("w").alias("w")), "sums-by-day")
+    # a venue's legs only grow, so days are kept from the first on which either has enough
+    whole = by.groupBy("venue", "day").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("venue").orderBy("day")))
+    since = whole.where(F.col("all") >= least).agg(F.min("day")).scalar()
+    days = by.select("day").distinct()
+    numbered = days.where(F.col("day") >= since).withColumn("k", F.row_number().over(Window.orderBy("day")))  # one row a day
+    kept = numbered.where((F.col("k") - 1) % every == 0).select("day", F.expr(f"(k - 1) div {every} + 1").cast("int").alias("k"))
+    kept = stored(kept, "kept-days")
+    before = as_of(days, kept, [], "day", ["k"], exact=False).select("day", F.coalesce("k", F.lit(0)).alias("earlier"))
+    own = Window.partitionBy("venue", "price").orderBy("day")
+    totals = by.select("venue", "price", "day", F.sum("n").over(own).alias("total"), F.sum("w").over(own).alias("wins"), F.lead("day").over(own).alias("next"))
+    after = before.select(F.col("day").alias("next"), F.col("earlier").alias("upto"))
+    held = totals.join(before, "day").join(after, "next", "left").withColumn("upto", F.coalesce("upto", kept.agg(F.max("k")).scalar()))
+    held = held.where("total > 0 and upto > earlier").withColumn("k", F.explode(F.sequence(F.col("earlier") + 1, F.col("upto"))))
+    out = held.drop("day").join(kept, "k")
+    return out.select("venue", F.col("day").cast("timestamp_ntz").alias("day"), "price", "total", "wins", ratio(F.col("wins"), F.col("total"), 100).alias("win_rate"))
 
 
 def cross_venue_frames(t: Tables, least: int = 100) -> DataFrame:

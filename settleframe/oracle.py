@@ -5,8 +5,9 @@ from __future__ import annotations
 from .functions.columns import BUCKETS
 from .operators.categories import SAMPLE_RULES
 from .operators.chain import BLOCK_BUCKET
-from .operators.tests_of_significance import PRICES, RANGES
 from .oracle_ingest import INGEST_SQL
+from .oracle_parts import B, R, exact, student, two_sided, upper  # noqa: F401
+from .oracle_tests import TESTS_SQL
 from .sources.tables import DUCKDB, STAND_INS
 
 _VIEWS = {name: sql.format(**DUCKDB) for name, sql in STAND_INS.items()}
@@ -38,43 +39,6 @@ def _sql(body: str) -> str:
     return "with " + ", ".join(f"{n} as ({_VIEWS[n]})" for n in needed) + " " + body
 
 
-def R(x: str) -> str:  # noqa: N802
-    return f"round(cast({x} as double), 6) + 0.0"
-
-
-def B(x: str) -> str:  # noqa: N802
-    return f"cast({x} as bigint)"
-
-
-def _beta(a: str, b: str) -> str:
-    return f"(lgamma({a}) + lgamma({b}) - lgamma({a} + {b}))"
-
-
-def _two_sided(z: str) -> str:
-    """Normal two-sided p of the column z by a series of positive terms: 1 - erf(|z| / sqrt 2)."""
-    term = f"exp(2*k*ln(2) + lgamma(k + 1) - lgamma(2*k + 2) + (2*k + 1)*ln(abs({z})/sqrt(2)))"
-    erf = f"2/sqrt(pi())*exp(-{z}*{z}/2)*list_sum(list_transform(range(0, 250), lambda k: {term}))"
-    return f"(case when abs({z}) < 1e-12 then 1.0 when abs({z}) > 9 then 0.0 else 1 - {erf} end)"
-
-
-def _upper(z: str) -> str:
-    return f"(case when {z} >= 0 then {_two_sided(z)}/2 else 1 - {_two_sided(z)}/2 end)"
-
-
-def _student(t: str, df: str) -> str:
-    """Two-sided p of Student's t from the columns t and df: the incomplete beta function by a series of positive terms."""
-    y, a = f"({t}*{t}/({df} + {t}*{t}))", f"({df}/2)"
-    head = f"exp(0.5*ln({y}) + {a}*ln(1 - {y}) - ln(0.5) - {_beta('0.5', a)})"
-    term = f"exp({_beta('1.5', '(k + 1)')} - {_beta(f'(0.5 + {a})', '(k + 1)')} + (k + 1)*ln({y}))"
-    tail = f"1 - {head}*(1 + list_sum(list_transform(range(0, 500), lambda k: {term})))"
-    return f"(case when abs({t}) < 1e-12 then 1.0 when abs({t}) > 12 and {df} > 30 then 0.0 else {tail} end)"
-
-
-def _exact(sql: str) -> str:
-    """The same SQL without rounding, for use inside other SQL."""
-    return sql.replace("round(cast(", "(cast(").replace(" as double), 6) + 0.0", " as double))")
-
-
 _VAR = lambda kind: f"(case when count(*) > 1 or '{kind}' = 'pop' then var_{kind}(e/100.0) end)"
 
 
@@ -99,7 +63,7 @@ def _returns_by_role() -> str:
             exact.append(f"{x} as {r}_{name}")
             cols.append(f"{R(f'{r}_{name}')} as {r}_{name}")
         exact.append(f"{r}.n as {r}_n")
-        cols += [f"{r}_n", f"{R(_two_sided(f'{r}_z'))} as {r}_p"]
+        cols += [f"{r}_n", f"{R(two_sided(f'{r}_z'))} as {r}_p"]
     inner = f"select taker.price, {', '.join(exact)} from m taker join m maker on taker.price = maker.price where taker.role = 'taker' and maker.role = 'maker'"
     return f"select price, {', '.join(cols)} from ({inner})"
 
@@ -175,75 +139,6 @@ def _cross(body: str) -> str:
     return _sql(f"select * from (with by_day as (select venue, day, price, count(*) as n, sum(won) as w from ({_DAYS}) group by 1, 2, 3), grid as {_GRID}, kept_days as {_KEPT} {body})")
 
 
-_PAIR = """{a}.n*1.0 as {na}_n, {ra} as {na}_mean, {va} as {na}_var, {b}.n*1.0 as {nb}_n, {rb} as {nb}_mean, {vb} as {nb}_var"""
-
-
-def _welch(by: str, keys: str, pair: str, names: tuple[str, str]) -> str:
-    """``by``: (keys, side, n, mean, var); ``pair``: how sides a and b meet."""
-    a, b = names
-    return f"""select {keys}, {R(f'{a}_n')} as {a}_n, {R(f'{a}_mean')} as {a}_mean, {R(f'{a}_var')} as {a}_var, {R(f'{b}_n')} as {b}_n, {R(f'{b}_mean')} as {b}_mean, {R(f'{b}_var')} as {b}_var,
-        {R('t0')} as t, {R('df0')} as df, {R(_student('t0', 'df0'))} as p,
-        {R(f'({a}_mean - {b}_mean)/sqrt((({a}_n - 1)*{a}_var + ({b}_n - 1)*{b}_var)/({a}_n + {b}_n - 2))')} as cohens_d, {R(f'{a}_mean - {b}_mean')} as diff from (select *, ({a}_mean - {b}_mean)/sqrt({a}_var/{a}_n + {b}_var/{b}_n) as t0,
-        pow({a}_var/{a}_n + {b}_var/{b}_n, 2)/(pow({a}_var/{a}_n, 2)/({a}_n - 1) + pow({b}_var/{b}_n, 2)/({b}_n - 1)) as df0 from ({pair}))"""
-
-
-_SPAN = "case " + " ".join(f"when price between {a} and {b} then '{a}-{b}'" for a, b in RANGES) + " end"
-_CAPPED = f"select {_SPAN} as range, side, count(*) as legs, sum(w)*1.0 as n, sum(w*e)*1.0 as s, sum(w*e*e)*1.0 as s2 from (select *, least(contracts, 100) as w from legs where role = 'maker') where {_SPAN} is not null group by 1, 2 having count(*) >= 100"
-_CAPPED = f"select range, side, n, s/n/100 as mean, (s2 - s*s/n)/(n - 1)/1e4 as var from ({_CAPPED})"
-_GROUPS = """select k."group", count(*)*1.0 as n, avg(e)/100 as mean, var_samp(e/100.0) as var from legs l join classes k on k.category = l.category where role = 'taker' group by 1 having count(*) >= 100"""
-
-
-def _sizes_test() -> str:
-    rank = "select bin, role, cents, below + (tied + 1)/2.0 as rank, tied from (select bin, role, cents, count(*) over (partition by bin, cents) as tied, rank() over (partition by bin order by cents) - 1 as below from (select role, contracts*price as cents, least(10, greatest(1, cast(ceil((price - lo)/((hi - lo)/10.0)) as int))) as bin from legs, (select min(price) as lo, max(price) as hi from legs)))"
-    by = f"select bin, count(*) filter (role = 'maker') as n1, count(*) filter (role = 'taker') as n2, sum(rank) filter (role = 'maker') as r1, sum(tied*1.0*tied - 1) as ties, avg(cents) filter (role = 'maker')/100 as m1, avg(cents) filter (role = 'taker')/100 as m2, median(cents) filter (role = 'maker')/100 as d1, median(cents) filter (role = 'taker')/100 as d2 from ({rank}) group by bin"
-    u = "(r1 - n1*(n1 + 1)/2.0)"
-    z = f"({u} - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1 + n2 + 1 - ties/((n1 + n2)*(n1 + n2 - 1.0))))"
-    return f"select bin, n1 as maker_n, n2 as taker_n, {R('m1')} as maker_mean, {R('m2')} as taker_mean, {R('d1')} as maker_median, {R('d2')} as taker_median, {R(u)} as u, {R(f'1 - 2*{u}/(n1*1.0*n2)')} as rank_biserial, {R('z0')} as z, {R('m1/m2')} as mean_ratio, {R(_upper('z0'))} as p from (select *, {z} as z0 from ({by}) where n1 >= 100 and n2 >= 100)"
-
-
-def _performance() -> str:
-    rows = "select greatest(contracts*price, 1) as cents, e, log10(greatest(contracts*price, 1)/100.0) as x, e/100.0 as y from legs where role = 'taker'"
-    ranks = f"select *, rank() over (order by cents) + (count(*) over (partition by cents) - 1)/2.0 as rx, rank() over (order by e) + (count(*) over (partition by e) - 1)/2.0 as ry from ({rows})"
-    bins = f"select b, count(*)*1.0 as w, avg(x) as bx, avg(y) as by_ from (select x, y, least(20, greatest(1, cast(ceil((x - lo)/((hi - lo)/20)) as int))) as b from ({rows}), (select min(x) as lo, max(x) as hi from ({rows}))) group by b"
-    line = f"select (sum(w)*sum(w*bx*by_) - sum(w*bx)*sum(w*by_))/(sum(w)*sum(w*bx*bx) - sum(w*bx)*sum(w*bx)) as slope, sum(w*bx) as sx, sum(w*by_) as sy, sum(w) as sw, sum(sqrt(w)*by_)/sum(sqrt(w)) as ybar from ({bins})"
-    fit = f"select slope, (sy - slope*sx)/sw as intercept, ybar from ({line})"
-    r2 = f"select slope, intercept, 1 - sum(sqrt(w)*pow(by_ - slope*bx - intercept, 2))/sum(sqrt(w)*pow(by_ - ybar, 2)) as r2 from ({bins}), ({fit}) group by slope, intercept"
-    both = f"select n, p, s, n - 2.0 as df, p*sqrt((n - 2)/(1 - p*p)) as tp, s*sqrt((n - 2)/(1 - s*s)) as ts from (select count(*) as n, corr(x, y) as p, corr(rx, ry) as s from ({ranks}))"
-    ps = f"{R(_student('tp', 'df'))} as pearson_p, {R(_student('ts', 'df'))} as spearman_p"
-    return f"select n, {R('p')} as pearson, {R('s')} as spearman, {ps}, {R('slope')} as slope, {R('intercept')} as intercept, {R('r2')} as r2 from ({both}), ({r2})"
-
-
-def _asymmetry(least: int) -> str:
-    by = f"select price, side, count(*) as n, sum(contracts)*1.0 as c, sum(contracts*won)*1.0 as w from legs where role = 'taker' and price in ({', '.join(map(str, PRICES))}) group by 1, 2 having count(*) >= {least}"
-    pool = "((y.w + o.w)/(y.c + o.c))"
-    se = f"sqrt({pool}*(1 - {pool})*(1/y.c + 1/o.c))"
-    pair = f"select y.price, y.n as yes_n, o.n as no_n, y.w as yw, y.c as yc, o.w as ow, o.c as oc, case when {se} = 0 then 0 else (y.w/y.c - o.w/o.c)/nullif({se}, 0) end as z0 from ({by}) y join ({by}) o on y.price = o.price where y.side = 'yes' and o.side = 'no'"
-    ev = lambda s: R(f"({s}w/{s}c - price/100.0)/(price/100.0)*100")
-    return f"select price, yes_n, no_n, {R('yw/yc')} as yes_win_rate, {R('ow/oc')} as no_win_rate, {ev('y')} as yes_ev_pct, {ev('o')} as no_ev_pct, {R('z0')} as z, {R(_two_sided('z0'))} as p from ({pair})"
-
-
-_GAPS = _welch(_GROUPS, '"group"', f"""select o."group", b.n as base_n, b.mean as base_mean, b.var as base_var, o.n as other_n, o.mean as other_mean, o.var as other_var
-    from ({_GROUPS}) b, ({_GROUPS}) o where b."group" = 'Finance' and o."group" <> 'Finance'""", ("base", "other"))
-_DIRECTION = _welch(_CAPPED, "range", f"""select y.range, y.n as yes_n, y.mean as yes_mean, y.var as yes_var, o.n as no_n, o.mean as no_mean, o.var as no_var
-    from ({_CAPPED}) y join ({_CAPPED}) o on y.range = o.range where y.side = 'yes' and o.side = 'no'""", ("yes", "no"))
-
-
-def _all_tests() -> str:
-    """(test, metric, value) of the five tests, from their own SQL without rounding."""
-    def rows(test: str, sql: str, **metrics: str) -> str:
-        return " union all ".join(f"select '{test}' as test, '{m}' as metric, {R(x)} as value from ({_exact(sql)})" for m, x in metrics.items())
-
-    common = {"groups": "count(*)", "significant": "coalesce(count(*) filter (p < 0.05), 0)"}
-    single = {k: f"max({k})" for k in ("pearson", "pearson_p", "spearman", "spearman_p", "slope", "r2")}
-    return " union all ".join([
-        rows("trade_size_by_role", _sizes_test(), **common, mean_ratio="avg(mean_ratio)"),
-        rows("yes_no_asymmetry", _asymmetry(100), **common, mean_difference="avg(yes_win_rate - no_win_rate)"),
-        rows("category_gaps", _GAPS, **common, max_abs_d="max(abs(cohens_d))"),
-        rows("trade_size_performance", _performance(), **single),
-        rows("maker_direction", _DIRECTION, **common, max_abs_d="max(abs(cohens_d))"),
-    ])
-
-
 _LONG = "price between 1 and 20"
 _CHAIN_WIN = _win(source="chain_legs")
 
@@ -271,12 +166,6 @@ ORACLE_SQL: dict[str, str] = {
     "market_types": _sql(f"""select "group", {B('sum(volume)')} as volume, {B('sum(markets)')} as markets, {R('100.0*sum(volume)/sum(sum(volume)) over ()')} as share_pct from volumes group by "group" """),
     "market_type_hierarchy": _sql(f"select * from (with kept_mid as {_KEPT_MID} {_HIERARCHY})"),
     "market_types_topn": _sql(f"""select "group", category, {B('sum(volume)')} as volume from (select "group", volume, k > 8 as rest, case when k <= 8 then category else "group" || ' Other' end as category from (select *, row_number() over (partition by "group" order by volume desc, category) as k from volumes )) group by "group", category, rest having not rest or sum(volume) > 0"""),
-    "test_trade_size_by_role": _sql(_sizes_test()),
-    "test_yes_no_asymmetry": _sql(_asymmetry(20)),
-    "test_category_gaps": _sql(_GAPS),
-    "test_trade_size_performance": _sql(_performance()),
-    "test_maker_direction": _sql(_DIRECTION),
-    "statistical_tests": _sql(f"select * from ({_all_tests()})"),
     "chain_market_resolution": _sql("select kind, key, cast(outcome as int) as outcome, won from resolution"),
     "chain_win_rate_by_price": _sql(_CHAIN_WIN),
     "chain_calibration_metrics": _sql(f"select round(sum(w*pow(price/100.0 - 1, 2) + (n - w)*pow(price/100.0, 2))/sum(n), 4) + 0.0 as brier, round(-sum(w*ln(least(greatest(price/100.0, 1e-6), 1 - 1e-6)) + (n - w)*ln(1 - least(greatest(price/100.0, 1e-6), 1 - 1e-6)))/sum(n), 4) + 0.0 as log_loss, round(sum(n*abs(w*1.0/n - price/100.0))/sum(n), 4) + 0.0 as ece, {B('sum(n)')} as total_trades from (select price, count(*) as n, sum(won) as w from chain_legs group by price)"),
@@ -290,8 +179,9 @@ ORACLE_SQL: dict[str, str] = {
     "volume_chart": _sql("select concat(year(q), ' Q', quarter(q)) as quarter, round(v/1e3, 2) as volume_thousands from (select date_trunc('quarter', created_time) as q, sum(count) as v from book_trades group by 1)"),
 }
 ORACLE_SQL |= INGEST_SQL
+ORACLE_SQL |= {name: _sql(" ".join(body.split())) for name, body in TESTS_SQL.items()}
 ORACLE_SQL |= {
-    "top_groups": _sql(f"""select "group", {R('v')} as taker_volume, {R('t')} as taker_excess_pp, {R('k')} as maker_excess_pp from (select "group", taker_volume as v, taker_excess_pp as t, maker_excess_pp as k from ({_exact(_category_returns())}) order by 2 desc, 1 limit 8)"""),
+    "top_groups": _sql(f"""select "group", {R('v')} as taker_volume, {R('t')} as taker_excess_pp, {R('k')} as maker_excess_pp from (select "group", taker_volume as v, taker_excess_pp as t, maker_excess_pp as k from ({exact(_category_returns())}) order by 2 desc, 1 limit 8)"""),
     "iso_blocks": _sql("select block_number, strftime(date_trunc('second', cast(timestamp as timestamp)), '%Y-%m-%dT%H:%M:%SZ') as timestamp from blocks"),
     "volume_chart_short": _sql("select concat('Q', quarter(q), ' ', chr(39), substr(cast(year(q) as varchar), 3)) as quarter, round(v/1e3, 2) as volume_thousands from (select date_trunc('quarter', created_time) as q, sum(count) as v from book_trades group by 1)"),
 }

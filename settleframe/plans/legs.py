@@ -36,17 +36,47 @@ def legs(trades: DataFrame, markets: DataFrame, strict: bool = True) -> DataFram
     return _outcome(two_legs(trades.join(resolved(markets, strict), "ticker"))).withColumn("n", F.lit(1).cast("long"))
 
 
-def leg_sums(trades: DataFrame, markets: DataFrame, *keys, strict: bool = True, sized: bool = False) -> DataFrame:
-    """As ``legs``, for trades that were summed by side, prices, result and ``keys`` before they are mirrored.
+def trade_sums(trades: DataFrame, markets: DataFrame, *keys, strict: bool = True, sized: bool = False, also: tuple = ()) -> DataFrame:
+    """Trades of resolved markets, summed by side, prices, result and ``keys``, before they are mirrored.
 
-    n is the number of trades in a row and contracts their sum; ``sized``, trades are also told apart by their contracts,
-    and contracts is what each of them has. Trades are summed where they are read and joined: of what is shuffled and
-    mirrored there are a few rows for each pair of prices.
+    n is the number of trades in a row and count their contracts; ``sized``, trades are also told apart by their
+    contracts, and count is what each of them has. ``also``: names of further columns, whose least and greatest values
+    are kept as least_x and most_x. Keys may be columns of trades or of ``resolved`` markets.
+
+    Where Spark expects to broadcast the markets, trades meet their outcome as they are read and are summed there. Where
+    it doesn't, they are summed by ticker and all else below the join, and again without the ticker after it. Of the
+    trades themselves nothing is shuffled either way, and a market's many trades meet its outcome as a few sums.
     """
-    joined = trades.join(resolved(markets, strict), "ticker")
-    by = ("taker_side", "yes_price", "no_price", "result", *keys)
-    number = F.count(F.lit(1)).alias("n")
-    sums = joined.groupBy(*by, "count").agg(number) if sized else joined.groupBy(*by).agg(number, F.sum("count").alias("count"))
+    known = resolved(markets, strict)
+    by = ["taker_side", "yes_price", "no_price", *keys, *(["count"] if sized else [])]
+    ends = [f(c).alias(f"{name}_{c}") for c in also for name, f in (("least", F.min), ("most", F.max))]
+    volume = [] if sized else [F.sum("count").alias("count")]
+    if is_small(known):
+        return trades.join(known, "ticker").groupBy(*by, "result").agg(F.count(F.lit(1)).alias("n"), *volume, *ends)
+    of_market = [k for k in keys if isinstance(k, str) and k in known.columns]
+    first = trades.groupBy("ticker", *[k for k in by if not any(k is m for m in of_market)]).agg(F.count(F.lit(1)).alias("n"), *volume, *ends)
+    sums = {"n", *(() if sized else ("count",)), *[f"{e}_{c}" for c in also for e in ("least", "most")]}
+    names = [c for c in first.columns if c != "ticker" and c not in sums]
+    again = [f(f"{name}_{c}").alias(f"{name}_{c}") for c in also for name, f in (("least", F.min), ("most", F.max))]
+    return first.join(known, "ticker").groupBy(*names, *of_market, "result").agg(F.sum("n").alias("n"), *volume, *again)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of ``df`` is within the session's limit for broadcasts."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if limit.startswith("-"):
+        return False
+    most = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+
+
+def leg_sums(trades: DataFrame, markets: DataFrame, *keys, strict: bool = True, sized: bool = False, also: tuple = ()) -> DataFrame:
+    """As ``legs``, for ``trade_sums``: a few rows for each pair of prices are mirrored."""
+    return _outcome(two_legs(trade_sums(trades, markets, *keys, strict=strict, sized=sized, also=also)))
+
+
+def legs_of(sums: DataFrame) -> DataFrame:
+    """The legs of ``trade_sums``."""
     return _outcome(two_legs(sums))
 
 

@@ -52,7 +52,7 @@ ANALYSES |= {
     "maker_taker_gap_over_time": lambda t: book.maker_taker_gap_over_time(t, least=100),
     "chain_market_resolution": chain.market_resolution,
     "test_trade_size_by_role": tests.trade_size_by_role,
-    "test_yes_no_asymmetry": lambda t: tests.yes_no_asymmetry(t, least=20),
+    "test_yes_no_asymmetry": tests.yes_no_asymmetry,
     "test_category_gaps": tests.category_gaps,
     "test_trade_size_performance": tests.trade_size_performance,
     "test_maker_direction": tests.maker_direction,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .manifest import Manifest, Run
+
 
 def event_time(text: Column) -> Column:
     """An ISO time with any number of fractional digits, cut or filled to six; empty or bad: null."""
@@ -103,10 +105,17 @@ def decode_amm_trades(logs: DataFrame, buy_topic: str, sell_topic: str) -> DataF
 
 
 def dedup_append(stored: DataFrame, new: DataFrame, keys: list[str], first_by: list[str]) -> DataFrame:
-    """Rows of ``new`` to append: of each unseen key the first by ``first_by``."""
+    """Rows of ``new`` to append: of each unseen key the first by ``first_by``.
+
+    A row with a null in its key is no repeat of any other: all of them are appended.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole &= F.col(k).isNotNull()
     order = Window.partitionBy(*keys).orderBy(*first_by)
-    unseen = new.join(stored.select(*keys).distinct(), keys, "left_anti")
-    return unseen.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k").select(*new.columns)
+    unseen = new.where(whole).join(stored.select(*keys).distinct(), keys, "left_anti")
+    first = unseen.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return first.select(*new.columns).unionByName(new.where(~whole))
 
 
 def pending_tickers(markets: DataFrame, trades: DataFrame, least_volume: int = 100) -> DataFrame:
@@ -140,6 +149,35 @@ def iso_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_number", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
 
 
-def compact(df: DataFrame, path: str, order_by: str, rows: int = 10_000, partitions: int = 8) -> None:
-    """Rewrite into files of at most ``rows`` rows, ranged by a column."""
-    df.repartitionByRange(partitions, order_by).sortWithinPartitions(order_by).write.option("maxRecordsPerFile", rows).mode("append").parquet(path)
+def read_compacted(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot that ``compact`` made of the table in ``path``; a folder without one is read as it is."""
+    manifest = Manifest(spark, path)
+    runs = manifest.runs()
+    return spark.read.parquet(*(manifest.paths(runs) if runs else [path]))
+
+
+def compact(spark: SparkSession, path: str, order_by: str, file_bytes: int = 128 << 20, rows: int | None = None) -> None:
+    """Rewrite the table in ``path`` into files of about ``file_bytes``, ranged by a column, each of at most ``rows`` rows.
+
+    The new files are a snapshot in a folder of their own, and take effect with a manifest in one step: until then, and if
+    the run fails, ``read_compacted`` gives the old ones. The number of ranges follows from the bytes stored now. A plain
+    folder keeps its files under their names until the caller deletes them; of older snapshots the last one is kept.
+    """
+    manifest = Manifest(spark, path)
+    runs = manifest.runs()
+    size = stored_bytes(spark, manifest.paths(runs) if runs else [path])
+    number = max([r.last for r in runs], default=0) + 1
+    rows_now = read_compacted(spark, path)
+    ranged = rows_now.repartitionByRange(max(1, -(-size // file_bytes)), order_by).sortWithinPartitions(order_by)
+    name = f"run-{number}"
+    ranged.write.mode("overwrite").option("maxRecordsPerFile", rows or 0).parquet(f"{path.rstrip('/')}/{name}")
+    manifest.commit([Run(name, first=number, last=number)])
+
+
+def stored_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files in folders."""
+    total = 0
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total

@@ -142,9 +142,25 @@ def test_analyses_read_a_stored_cube(spark, fixture, tmp_path):
         assert sorted(map(str, analysis(gone, cube=cube).collect())) == sorted(map(str, analysis(fixture).collect()))
 
 
-def test_trades_are_summed_before_they_are_mirrored(fixture):
-    plan = book.win_rate_by_price(fixture)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Cartesian" not in plan and plan.count("Generate") == 1 and plan.index("Generate") < plan.rindex("Aggregate") < plan.index("Join")
+@pytest.fixture
+def large_markets(spark):
+    """Markets that are too many to be broadcast."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["win_rate_by_price", "maker_vs_taker_returns", "returns_by_hour", "longshot_volume_share", "maker_taker_returns_by_category", "position_moments", "win_rate_by_trade_size"])
+def test_trades_are_summed_below_the_join(spark, name, large_markets):
+    """What is shuffled of trades are sums by ticker: between their scan and the first exchange above it stands a partial aggregate."""
+    lines = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    (scan,) = [k for k, line in enumerate(lines) if "FileScan" in line and "l_orderkey" in line]
+    above = next(k for k in range(scan, -1, -1) if "Exchange" in lines[k])
+    assert any("HashAggregate" in line and "partial_" in line for line in lines[above:scan])
+    assert "Cartesian" not in "".join(lines)
 
 
 @pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category", "maker_counterparty_excess", "test_category_gaps", "test_maker_direction", "test_yes_no_asymmetry"])
@@ -154,9 +170,26 @@ def test_roles_share_one_scan_of_trades(spark, name):
 
 
 def test_first_rule_holds(spark):
-    rules = categories.rules_table(spark, [("AB", "one", "m", "s"), ("ABC", "two", "m", "s")])
-    got = {r.category: r.group for r in categories.classify(spark.createDataFrame([("xabc",), ("zz",)], "category string"), rules).collect()}
-    assert got == {"xabc": "one", "zz": "Other"}
+    rules = categories.rules_table(spark, [("AB", "one", "m", "s"), ("ABC", "two", "m", "s"), ("B", "three", "m", "s")])
+    names = spark.createDataFrame([("xabc",), ("zz",), ("",), (None,), ("b",), ("bAb",)], "category string")
+    got = {r.category: (r.group, r.sub) for r in categories.classify(names, rules).collect()}
+    assert got == {"xabc": ("one", "s"), "zz": ("Other", "zz"), "": ("Other", ""), None: ("Other", None), "b": ("three", "s"), "bAb": ("one", "s")}
+    every = categories.rules_table(spark, [("ZZ", "one", "m", "s"), ("", "all", "m", "s")])
+    assert {r.category: r.group for r in categories.classify(names, every).collect()} == {"xabc": "all", "zz": "one", "": "all", None: "Other", "b": "all", "bAb": "all"}
+    assert {r.group for r in categories.classify(names, rules.limit(0)).collect()} == {"Other"}
+
+
+def test_many_rules_meet_many_categories_without_a_loop(spark):
+    draw = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    patterns = ["".join(draw.choice(letters) for _ in range(draw.choice([3, 4, 4, 5, 6]))) for _ in range(50_000)]
+    names = ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 14))).lower() for _ in range(300)]
+    rules = spark.createDataFrame([(k, p, f"g{k}", "m", "s") for k, p in enumerate(patterns)], categories.RULE_SCHEMA)
+    found = categories.classify(spark.createDataFrame([(n,) for n in names], "category string"), rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = {n: next((f"g{k}" for k, p in enumerate(patterns) if p in n.upper()), "Other") for n in names}
+    assert {r.category: r.group for r in found.collect()} == want and 30 < sum(g == "Other" for g in want.values()) < 290
 
 
 def test_student_and_normal(spark):
@@ -295,21 +328,24 @@ def test_tables_and_lookups_are_read_with_their_schemas(spark, fixture, tmp_path
     assert sorted(map(tuple, read_collateral(spark, str(tmp_path / "c.json")).collect())) == [("0xA", "USDC", "0x1"), ("0xB", None, None), ("0xC", None, None)]
 
 
-def test_samples_times_provenance_and_compaction(spark, tmp_path):
+def test_samples_times_and_provenance(spark):
     rows = spark.range(5000).withColumn("v", F.col("id") % 7)
     one, two = ({r.id for r in sample_n(rows.repartition(k), 100, 5, "id").collect()} for k in (1, 6))
     assert one == two and len(one) == 100 and one != {r.id for r in sample_n(rows, 100, 6, "id").collect()}
     assert sample_n(rows, 9000, 5, "id").count() == 5000 and sample_n(rows.limit(0), 3, 5, "id").count() == 0
+    for n in (0, 1, 37, 4096, 4999):
+        want = sorted(rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(n).collect())
+        assert sorted(sample_n(rows.repartition(3), n, 9, "id").collect()) == want
+    large = sample_n(rows, 2500, 5, "id")
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "limit=2500" not in plan
+    repeated = spark.range(9000).withColumn("k", F.lit(3)).unionByName(spark.range(50).withColumn("k", F.col("id").cast("int")))
+    assert [sample_n(repeated, n, 1, "k").count() for n in (1, 40, 8000, 9050, 9999)] == [1, 40, 8000, 9050, 9050]
     times = ingest.iso_blocks(spark.createDataFrame([(1, 0), (2, 1_717_243_205), (3, None)], "block_number long, ts long")).collect()
     assert [r.timestamp for r in times] == ["1970-01-01T00:00:00Z", "2024-06-01T12:00:05Z", None]
     tagged = ingest.tag_provenance(rows.limit(2), "0xc").collect()
     assert {r._contract for r in tagged} == {"0xc"} and len({r._fetched_at for r in tagged}) == 1
     assert ingest.tag_provenance(rows.limit(1)).first()._contract is None
-    ingest.compact(rows.repartition(20), str(tmp_path / "t"), "id", rows=1000, partitions=4)
-    files = list((tmp_path / "t").glob("*.parquet"))
-    assert 4 <= len(files) <= 8 and spark.read.parquet(str(tmp_path / "t")).count() == 5000
-    ranges = sorted((r.a, r.b) for r in spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name()).agg(F.min("id").alias("a"), F.max("id").alias("b")).collect())
-    assert all(b < a for (_, b), (a, _) in zip(ranges, ranges[1:], strict=False))
 
 
 def test_top_groups_are_the_largest_in_order(fixture):
