@@ -163,7 +163,7 @@ def test_trades_are_summed_below_the_join(spark, name, large_markets):
     assert "Cartesian" not in "".join(lines)
 
 
-@pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category", "maker_counterparty_excess", "test_category_gaps", "test_maker_direction", "test_yes_no_asymmetry"])
+@pytest.mark.parametrize("name", ["maker_vs_taker_returns", "maker_taker_gap_over_time", "maker_returns_by_direction", "maker_taker_returns_by_category", "maker_counterparty_excess"])
 def test_roles_share_one_scan_of_trades(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1

@@ -142,7 +142,10 @@ def test_distinct_sketches_of_days_merge(spark):
     assert told["num_tickers"] == by_days and told["num_trades"] == t.book_trades.count()
 
 
-@pytest.mark.parametrize("name", ["statistical_tests", "test_trade_size_by_role", "test_trade_size_performance", "calibration_deviation_over_time"])
+@pytest.mark.parametrize("name", [
+    "statistical_tests", "test_trade_size_by_role", "test_trade_size_performance", "test_category_gaps", "test_maker_direction", "test_yes_no_asymmetry",
+    "calibration_deviation_over_time", "trade_size_by_role",
+])
 def test_trades_are_scanned_once(spark, name, monkeypatch):
     """Counted over the result's plan and the plans of the tables that the query stores."""
     plans = []
