@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import BLOCKS, MOST, SEED, SHARDS, WEIGHTS
+from .oracle_trees import TREES_SQL
 from .urlfilter import BLOCKED, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,3 +111,4 @@ select doc_id, size, source_size, target, cast(coalesce(list_sum(list_transform(
 """
 
 ORACLE_SQL = {"op1_near_dups": _NEAR_DUPS, "op3_warc": _WARC, "op5_url_filter": _url_filter(), "op8_decontamination": _DECONTAMINATION, "op9_mixing": _MIXING}
+ORACLE_SQL |= TREES_SQL

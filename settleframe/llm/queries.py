@@ -83,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node of the trie of rebuilt conversations: see ``prefixtrie.turns``, ``rebuilt`` and ``trie`` for nulls, ties and repeats."""
-    return prefixtrie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+    return prefixtrie.rebuilt_trie(_table(spark, sf_dir, "conversations")).drop("enter", "leave")
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
