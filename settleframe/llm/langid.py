@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import sampled
-from .runtime import ready
+from .runtime import ready, removed, written
 
-SAMPLE_TEXTS = 400  # labelled texts read for each language, at most about so many
-SAMPLE_CHARS = 50_000  # of a longer text, its middle
+SAMPLE_TEXTS = 400  # different labelled texts that are read for each language, at most
 DICTIONARY_BYTES = 1 << 15  # raw content kept for each language
 PASSAGE_BYTES = 256  # of each sampled text
 PIECE_BYTES = 1 << 11  # whole texts are compressed in pieces of this size, each from the bare dictionary
@@ -59,13 +58,18 @@ class Dictionaries:
         return names[best], second / sizes[best] - 1
 
 
-def _gathered(texts: dict[str, list[bytes]]) -> Dictionaries:
+def _passage(plain: bytes) -> bytes:
+    """What of a text may become part of a dictionary: its middle."""
+    middle = max(0, (len(plain) - PASSAGE_BYTES) // 2)
+    return plain[middle : middle + PASSAGE_BYTES]
+
+
+def _gathered(passages: dict[str, list[bytes]]) -> Dictionaries:
     content = {}
-    for lang in sorted(texts):
+    for lang in sorted(passages):
         room, parts = DICTIONARY_BYTES, []
-        for plain in texts[lang]:
-            middle = max(0, (len(plain) - PASSAGE_BYTES) // 2)
-            parts.append(plain[middle : middle + PASSAGE_BYTES][:room])
+        for passage in passages[lang]:
+            parts.append(passage[:room])
             room -= len(parts[-1])
             if room <= 0:
                 break
@@ -73,32 +77,56 @@ def _gathered(texts: dict[str, list[bytes]]) -> Dictionaries:
     return Dictionaries(content)
 
 
+def _passages() -> Column:
+    def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([_passage(_plain(t)) if has_letter(t) else None for t in column.to_pylist()], pa.binary())
+
+    return F.arrow_udf(cut, "binary")("text")
+
+
+def _agrees(halves: tuple[Dictionaries, Dictionaries]) -> Column:
+    """Whether the half that a whole text isn't in gives it its own language, or doesn't know that language."""
+
+    def judge(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        compressors = [d.compressors() for d in halves]
+        for text, lang, half in columns:
+            out = []
+            for t, own, h in zip(text.to_pylist(), lang.to_pylist(), half.to_pylist(), strict=True):
+                other = halves[1 - h]
+                out.append(own not in other.content or other.judge(_plain(t), compressors[1 - h])[0] == own)
+            yield pa.array(out, pa.bool_())
+
+    return F.arrow_udf(judge, "boolean")("text", "lang", "half")
+
+
 def fit(labelled: DataFrame) -> Dictionaries:
-    """Dictionaries from (doc_id, text, lang) rows; rows with a null text or lang, or no letter in the text, are ignored.
+    """Dictionaries from (text, lang) rows; rows with a null text or lang, or no letter in the text, are ignored.
 
-    About SAMPLE_TEXTS texts a language are read, chosen by a hash of id and text. Two halves then judge each other, and
-    texts whose label the other half contradicts are left out of the final dictionaries. Of a text over SAMPLE_CHARS its
-    middle is read.
+    SAMPLE_TEXTS different texts a language are drawn by a hash of the text, all of a language that has fewer; repeated
+    rows count once. Two halves then judge each other's whole texts, where these are, and texts whose label the other half
+    contradicts are left out of the final dictionaries. Only passages of PASSAGE_BYTES, the middles of the texts, come to
+    the driver.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"(length(text) - {SAMPLE_CHARS}) div 2 + 1")).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = sampled(rows, F.struct("doc_id", "text"), "lang", SAMPLE_TEXTS).select("lang", middle.alias("text"), "draw").collect()
-    halves: tuple[dict, dict] = ({}, {})
-    seen = set()
-    for row in sorted(rows, key=lambda r: (r.draw, r.text, r.lang)):
-        if (row.lang, row.text) not in seen and has_letter(row.text):
-            seen.add((row.lang, row.text))
-            halves[len(seen) % 2].setdefault(row.lang, []).append(_plain(row.text))
-    agreed: dict[str, list[bytes]] = {}
-    for judge, texts in (halves, halves[::-1]):
-        dictionaries = _gathered(judge)
-        compressors = dictionaries.compressors()
-        for lang, plains in texts.items():
-            agreed.setdefault(lang, []).extend(p for p in plains if lang not in judge or dictionaries.judge(p, compressors)[0] == lang)
-    for lang in {*halves[0], *halves[1]}:
-        if not agreed.get(lang):
-            agreed[lang] = halves[0].get(lang, []) + halves[1].get(lang, [])
-    return _gathered(agreed)
+    spark = ready(labelled.sparkSession)
+    texts = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = sampled(texts.select("text", "lang", F.xxhash64("text", F.lit(17)).alias("draw")), "lang", SAMPLE_TEXTS)
+    rows = written(rows.withColumn("half", F.shiftrightunsigned("draw", 7).bitwiseAND(F.lit(1)).cast("int")), "labelled-texts")
+    drawn = sorted(rows.select("lang", "draw", "half", _passages().alias("passage")).collect(), key=lambda r: (r.draw, r.lang))
+    passages: tuple[dict, dict] = ({}, {})
+    for r in drawn:
+        if r.passage is not None:
+            passages[r.half].setdefault(r.lang, []).append(r.passage)
+    halves = _gathered(passages[0]), _gathered(passages[1])
+    agreed = {(r.lang, r.draw) for r in rows.select("lang", "draw", _agrees(halves).alias("agrees")).where("agrees").collect()}
+    removed(spark, rows)
+    kept: dict[str, list[bytes]] = {}
+    for both in (True, False):  # a language of which nothing agrees keeps all
+        for lang in {*passages[0], *passages[1]} - kept.keys():
+            own = [r.passage for r in drawn if r.lang == lang and r.passage is not None and (not both or (lang, r.draw) in agreed)]
+            if own:
+                kept[lang] = own
+    return _gathered(kept)
 
 
 def language(text: Column | str, dictionaries: Dictionaries):

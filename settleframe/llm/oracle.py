@@ -28,8 +28,8 @@ with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as
 c as (select d, string_agg({" || ".join(_CHAR.format(k) for k in (15, 10, 5, 0))}, '' order by k) as b32
     from (select d, k, cast('0x' || substr(d, k*5 + 1, 5) as bigint) as v from (select distinct d from p), range(8) t(k)) group by d),
 f as (select d, min(page_id) as head from p group by d)
-select page_id, cast(strlen(h) as bigint) as payload_bytes, b32 as payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type,
-    case when page_id > head then head end as refers_to, true as intact
+select page_id, cast(strlen(h) as bigint) as payload_bytes, b32 as payload_digest, case when head is null or page_id = head then 'response' else 'revisit' end as record_type,
+    case when page_id is null or page_id > head then head end as refers_to, true as intact
 from p join c using (d) join f using (d)
 """
 

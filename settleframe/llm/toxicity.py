@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import sampled
+from .folds import least_draws
 from .runtime import ready
 from .textbytes import BASE, WORDLIKE, Slice, mix, powers, slices, words
 
-SAMPLE_DOCS = 2500  # labelled documents read for each label, at most about so many
-SAMPLE_CHARS, PASSAGES = 8_000, 8  # of a longer document, so many passages at equal steps, SAMPLE_CHARS in all
+SAMPLE_DOCS = 1200  # different labelled documents that are read for each label, whole, at most
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 6
-LEAST_HELD = 50  # texts of each label that calibration on held texts needs; with fewer, it is on the texts learned from
+FOLDS = 5  # of the labelled documents: a document's raw score for calibration comes from a model that hasn't seen it
 ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 2048, 0.5
+STEPS = 16  # an epoch takes at least, so a small sample has smaller batches
 RESULT = "struct<score:double,logit:double>"
 
 
@@ -87,16 +87,27 @@ class Model:
 
 
 def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training bags: bucket ids, bounds of the bags, and each bag's text. Small slices keep the driver's memory low."""
+    """Training bags: bucket ids, bounds of the bags, and each bag's text. A run that a text repeats counts once.
+
+    Small slices keep the driver's memory low.
+    """
     buckets, sizes, docs = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for piece in slices(pa.array(texts, pa.string()), 1 << 18):
         ids, owners, first = _grams(piece)
+        if not len(ids):
+            continue
         per = -(-np.diff(first) // SPAN)
         doc = np.repeat(np.arange(piece.n), np.diff(first))
         bags = ((np.cumsum(per) - per)[doc] + (np.arange(len(doc)) - first[doc]) // SPAN)[owners]
-        buckets.append(ids[np.argsort(bags, kind="stable")].astype(np.int32))
-        sizes.append(np.bincount(bags, minlength=int(per.sum())))
-        docs.append(np.repeat(np.arange(piece.n), per) + piece.first)
+        ids, size, of = ids[np.argsort(bags, kind="stable")], np.bincount(bags, minlength=int(per.sum())), np.repeat(np.arange(piece.n), per)
+        begin = np.cumsum(size) - size
+        name = np.add.reduceat(mix(ids.astype(np.uint64) + np.uint64(1)), begin)  # of the bag's n-grams in any order
+        _, kept = np.unique(mix(name ^ mix(of.astype(np.uint64) + np.uint64(1))), return_index=True)
+        kept.sort()
+        got, size = _take(ids, np.concatenate([begin, [len(ids)]]), kept)
+        buckets.append(got.astype(np.int32))
+        sizes.append(size)
+        docs.append(of[kept] + piece.first)
     return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(docs)
 
 
@@ -119,21 +130,34 @@ def _take(ids: np.ndarray, bounds: np.ndarray, bags: np.ndarray) -> tuple[np.nda
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
-    """Fit embeddings and softmax together by Adagrad; a fifth of the texts calibrates the scores.
+    """Fit embeddings and softmax together by Adagrad, and calibrate on scores of texts by models that haven't seen them.
 
-    If that fifth has fewer than LEAST_HELD texts of a label, all texts are learned from and calibrate, so scores lean to 0
-    and 1. Without texts of both labels the model is flat.
+    Each of FOLDS models leaves out a fold; the final one learns from all. Without texts of both labels the model is flat.
     """
-    draw = np.random.default_rng(seed)
     toxic = np.asarray(toxic, dtype=np.int64)
-    ids, bounds, docs = _runs(texts)
+    bags = _runs(texts)
     base = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3)
-    if not len(ids) or toxic.min() == toxic.max():
+    if not len(bags[0]) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))))
-    held = np.arange(len(texts)) % 5 == 0
-    if min(toxic[held].sum(), (1 - toxic[held]).sum()) < LEAST_HELD:
-        held[:] = False  # too few to calibrate by: all texts do
-    usable = np.flatnonzero(~held[docs] & (np.diff(bounds) > 0))
+    fold = np.zeros(len(texts), dtype=np.int64)
+    for label in (0, 1):  # each label is dealt out evenly
+        own = np.flatnonzero(toxic == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    logit = np.full(len(texts), np.log(base / (1 - base)))
+    for k in range(FOLDS):
+        left_out, others = np.flatnonzero(fold == k), fold != k
+        if len(left_out) and 0 < toxic[others].sum() < others.sum():
+            model = _learned(*bags, toxic, others, seed)
+            logit[left_out] = np.concatenate([model.worst(p) for p in slices(pa.array([texts[j] for j in left_out], pa.string()))])
+    model = _learned(*bags, toxic, np.ones(len(texts), dtype=bool), seed)
+    model.slope, model.offset = _calibrated(logit, toxic)
+    return model
+
+
+def _learned(ids: np.ndarray, bounds: np.ndarray, docs: np.ndarray, toxic: np.ndarray, used: np.ndarray, seed: int) -> Model:
+    """Embeddings and softmax from the bags of the texts that are ``used``, uncalibrated."""
+    draw = np.random.default_rng(seed)
+    usable = np.flatnonzero(used[docs] & (np.diff(bounds) > 0))
     vectors = draw.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax, bias = draw.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     seen = np.full((BUCKETS, DIMENSIONS), 1e-6, dtype=np.float32)
@@ -142,15 +166,16 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
         if turn:  # of a toxic text's runs only the worst, and those nearly as bad, stay toxic
             margin = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
             run = _means(margin, ids, bounds)
-            best = np.full(len(texts), -np.inf)
+            best = np.full(len(toxic), -np.inf)
             np.maximum.at(best, docs, run)
             middle = np.median(run[np.isfinite(run)])
             label = toxic[docs] * ((run == best[docs]) | (run > middle + 0.7 * (best[docs] - middle)))
         bad, good = usable[label[usable] == 1], usable[toxic[docs[usable]] == 0]
         for _ in range(EPOCHS):
             order = draw.permutation(np.concatenate([bad, draw.choice(good, min(len(good), 6 * len(bad) + 1000), replace=False)]))
-            for k in range(0, len(order), BATCH):
-                bags = order[k : k + BATCH]
+            step = min(BATCH, max(64, len(order) // STEPS))
+            for k in range(0, len(order), step):
+                bags = order[k : k + step]
                 got, sizes = _take(ids, bounds, bags)
                 mean = np.add.reduceat(vectors[got], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
                 z = mean @ softmax + bias
@@ -167,11 +192,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
                 grad = np.stack([np.bincount(where, back[spread, d], len(touched)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
                 seen[touched] += grad**2
                 vectors[touched] -= RATE * 0.3 * grad / np.sqrt(seen[touched])
-    model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
-    part = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    logit = np.concatenate([model.worst(p) for p in slices(pa.array([texts[k] for k in part], pa.string()))])
-    model.slope, model.offset = _calibrated(logit, toxic[part])
-    return model
+    return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -190,18 +211,16 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, marks: DataFrame) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``marks`` (doc_id, toxic). About SAMPLE_DOCS ids a label are drawn, by a hash.
+    """A model from ``docs`` (doc_id, text) and ``marks`` (doc_id, toxic): SAMPLE_DOCS different documents a label, drawn by a hash.
 
-    Null texts and ids, and labels other than 0 and 1, are ignored; of an id's labels the greatest holds. The drawn ids
-    are few by construction, so they are broadcast and no text is shuffled. Documents over SAMPLE_CHARS are read in part,
-    so a toxic one's insult may be missed; the later rounds of training look past such runs.
+    Null texts and ids, and labels other than 0 and 1, are ignored; of an id's labels the greatest holds. A document is an
+    id with a text: repeated rows count once, different texts of an id count each. The drawn documents are read whole.
     """
-    ids = marks.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = sampled(ids, F.col("doc_id"), "toxic", SAMPLE_DOCS)
-    size = SAMPLE_CHARS // PASSAGES
-    passages = F.expr(f"array_join(transform(sequence(0, {PASSAGES - 1}), k -> substring(text, cast(1 + k * (length(text) - {size}) div {PASSAGES - 1} as int), {size})), ' ')")
-    read = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(passages)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select(read.alias("text"), "toxic", "draw").collect()
+    of_id = marks.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    draw = F.xxhash64("doc_id", "text", F.lit(17)).alias("draw")
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text", draw)
+    chosen = least_draws(texts.select("doc_id", "draw").join(of_id, "doc_id"), "toxic", SAMPLE_DOCS)  # ids and hashes are shuffled, not texts
+    rows = texts.select("text", "draw").join(F.broadcast(chosen), "draw").groupBy("draw", "toxic").agg(F.first("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r.draw, r.text))
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64))
 

@@ -11,7 +11,7 @@ import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from settleframe.llm import components, decontam, fingerprint, langid, mixing, near_dups, quality, queries, ranges, runtime, tokencount, toxicity, urlfilter, warc
+from settleframe.llm import components, decontam, fingerprint, folds, langid, mixing, near_dups, quality, queries, ranges, runtime, tokencount, toxicity, urlfilter, warc
 from settleframe.llm.components import connected
 from settleframe.llm.runtime import scratch
 
@@ -202,14 +202,17 @@ def test_language_is_the_smallest_output(spark):
 
 
 def test_warc(spark):
-    rows = [(3, "http://a/\r\nX: y", "same"), (1, None, "same"), (2, "http://b", None), (5, "u", ""), (4, "é", "ü" * 200_000), (7, "u", "same"), (7, "u", "same"), (None, "n", "same")]
+    rows = [(3, "http://a/\r\nX: y", "same"), (1, None, "same"), (2, "http://b", None), (5, "u", ""), (4, "é", "ü" * 200_000), (7, "u", "same"), (7, "u", "same"), (7, "v", "same"), (7, "u", "other"), (None, "n", "same"), (None, "m", "same"), (None, "n", "same"), (None, "n", "alone"), (None, None, "alone")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, shard int")
     folder = scratch(spark, "warc-test")
     manifest = warc.write_archive(pages, folder, shard_bytes=1000, roll_bytes=300)
     got = warc.read_archive(spark, folder, manifest).collect()
     assert len(got) == len(rows) and all(r.intact for r in got) and manifest.count() > 1
     kinds = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got}
-    assert kinds == {(3, "revisit", 1, 4), (1, "response", None, 4), (2, "response", None, 0), (5, "revisit", 2, 0), (4, "response", None, 400_000), (7, "revisit", 1, 4), (None, "response", None, 4)}
+    assert kinds == {(3, "revisit", 1, 4), (1, "response", None, 4), (2, "response", None, 0), (5, "revisit", 2, 0), (4, "response", None, 400_000), (7, "revisit", 1, 4), (7, "response", None, 5), (None, "revisit", 1, 4), (None, "response", None, 5)}
+    assert len({r.record_id for r in got}) == len(rows)
+    heads = {(r.page_id, r.payload_digest): r.record_id for r in got if r.record_type == "response"}
+    assert all(r.refers_to_record == heads[r.refers_to, r.payload_digest] for r in got if r.record_type == "revisit")
     again = warc.write_archive(pages.repartition(3), scratch(spark, "warc-test"), shard_bytes=1000, roll_bytes=300)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
     few = warc.write_archive(pages, folder + "-few", min_revisit_bytes=5)
@@ -217,6 +220,20 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_hot_payload_meets_its_head_without_a_shuffle(spark, monkeypatch):
+    rows = [(k if k % 3 else None, f"u{k}", "" if k % 2 else f"p{k % 40}") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted(map(str, warc.round_trip(pages).select("page_id", "url", "record_type", "refers_to").collect()))
+    monkeypatch.setattr(runtime, "HOT", 20)
+    assert sorted(map(str, warc.round_trip(pages).select("page_id", "url", "record_type", "refers_to").collect())) == want
+    least = {}
+    for i, _, h in rows:
+        if i is not None:
+            least[h] = min(i, least.get(h, i))
+    by_hand = [(i, u, "response" if h not in least or least[h] == i else "revisit", None if h not in least or least[h] == i else least[h]) for i, u, h in rows]
+    assert sorted(str(tuple(r)) for r in warc.round_trip(pages).select("page_id", "url", "record_type", "refers_to").collect()) == sorted(map(str, by_hand))
+
+
 def test_warc_shards_follow_bytes(spark):
     rows = [(k, f"u{k}", "x" * 200) for k in range(300)]
     nulls = [(None, f"n{k}", "y" * 200 + str(k)) for k in range(150)]
@@ -277,17 +294,77 @@ def test_toxicity_of_a_text_does_not_depend_on_the_text_before_it():
 def test_long_labelled_documents_are_learned_from(spark):
     bad = [" ".join([*words(6, k), "dreadful"] * 400) for k in range(60)]
     clean = [" ".join(words(60, k + 100)) for k in range(120)]
-    assert min(map(len, bad)) > toxicity.SAMPLE_CHARS
     marks = spark.createDataFrame([(k, int(k < 60)) for k in range(180)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs(spark, bad + clean), marks)
     score = model.score(np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(bad + clean))]))
     assert score[:60].min() > 0.5 > score[60:].max()
     long = "der die und mit unter über " * 2000
-    assert len(long) > langid.SAMPLE_CHARS
     known = langid.fit(docs(spark, [*[" ".join(words(60, k)) for k in range(20)], *[f"{long} {k}" for k in range(4)]], ["xx"] * 20 + ["de"] * 4))
     assert list(known.content) == ["de", "xx"] and langid.identified(docs(spark, ["unter und über der"]), known, "l").first().l.lang == "de"
 
 
+def worst_by_hand(model, text):
+    """A text's largest mean weight over runs of words, gram by gram in plain Python."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+    if not found:
+        return model.bias
+    each = []
+    for k, word in enumerate(found):
+        line, total, n = b" " + word + b" ", 0.0, 0
+        for width in toxicity.GRAMS:
+            for at in range(len(line) - width + 1):
+                value = sum((line[at + i] + 1) * pow(toxicity.BASE, i, 1 << 64) for i in range(width)) + width
+                total += model.weight[int(toxicity.mix(np.array([value % (1 << 64)], dtype=np.uint64))[0]) % toxicity.BUCKETS]
+                n += 1
+        each.append((0.0 if k and found[k - 1] == word else total, n))
+    runs = []
+    for k in range(len(found)):
+        end = min(k + toxicity.SPAN, len(found))
+        run = each[max(0, min(k, end - toxicity.SPAN)) : end]
+        runs.append(sum(t for t, _ in run) / max(1, sum(n for _, n in run)) + model.bias)
+    return max(runs)
+
+
+def test_toxicity_scores_by_hand():
+    draw = np.random.default_rng(5)
+    model = toxicity.Model(draw.normal(0, 1, toxicity.BUCKETS), -0.5)
+    texts = [None, "", "!?", "a", "Idiot", "you you YOU you", "é\u00dc1 x", *[" ".join(words(n, n, 40)) for n in (2, 5, 6, 7, 40)], "one, two; three\nfour-five six.seven eight"]
+    got = np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(texts, pa.string()))])
+    assert got.tolist() == pytest.approx([worst_by_hand(model, t) for t in texts], abs=1e-9)
+
+
+def test_whole_documents_are_learned_from(spark):
+    """The only insult of each toxic document is its last word but one, behind 20,000 characters like those of clean ones."""
+    plain = [" ".join(words(4000, k, 60)) for k in range(60)]
+    bad, clean = [f"{t} dreadful end" for t in plain[:25]], [f"{t} end" for t in plain[25:]]
+    marks = spark.createDataFrame([(k, int(k < 25)) for k in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, bad + clean), marks)
+    score = lambda t: model.score(np.concatenate([model.worst(p) for p in toxicity.slices(pa.array(t))]))
+    assert score([*bad, "w1 dreadful"]).min() > 0.5 > score([*clean, "w1 w2 end"]).max()
+
+
+def test_samples_take_repeated_rows_once(spark):
+    rows = [(1, "same text", 1)] * 5000 + [(k, f"text {k}", k % 2) for k in range(2, 40)] + [(50, "x", None)]
+    keyed = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").withColumn("draw", F.xxhash64("doc_id", "text"))
+    got = folds.sampled(keyed, "toxic", 10)
+    assert {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()} == {0: 10, 1: 10} and got.select("draw").distinct().count() == 20
+    unsigned = lambda d: (d % (1 << 64) // 4, d)
+    for toxic in (0, 1):
+        all_ = {r.draw for r in keyed.where(F.col("toxic") == toxic).select("draw").collect()}
+        assert {r.draw for r in got.where(F.col("toxic") == toxic).collect()} == set(sorted(all_, key=unsigned)[:10])
+    assert folds.sampled(keyed.limit(0), "toxic", 10).count() == 0 and folds.sampled(keyed, "toxic", 10**6).count() == 39
+
+
+@pytest.mark.parametrize("shift", range(6))
+def test_a_language_of_one_repeated_text_is_learned(spark, shift):
+    text = f"der schnelle braune fuchs springt ueber den faulen hund {shift}"
+    texts, langs = [*[" ".join(words(40, k)) for k in range(60)], *[text] * 2000], ["en"] * 60 + ["de"] * 2000
+    known = langid.fit(docs(spark, texts, langs))
+    assert list(known.content) == ["de", "en"] and langid._plain(text).strip() in known.content["de"]
+    assert len(known.content["de"]) < 2 * langid.PASSAGE_BYTES  # one row of it
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/x", "https://m.example.com/en/", "http://example.com", "http://a.net/es/1?q=/x", "http://net/fr/", "nonsense", None, "http://x.org/", "http://ads-1.ads-track.org/", "http://evil.org/.com/", "x://a.b.com/" + "z" * 5000, "://#"]
     got = urlfilter.filtered(spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id bigint, url string, host string")).orderBy("page_id").collect()
