@@ -5,7 +5,8 @@ over blocks in a permuted order, of which the last is filled part by part, and i
 Output shards come from a splitting tree: at each node the units (blocks in a pass) that the sources still have to place
 are divided between two halves by a draw without replacement, so each source's share is multivariate hypergeometric, down
 to a quota for each shard and source. Shards then take disjoint runs of each source's permuted units, and rows are
-shuffled inside their shard by a hash. The tree and the plan hold BLOCKS rows for each source and pass, at most.
+shuffled inside their shard by a hash. The tree and the plan hold BLOCKS rows for each source and pass, at most; sources
+may be many: only their sizes, one row each, are sorted in one task.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import removed, written
 
 BLOCKS = 512  # of each source, and parts of a block
 SHARDS, SEED = 16, 9
-MOST_SOURCES = 4096  # beyond it, the plan would be no small table
+SPAN_BITS = 12  # ranges of the draw, by which a node's units are ranked
 WEIGHTS = (1, 2, 3)  # repeated over the sources in code-point order, null last
 MOST = 3  # passes over a source
 
@@ -78,16 +79,24 @@ def _split(units: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, shard, quota): how many units (source, block, pass) of each source a shard gets.
 
     A node of the tree has the shards from low up to high. It gives each half its share of places, to the units that come
-    first in a seeded permutation. Of the permutation only the sources' counts are kept.
+    first in a seeded permutation. Of the permutation only the sources' counts are kept. A unit's rank in a node is its
+    rank in a range of the draw and the count of the ranges before, so no task sorts a node.
     """
-    rows = units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards))
+    rows = written(units.withColumn("low", F.lit(0)).withColumn("high", F.lit(shards)), "split-0")
     for level in range((shards - 1).bit_length()):
-        node = Window.partitionBy("low")
         drawn = _key(F.lit("split"), F.lit(seed), F.lit(level), F.col("pass"), F.col("block"), F.col("source"))
-        rows = rows.withColumn("rank", F.row_number().over(node.orderBy(drawn, "pass", "block", F.col("source").asc_nulls_last())))
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(node)).withColumn("middle", F.expr("(low + high) div 2").cast("int"))
-        left = F.col("rank") <= F.expr("n * (middle - low) div (high - low)")
-        rows = rows.select("source", "block", "pass", F.when(left, F.col("low")).otherwise(F.col("middle")).alias("low"), F.when(left, F.col("middle")).otherwise(F.col("high")).alias("high"))
+        dealt = rows.withColumn("drawn", drawn).withColumn("span", F.shiftright("drawn", 60 - SPAN_BITS))
+        inside = Window.partitionBy("low", "span").orderBy("drawn", "pass", "block", F.col("source").asc_nulls_last())
+        spans = dealt.groupBy("low", "span").agg(F.count(F.lit(1)).alias("own"))
+        node = Window.partitionBy("low")
+        before = F.coalesce(F.sum("own").over(node.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spans = spans.select("low", "span", before.alias("before"), F.sum("own").over(node).alias("n"))
+        ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(spans), ["low", "span"])  # at most shards * 2**SPAN_BITS rows
+        ranked = ranked.withColumn("middle", F.expr("(low + high) div 2").cast("int"))
+        left = F.col("before") + F.col("rank") <= F.expr("n * (middle - low) div (high - low)")
+        halves = ranked.select("source", "block", "pass", F.when(left, F.col("low")).otherwise(F.col("middle")).alias("low"), F.when(left, F.col("middle")).otherwise(F.col("high")).alias("high"))
+        above, rows = rows, written(halves, f"split-{level + 1}")
+        removed(rows.sparkSession, above)
     return rows.groupBy("source", F.col("low").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -129,8 +138,6 @@ def _parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def _planned(rows: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The plan of blocks with their units, and that of parts."""
     blocks = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
-    if blocks.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
     plan = written(_plan(blocks), "plan")
     units = written(plan.alias("p").join(_placed(plan, shards, seed).alias("q"), _same("p", "q", "block"), "left").select("p.*", "q.units"), "units")
     return units, written(_parts(rows, plan), "parts")
@@ -163,7 +170,7 @@ def taken(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     Documents are taken whole, except that the last one of a source's partial pass gives as many first words as are
     missing, so a source's words taken are its target, rounded. None is taken more than MOST times. Null texts and texts
     without words have size 0 and taken 0. Null sources are one source. Repeated rows each count; ties of a permuted order
-    are settled by number, id and size. More than MOST_SOURCES sources are an error. Other columns are ignored.
+    are settled by number, id and size. Other columns are ignored.
     """
     rows = written(_keyed(docs), "sizes")
     return _filled(rows, *_planned(rows, shards, seed)).drop("block", "part")

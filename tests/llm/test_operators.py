@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -658,3 +659,14 @@ def test_token_counts(spark):
         assert r.truncated_tokens == sum(min(n, r.context) for n in lengths) and r.docs_longer == sum(n > r.context for n in lengths)
     assert tokencount.quantiles(sums, [0.5]).first().n_tokens == sorted(lengths)[2]
     assert tokencount.token_counts(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_thousands_of_sources_are_mixed_as_in_sql(spark, tmp_path):
+    rows = [(k, "a b c " * (k % 5 + 1), f"source {k % 5000}" if k % 7 else None) for k in range(6500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op9_mixing"])
+    columns = sorted(want.columns)
+    got = queries.QUERIES["op9_mixing"](spark, str(tmp_path)).select(*columns)
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want.select(*columns).fetchall()))
