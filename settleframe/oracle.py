@@ -8,6 +8,7 @@ from .operators.chain import BLOCK_BUCKET
 from .oracle_ingest import INGEST_SQL
 from .oracle_parts import B, R, exact, student, two_sided, upper  # noqa: F401
 from .oracle_tests import TESTS_SQL
+from .round_trips import JOBS_SQL
 from .sources.tables import DUCKDB, STAND_INS
 
 _VIEWS = {name: sql.format(**DUCKDB) for name, sql in STAND_INS.items()}
@@ -179,7 +180,7 @@ ORACLE_SQL: dict[str, str] = {
     "volume_chart": _sql("select concat(year(q), ' Q', quarter(q)) as quarter, round(v/1e3, 2) as volume_thousands from (select date_trunc('quarter', created_time) as q, sum(count) as v from book_trades group by 1)"),
 }
 ORACLE_SQL |= INGEST_SQL
-ORACLE_SQL |= {name: _sql(" ".join(body.split())) for name, body in TESTS_SQL.items()}
+ORACLE_SQL |= {name: _sql(" ".join(body.split())) for name, body in (TESTS_SQL | JOBS_SQL).items()}
 ORACLE_SQL |= {
     "top_groups": _sql(f"""select "group", {R('v')} as taker_volume, {R('t')} as taker_excess_pp, {R('k')} as maker_excess_pp from (select "group", taker_volume as v, taker_excess_pp as t, maker_excess_pp as k from ({exact(_category_returns())}) order by 2 desc, 1 limit 8)"""),
     "iso_blocks": _sql("select block_number, strftime(date_trunc('second', cast(timestamp as timestamp)), '%Y-%m-%dT%H:%M:%SZ') as timestamp from blocks"),

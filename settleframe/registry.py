@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import round_trips
 from .functions.columns import chart_table, quarter_label, quarter_short, rounded
 from .operators import book, categories, chain
 from .operators import tests_of_significance as tests
@@ -77,3 +78,4 @@ def query(analysis: Analysis) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {name: query(f) for name, f in ANALYSES.items()}
 QUERIES |= {name: (lambda spark, sf_dir, job=job: rounded(job(spark, sf_dir))) for name, job in landed.JOBS.items()}
+QUERIES |= {name: (lambda spark, sf_dir, job=job: rounded(job(spark, sf_dir))) for name, job in round_trips.JOBS.items()}

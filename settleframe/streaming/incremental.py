@@ -28,14 +28,14 @@ def _batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
 
 
-def append_trades(spark: SparkSession, landing: str, table: str, checkpoint: str) -> StreamingQuery:
+def append_trades(spark: SparkSession, landing: str, table: str, checkpoint: str, files_a_batch: int = 1000) -> StreamingQuery:
     """Landed JSON trades to a Parquet folder, each trade_id once, however late it comes; of a batch's repeats the earliest stays.
 
     Stored keys are looked up in an index beside the table (``key_index``), in the buckets that the batch's keys fall into;
     the stored trades aren't read. A batch is a folder of the table, written first, and then its keys; if the stream fails between the two, both are written again, and if it
     fails after both, the batch is done. A restart goes on where the checkpoint is.
     """
-    trades = ingest_book_trades(spark.readStream.schema(RAW_TRADES).json(landing))
+    trades = ingest_book_trades(spark.readStream.schema(RAW_TRADES).option("maxFilesPerTrigger", files_a_batch).json(landing))
 
     def add(batch: DataFrame, number: int) -> None:
         index = key_index(batch.sparkSession, table)
