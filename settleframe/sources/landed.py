@@ -10,8 +10,12 @@ from . import ingest
 #: schemas of raw records; a missing key is null
 RAW = {
     "book_trades": "trade_id string, ticker string, count bigint, yes_price int, no_price int, taker_side string, created_time string",
-    "book_markets": "ticker string, event_ticker string, market_type string, title string, yes_sub_title string, no_sub_title string, status string, yes_bid bigint, yes_ask bigint, no_bid bigint, no_ask bigint, last_price bigint, volume bigint, volume_24h bigint, result string, created_time string, open_time string, close_time string, open_interest bigint",
-    "chain_markets": "id string, conditionId string, question string, slug string, outcomes string, outcomePrices string, clobTokenIds string, volume string, liquidity string, active string, closed string, endDate string, createdAt string, marketMakerAddress string",
+    "book_markets": """ticker string, event_ticker string, market_type string, title string, yes_sub_title string, no_sub_title string,
+        status string, yes_bid bigint, yes_ask bigint, no_bid bigint, no_ask bigint, last_price bigint, volume bigint, volume_24h bigint,
+        result string, created_time string, open_time string, close_time string, open_interest bigint""",
+    "chain_markets": """id string, conditionId string, question string, slug string, outcomes string, outcomePrices string,
+        clobTokenIds string, volume string, liquidity string, active string, closed string, endDate string, createdAt string,
+        marketMakerAddress string""",
     "data_api_trades": "conditionId string, market string, side string, size string, price string, outcome string, timestamp string",
 }
 
@@ -29,10 +33,14 @@ def parsed(lines: DataFrame, kind: str) -> DataFrame:
 _PRICE = "(l_partkey*31 + l_suppkey*17 + l_linenumber*7) % 99"
 #: raw records as SQL that both engines read; {string} is the type of text
 STAND_INS = {
-    "book_trades": f"select concat(l_orderkey, '-', l_linenumber, '-', l_partkey) as trade_id, concat('T', l_orderkey) as ticker, cast(l_quantity as bigint) as count, cast(1 + {_PRICE} as int) as yes_price, cast(99 - {_PRICE} as int) as no_price, case when l_partkey % 20 = 0 then null when l_linestatus = 'O' then 'yes' else 'no' end as taker_side, concat(substr(cast(l_shipdate as {{string}}), 1, 10), 'T10:20:30.', substr('123456789', 1, 1 + l_linenumber), 'Z') as created_time from lineitem",
-    "book_markets": "select case when o_custkey % 40 > 0 then concat('M', o_orderkey) end as ticker, concat('E', o_custkey) as event_ticker, o_orderstatus as status, case when o_custkey % 5 > 0 then o_orderpriority end as title, case when o_orderstatus <> 'O' then 'yes' end as result, o_orderkey % 100 as yes_bid, o_orderkey % 99 as yes_ask, o_orderkey % 98 as no_bid, o_orderkey % 97 as no_ask, o_orderkey % 96 as last_price, case when o_custkey % 3 > 0 then cast(floor(o_totalprice) as bigint) end as volume, concat(substr(cast(o_orderdate as {string}), 1, 10), 'T01:02:03Z') as created_time, case when o_orderkey % 2 = 0 then '' else concat(substr(cast(o_orderdate as {string}), 1, 10), 'T04:05:06.5Z') end as open_time, case when o_orderkey % 3 = 0 then concat(substr(cast(o_orderdate as {string}), 1, 10), 'T07:08:09.1234567+00:00') end as close_time from orders",
-    "chain_markets": """select cast(p_partkey as {string}) as id, concat('0xc', p_partkey) as conditionId, p_name as question, p_brand as slug, '["Yes","No"]' as outcomes, case when p_size % 2 = 0 then '["1","0"]' else '["0","1"]' end as outcomePrices, concat('["', p_partkey, '","', p_partkey + 1, '"]') as clobTokenIds, case p_partkey % 3 when 0 then concat(p_size, '.5') when 1 then 'n/a' end as volume, cast(p_size as {string}) as liquidity, case when p_partkey % 4 = 0 then 'true' end as active, case when p_partkey % 5 = 0 then 'false' else 'true' end as closed, case when p_partkey % 2 = 0 then 'soon' else '2024-05-06T07:08:09.12Z' end as endDate, '2024-01-02T03:04:05Z' as createdAt, concat('0xF', p_partkey) as marketMakerAddress from part""",
-    "data_api_trades": "select case when event_id % 2 = 0 then concat('0xm', user_id % 25) end as conditionId, case when event_id % 3 = 0 then concat('m', user_id) end as market, case when event_id % 4 > 0 then 'BUY' end as side, case when event_id % 5 > 0 then concat(user_id, '.25') end as size, case when event_id % 7 = 0 then '-' else concat('0.', user_id) end as price, case when user_id % 2 = 0 then 'Yes' end as outcome, cast(event_id as {string}) as timestamp from events",
+    "book_trades": f"""select concat(l_orderkey, '-', l_linenumber, '-', l_partkey) as trade_id, concat('T', l_orderkey) as ticker, cast(l_quantity as bigint) as count, cast(1 + {_PRICE} as int) as yes_price, cast(99 - {_PRICE} as int) as no_price, case when l_partkey % 20 = 0 then null when l_linestatus = 'O' then 'yes' else 'no' end as taker_side, concat(substr(cast(l_shipdate as {{string}}), 1, 10), 'T10:20:30.', substr('123456789', 1, 1 + l_linenumber), 'Z') as created_time
+        from lineitem""",
+    "book_markets": """select case when o_custkey % 40 > 0 then concat('M', o_orderkey) end as ticker, concat('E', o_custkey) as event_ticker, o_orderstatus as status, case when o_custkey % 5 > 0 then o_orderpriority end as title, case when o_orderstatus <> 'O' then 'yes' end as result, o_orderkey % 100 as yes_bid, o_orderkey % 99 as yes_ask, o_orderkey % 98 as no_bid, o_orderkey % 97 as no_ask, o_orderkey % 96 as last_price, case when o_custkey % 3 > 0 then cast(floor(o_totalprice) as bigint) end as volume, concat(substr(cast(o_orderdate as {string}), 1, 10), 'T01:02:03Z') as created_time, case when o_orderkey % 2 = 0 then '' else concat(substr(cast(o_orderdate as {string}), 1, 10), 'T04:05:06.5Z') end as open_time, case when o_orderkey % 3 = 0 then concat(substr(cast(o_orderdate as {string}), 1, 10), 'T07:08:09.1234567+00:00') end as close_time
+        from orders""",
+    "chain_markets": """select cast(p_partkey as {string}) as id, concat('0xc', p_partkey) as conditionId, p_name as question, p_brand as slug, '["Yes","No"]' as outcomes, case when p_size % 2 = 0 then '["1","0"]' else '["0","1"]' end as outcomePrices, concat('["', p_partkey, '","', p_partkey + 1, '"]') as clobTokenIds, case p_partkey % 3 when 0 then concat(p_size, '.5') when 1 then 'n/a' end as volume, cast(p_size as {string}) as liquidity, case when p_partkey % 4 = 0 then 'true' end as active, case when p_partkey % 5 = 0 then 'false' else 'true' end as closed, case when p_partkey % 2 = 0 then 'soon' else '2024-05-06T07:08:09.12Z' end as endDate, '2024-01-02T03:04:05Z' as createdAt, concat('0xF', p_partkey) as marketMakerAddress
+        from part""",
+    "data_api_trades": """select case when event_id % 2 = 0 then concat('0xm', user_id % 25) end as conditionId, case when event_id % 3 = 0 then concat('m', user_id) end as market, case when event_id % 4 > 0 then 'BUY' end as side, case when event_id % 5 > 0 then concat(user_id, '.25') end as size, case when event_id % 7 = 0 then '-' else concat('0.', user_id) end as price, case when user_id % 2 = 0 then 'Yes' end as outcome, cast(event_id as {string}) as timestamp
+        from events""",
 }
 #: fixed values of the stand-ins: topics of AMM buys and sells
 AMM_BUY, AMM_SELL = "0xb1", "0x5e"
