@@ -28,7 +28,8 @@ with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as
 c as (select d, string_agg({" || ".join(_CHAR.format(k) for k in (15, 10, 5, 0))}, '' order by k) as b32
     from (select d, k, cast('0x' || substr(d, k*5 + 1, 5) as bigint) as v from (select distinct d from p), range(8) t(k)) group by d),
 f as (select d, min(page_id) as head from p group by d)
-select page_id, cast(strlen(h) as bigint) as payload_bytes, b32 as payload_digest, case when head is null or page_id = head then 'response' else 'revisit' end as record_type,
+select page_id, cast(strlen(h) as bigint) as payload_bytes, b32 as payload_digest, case when head is null or page_id = head then 'response'
+    else 'revisit' end as record_type,
     case when page_id is null or page_id > head then head end as refers_to, true as intact
 from p join c using (d) join f using (d)
 """
@@ -42,7 +43,8 @@ def _url_filter() -> str:
 with u as (select page_id, coalesce({rest}, '') as rest from pages),
 hp as (select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 r as (select * from (values {rules}) v(verdict, rule_host, rule_path)),
-m as (select page_id, host, path, '.' || host || '#' || path as full_, arg_max(rule_host || rule_path, len(rule_host || rule_path)) as rule, arg_max(verdict, len(rule_host || rule_path)) as said
+m as (select page_id, host, path, '.' || host || '#' || path as full_, arg_max(rule_host || rule_path, len(rule_host || rule_path)) as rule,
+    arg_max(verdict, len(rule_host || rule_path)) as said
     from hp left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1, 2, 3)
 select page_id, host, path, rule, coalesce(said, case when {globs} then 'block' else 'allow' end) as verdict from m
 """
@@ -54,11 +56,13 @@ with i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.f
 n as (select item, ws, least(10, len(ws)) as n from i where len(ws) > 0),
 p as (select distinct item, n, array_to_string(ws[k:k+n-1], ' ') as x from (select item, ws, n, unnest(range(1, len(ws) - n + 2)) as k from n)),
 d as (select doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, {_WORDS}), []) as ws from documents),
-g as (select doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') as x from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d, (select distinct n from n) where len(ws) >= n)),
+g as (select doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') as x from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d,
+    (select distinct n from n) where len(ws) >= n)),
 h as (select g.doc_id, g.k, g.n, p.item from g join p on g.n = p.n and g.x = p.x),
 hits as (select doc_id, count(distinct k + o) as c from h, range(10) t(o) where o < n group by 1),
 items as (select doc_id, count(distinct item) as c, string_agg(distinct item, ',' order by item) as names from h group by 1)
-select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(hits.c, 0) as n_hit, coalesce(items.c, 0) as n_items, sha256(coalesce(items.names, '')) as items_sha256, coalesce(hits.c, 0) > 0 as contaminated
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(hits.c, 0) as n_hit, coalesce(items.c, 0) as n_items,
+    sha256(coalesce(items.names, '')) as items_sha256, coalesce(hits.c, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)
 """
 
@@ -81,14 +85,19 @@ def _tree() -> str:
 
 _LAST = f"u{(SHARDS - 1).bit_length()}"
 _MIXING = f"""
-with k as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) as bigint) as size, {_key("'block'", "doc_id", "source")} as number from documents),
+with k as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) as bigint) as size,
+    {_key("'block'", "doc_id", "source")} as number from documents),
 d as (select doc_id, source, size, number % {BLOCKS} as block, number // {BLOCKS} % {BLOCKS} as part from k),
 b as (select source, block, cast(sum(size) as bigint) as words from d group by 1, 2),
-s as (select source, cast(sum(words) as bigint) as source_size, [{", ".join(map(str, WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as weight from b group by source),
-o as (select *, sum(source_size) over () - {MOST}*coalesce(sum(source_size) over u, 0) as left_, sum(weight) over () - coalesce(sum(weight) over u, 0) as shared, row_number() over (order by source_size/weight, source nulls last) as k
+s as (select source, cast(sum(words) as bigint) as source_size,
+    [{", ".join(map(str, WEIGHTS))}][(row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1] as weight from b
+    group by source),
+o as (select *, sum(source_size) over () - {MOST}*coalesce(sum(source_size) over u, 0) as left_,
+    sum(weight) over () - coalesce(sum(weight) over u, 0) as shared, row_number() over (order by source_size/weight, source nulls last) as k
     from s window u as (order by source_size/weight, source nulls last rows between unbounded preceding and 1 preceding)),
 f as (select min(k) as k from o where weight*left_ <= {MOST}*source_size*shared),
-t as (select o.source, o.source_size, case when f.k is null or o.k < f.k then cast({MOST}*o.source_size as double) else cast(o.weight*c.left_ as double)/cast(c.shared as double) end as target from o cross join f left join o c on c.k = f.k),
+t as (select o.source, o.source_size, case when f.k is null or o.k < f.k then cast({MOST}*o.source_size as double)
+    else cast(o.weight*c.left_ as double)/cast(c.shared as double) end as target from o cross join f left join o c on c.k = f.k),
 r as (select b.source, block, words, source_size, target, case when source_size > 0 then cast(round(target) as bigint) // source_size else 0 end as passes,
     coalesce(sum(words) over (partition by b.source order by {_key("'order'", "block", "b.source")}, block rows between unbounded preceding and 1 preceding), 0) as before
     from b join t on b.source is not distinct from t.source),
@@ -97,15 +106,22 @@ m as (select *, greatest(0, least(words, cast(round(target) as bigint) - passes*
 q as (select source, low as shard, count(*) as quota from {_LAST} group by 1, 2),
 runs as (select source, shard, sum(quota) over (partition by source order by shard) as last, last - quota + 1 as first from q),
 pu as (select source, block, pass, row_number() over (partition by source order by {_key("'unit'", str(SEED), "pass", "block", "source")}, pass, block) as unit from u0),
-pl as (select pu.source, pu.block, list({{'pass': pu.pass, 'shard': runs.shard}} order by pu.pass) as units from pu join runs on pu.source is not distinct from runs.source and unit between first and last group by 1, 2),
-w as (select d.source, d.block, d.part, cast(sum(size) as bigint) as part_words, any_value(more) as more from d join m on d.source is not distinct from m.source and d.block = m.block where more > 0 and more < words group by 1, 2, 3),
-x as (select *, greatest(0, least(part_words, more - coalesce(sum(part_words) over (partition by source order by {_key("'part'", "part", "source")}, part rows between unbounded preceding and 1 preceding), 0))) as part_more from w),
+pl as (select pu.source, pu.block, list({{'pass': pu.pass, 'shard': runs.shard}} order by pu.pass) as units from pu
+    join runs on pu.source is not distinct from runs.source and unit between first and last group by 1, 2),
+w as (select d.source, d.block, d.part, cast(sum(size) as bigint) as part_words, any_value(more) as more from d
+    join m on d.source is not distinct from m.source and d.block = m.block where more > 0 and more < words group by 1, 2, 3),
+x as (select *, greatest(0, least(part_words, more - coalesce(sum(part_words) over (partition by source
+    order by {_key("'part'", "part", "source")}, part rows between unbounded preceding and 1 preceding), 0))) as part_more from w),
 j as (select d.doc_id, d.size, m.source_size, m.target, m.passes, coalesce(pl.units, []) as units,
-    case when x.part is null then case when m.more > 0 then d.size else 0 end when part_more = 0 then 0 when part_more = part_words then d.size else greatest(0, least(d.size, part_more -
-    coalesce(sum(d.size) over (partition by d.source, d.block, d.part order by {_key("'document'", "d.doc_id", "d.source")}, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0))) end as again
+    case when x.part is null then case when m.more > 0 then d.size else 0 end when part_more = 0 then 0 when part_more = part_words
+        then d.size else greatest(0, least(d.size, part_more -
+    coalesce(sum(d.size) over (partition by d.source, d.block, d.part order by {_key("'document'", "d.doc_id", "d.source")}, d.doc_id,
+        d.size rows between unbounded preceding and 1 preceding), 0))) end as again
     from d join m on d.source is not distinct from m.source and d.block = m.block left join pl on d.source is not distinct from pl.source and d.block = pl.block
     left join x on d.source is not distinct from x.source and d.block = x.block and d.part = x.part),
-g as (select *, list_filter(list_transform(units, lambda u: {{'pass': u.pass, 'shard': u.shard, 'words': case when u.pass < passes then size else again end}}), lambda u: u.words > 0) as given from j)
+g as (select *, list_filter(list_transform(units,
+    lambda u: {{'pass': u.pass, 'shard': u.shard, 'words': case when u.pass < passes then size else again end}}),
+    lambda u: u.words > 0) as given from j)
 select doc_id, size, source_size, target, cast(coalesce(list_sum(list_transform(given, lambda u: u.words)), 0) as bigint) as taken,
     array_to_string(list_transform(given, lambda u: u.pass || ':' || u.shard || ':' || u.words), ',') as placed from g
 """
