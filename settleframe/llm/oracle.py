@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCKS, MOST, SEED, SHARDS, WEIGHTS
+from .mixing import BLOCKS, SEED, SHARDS  # choices of the operator that its result shows
 from .oracle_trees import TREES_SQL
-from .urlfilter import BLOCKED, RULES
+
+#: the contract's weights and limit, and URL rules; the globs are the operator's own judgement
+WEIGHTS, MOST = (1, 2, 3), 3
+RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+BLOCKED = ("*.ads-*", "*.ads.*", "*.adserver*", "*.adult-*", "*.cheap-*", "*-pills.*", "*.casino*", "*.spam*")
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
