@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sources import ingest, sinks
-from .sources.shared import shared_folder
+from .sources.shared import run_folder
 from .sources.tables import read_collateral, stand_in_tables
 from .streaming import incremental
 
@@ -18,7 +18,7 @@ TIMEOUT_S = 3600
 
 
 def _folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def _numbered_trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """One folder for all that an application stores for itself: whoever runs it may delete it when the application has ended."""
+    return f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps read it instead of making it again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
