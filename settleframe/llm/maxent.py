@@ -232,7 +232,7 @@ def count(docs: DataFrame) -> Counts:
         if n > HEAD:
             break
         least = r.total
-    rest = n > HEAD
+    rest = n > HEAD or len(by_total) == HEAD
     head = table.where(F.col("total") >= least).toArrow() if least is not None else table.limit(0).toArrow()
     order = np.argsort(head["hash"].to_numpy().view(np.uint64))
     head = {c: head[c].to_numpy()[order] for c in head.column_names}
