@@ -56,4 +56,4 @@ class KeyIndex:
 
     def known(self, keys: DataFrame, but: int | None = None) -> DataFrame:
         """Those of ``keys`` (key) that are stored."""
-        return self.candidates(keys, but).join(keys.select("key").distinct(), "key", "left_semi")
+        return self.candidates(keys, but).join(keys.select("key"), "key", "left_semi")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_analyses import LINE, MARKETS, ROWS, TRADES
 
+from settleframe import round_trips
 from settleframe.plans.legs import legs, position_cube
 from settleframe.sources import ingest
 from settleframe.sources.manifest import Manifest, Run
@@ -174,3 +175,23 @@ def test_versions_are_renamed_into_place_and_never_replaced(spark, tmp_path):
         manifest.commit([Run(f"run-{k}", first=k, last=k, rows=3)])
     assert manifest.versions() == [2, 3] and manifest.runs() == [Run("run-3", 3, 3, 0, 3, 0)] and manifest.runs(2)[0].name == "run-2"
     assert not list((tmp_path / "_manifest").glob(".*tmp*"))
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _landed(spark, tmp_path, monkeypatch, file_rows=1000):
+    """Folders of the round trips go under tmp_path, their landed files are small."""
+    monkeypatch.setattr(round_trips, "_folder", lambda spark, what: str(tmp_path / what))
+    monkeypatch.setattr(round_trips, "FILE_ROWS", file_rows, raising=False)
+
+
+def test_landed_files_stay_small_while_trades_grow(spark, tmp_path, monkeypatch):
+    _landed(spark, tmp_path, monkeypatch)
+    got = round_trips.appended_trades(spark, SMALL)
+    trades = round_trips._numbered_trades(spark, SMALL)
+    rows = [len(p.read_text().splitlines()) for p in (tmp_path / "appended" / "landing").glob("part-*")]
+    assert sum(rows) == 2 * trades.count() and len(rows) >= 12 and max(rows) < 2000
+    assert len(list((tmp_path / "appended" / "table").glob("batch=*"))) == round_trips.FILES
+    want = {r.trade_id for r in trades.select("trade_id").collect()}
+    assert got.count() == len(want) and {r.trade_id for r in got.select("trade_id").collect()} == want
