@@ -81,8 +81,13 @@ def legs_of(sums: DataFrame) -> DataFrame:
 
 
 def mirrored(sums: DataFrame, markets: DataFrame, strict: bool = True) -> DataFrame:
-    """Legs of trades that were summed before by ticker, side, prices and other columns (n and count), as ``leg_sums`` gives them."""
-    return _outcome(two_legs(sums.join(resolved(markets, strict), "ticker")))
+    """Legs of trades that were summed before by ticker, side, prices and other columns (n and count), as ``leg_sums`` gives them.
+
+    The sums may be in parts; they are added up over all tickers of a result and category before they are mirrored.
+    """
+    met = sums.join(resolved(markets, strict), "ticker").drop("ticker")
+    by = [c for c in met.columns if c not in ("n", "count")]
+    return _outcome(two_legs(met.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("count").alias("count"))))
 
 
 def totals(sized: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ class Levels:
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, merge: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str, int], int] | None = None):
-        self.spark, self.folder, self.schema, self.merge = spark, folder.rstrip("/"), schema, merge
-        self.write = write or _plain
+        self.spark, self.folder, self.schema, self.merge, self.write = spark, folder.rstrip("/"), schema, merge, write
         self.manifest = Manifest(spark, folder)
 
     def read(self, runs: list[Run] | None = None) -> DataFrame:
@@ -32,24 +31,25 @@ class Levels:
     def holds(self, batch: int) -> bool:
         return any(r.first <= batch <= r.last for r in self.manifest.runs())
 
-    def _written(self, rows: DataFrame, first: int, last: int, level: int, count: int) -> Run:
+    def _written(self, rows: DataFrame, first: int, last: int, level: int, count: int | None) -> Run:
         name = f"run-{level}-{first}-{last}"
-        bits = self.write(rows, f"{self.folder}/{name}", count)
-        return Run(name, first, last, level, count, bits)
+        path = f"{self.folder}/{name}"
+        if self.write:
+            return Run(name, first, last, level, count, self.write(rows, path, count))
+        rows.write.mode("overwrite").parquet(path)
+        return Run(name, first, last, level, self.spark.read.schema(self.schema).parquet(path).count())
 
     def add(self, batch: int, rows: DataFrame) -> None:
-        """Add a batch; ``rows`` should be cheap to read twice, as they are counted first. Batches come in ascending order."""
+        """Add a batch, in one step with all runs that it is merged with. Batches come in ascending order.
+
+        With ``write``, ``rows`` should be cheap to read twice, as they are counted first; else what was written is counted.
+        """
         if self.holds(batch):
             return
-        runs = self.manifest.runs()
-        runs.append(self._written(rows, batch, batch, 0, rows.count()))
-        while len(runs) > 1 and runs[-1].level == runs[-2].level:
-            old, new = runs[-2], runs[-1]
-            both = self.merge(self.read([old, new]))
-            runs[-2:] = [self._written(both, old.first, new.last, new.level + 1, old.rows + new.rows)]
+        runs, old = self.manifest.runs(), []
+        while runs and runs[-1].level == len(old):
+            old.insert(0, runs.pop())
+        count = sum(r.rows for r in old) + rows.count() if self.write else None
+        both = self.merge(self.read(old).unionByName(rows)) if old else rows
+        runs.append(self._written(both, old[0].first if old else batch, batch, len(old), count))
         self.manifest.commit(runs)
-
-
-def _plain(rows: DataFrame, path: str, count: int) -> int:
-    rows.write.mode("overwrite").parquet(path)
-    return 0

@@ -195,3 +195,18 @@ def test_landed_files_stay_small_while_trades_grow(spark, tmp_path, monkeypatch)
     assert len(list((tmp_path / "appended" / "table").glob("batch=*"))) == round_trips.FILES
     want = {r.trade_id for r in trades.select("trade_id").collect()}
     assert got.count() == len(want) and {r.trade_id for r in got.select("trade_id").collect()} == want
+
+
+def test_a_streamed_cube_reads_small_files_and_each_batch_once(spark, tmp_path, monkeypatch):
+    _landed(spark, tmp_path, monkeypatch, 500)
+    got = round_trips.streamed_cube(spark, SMALL)
+    rows = [spark.read.parquet(str(p)).count() for p in (tmp_path / "streamed" / "trades").glob("part-*")]
+    assert len(rows) >= 12 and max(rows) < 1000
+    assert [(r.first, r.last) for r in incremental.sums_so_far(spark, str(tmp_path / "streamed" / "cube")).manifest.runs()] == [(0, 3), (4, 5)]
+    t = round_trips.stand_in_tables(spark, SMALL)
+    want = position_cube(legs(t.book_trades, t.book_markets).withColumn("day", F.to_date("created_time")), "day", "category")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    seen, table = spark.sparkContext.accumulator(0), _sums(spark, tmp_path / "once")
+    for number in range(4):
+        table.add(number, spark.sparkContext.parallelize(range(10), 1).map(lambda k: seen.add(1) or (k, 1)).toDF(SCHEMA))
+    assert seen.value == 40 and table.read().collect() == [(k, 4) for k in range(10)]
