@@ -8,7 +8,7 @@ from test_analyses import LINE, MARKETS, ROWS, TRADES
 
 from settleframe import round_trips
 from settleframe.plans.legs import legs, position_cube
-from settleframe.sources import ingest
+from settleframe.sources import ingest, landed
 from settleframe.sources.manifest import Manifest, Run
 from settleframe.streaming import incremental, keyindex, levels
 
@@ -210,3 +210,22 @@ def test_a_streamed_cube_reads_small_files_and_each_batch_once(spark, tmp_path,
     for number in range(4):
         table.add(number, spark.sparkContext.parallelize(range(10), 1).map(lambda k: seen.add(1) or (k, 1)).toDF(SCHEMA))
     assert seen.value == 40 and table.read().collect() == [(k, 4) for k in range(10)]
+
+
+def test_a_landed_line_is_parsed_once(spark):
+    for kind in ("book_trades", "book_markets", "chain_markets", "data_api_trades"):
+        plan = landed.JOBS["ingest_" + kind](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1, kind
+    lines = spark.createDataFrame([('{"ticker": "a", "count": 3}',), ("{}",), ("no JSON",), (None,)], "value string")
+    got = [(r.ticker, r["count"], r.trade_id) for r in landed.parsed(lines, "book_trades").collect()]
+    assert got == [("a", 3, None), (None, None, None), (None, None, None), (None, None, None)]
+
+
+def test_times_of_the_usual_form_and_of_others(spark):
+    day = "2024-05-06T07:08:09"
+    want = {day + end: "2024-05-06 07:08:09" + out for end, out in (("Z", ""), (".5Z", ".5"), (".123456789Z", ".123456"), (".9999999Z", ".999999"), (".12345678901Z", ".123456"), ("", ""), (".25", ".25"), (".1+00:00", ".1"), ("Z\n", ""))}
+    want[day + "+02:00"] = "2024-05-06 05:08:09"
+    want |= dict.fromkeys(("", "Z", "soon", "2024-13-06T07:08:09Z", "2024-02-30T07:08:09.1Z", "2024-05-06T24:08:09Z"), None)
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: r.x for r in rows.select("t", ingest.event_time(F.col("t")).cast("string").alias("x")).collect()}
+    assert got == want
