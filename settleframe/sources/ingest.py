@@ -64,6 +64,12 @@ def _word(data: Column, k: int) -> Column:
     return F.substring(data, 3 + 64 * k, 64)
 
 
+def _has_words(data: Column, least: int) -> Column:
+    """Whether hex data behind 0x is whole 32-byte words, at least so many: by its length and by whether it can be read as hex; the pattern, which is slow, judges the rest."""
+    hexed = F.startswith(data, F.lit("0x")) & (F.length(data) % 64 == 2) & (F.length(data) >= 2 + 64 * least) & F.unhex(F.substr(data, F.lit(3))).isNotNull()
+    return hexed | data.rlike("^0x([0-9a-fA-F]{64}){%d,}$" % least)
+
+
 def _small(word: Column) -> Column:
     """A hex word that fits 60 bits as a number; null if it doesn't."""
     return F.when(F.substring(word, 1, 49) == "0" * 49, F.conv(F.substring(word, 50, 15), 16, 10).cast("bigint"))
@@ -81,7 +87,7 @@ def _big(words: pd.Series) -> pd.Series:  # 256-bit numbers have no native type
 def decode_order_filled(logs: DataFrame, topic: str = ORDER_FILLED) -> DataFrame:
     """Logs (block_number, transaction_hash, log_index, topics, data) to swaps; rows that don't decode are left out."""
     d = F.col("data")
-    fits = (F.col("topics")[0] == topic) & (F.size("topics") == 4) & d.rlike("^0x([0-9a-fA-F]{64}){5,}$")
+    fits = (F.col("topics")[0] == topic) & (F.size("topics") == 4) & _has_words(d, 5)
     out = logs.where(fits).select(
         "block_number", "transaction_hash", "log_index", F.lower(F.col("topics")[1]).alias("order_hash"), _address(F.col("topics")[2]).alias("maker"), _address(F.col("topics")[3]).alias("taker"),
         _big(_word(d, 0)).alias("maker_asset_id"), _big(_word(d, 1)).alias("taker_asset_id"), _small(_word(d, 2)).alias("maker_amount"), _small(_word(d, 3)).alias("taker_amount"), _small(_word(d, 4)).alias("fee"),
@@ -100,7 +106,7 @@ def chain_trade_measures(trades: DataFrame) -> DataFrame:
 def decode_amm_trades(logs: DataFrame, buy_topic: str, sell_topic: str) -> DataFrame:
     """AMM buy and sell logs to legacy trades: address, trader and outcome from topics, amounts from data, with price, size and volume."""
     t, d = F.col("topics"), F.col("data")
-    fits = t[0].isin(buy_topic, sell_topic) & (F.size("topics") >= 3) & d.rlike("^0x([0-9a-fA-F]{64}){3,}$")
+    fits = t[0].isin(buy_topic, sell_topic) & (F.size("topics") >= 3) & _has_words(d, 3)
     out = logs.where(fits).select(
         "block_number", "transaction_hash", "log_index", F.lower("address").alias("fpmm_address"), _address(t[1]).alias("trader"), (t[0] == buy_topic).alias("is_buy"),
         _big(_word(d, 0)).alias("amount"), _big(_word(d, 1)).alias("fee_amount"), _small(F.substring(t[2], 3, 64)).alias("outcome_index"), _big(_word(d, 2)).alias("outcome_tokens"),

@@ -229,3 +229,15 @@ def test_times_of_the_usual_form_and_of_others(spark):
     rows = spark.createDataFrame([(t,) for t in want], "t string")
     got = {r.t: r.x for r in rows.select("t", ingest.event_time(F.col("t")).cast("string").alias("x")).collect()}
     assert got == want
+
+
+def test_logs_are_made_once_and_whole_words_are_told(spark):
+    for name, topics in (("decode_order_filled", 3), ("decode_amm_trades", 2)):
+        plan = landed.JOBS[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("get_json_object(") == 1 and plan.count("lpad(") <= 8, name
+    word = "0123456789abcdefABCDEF".ljust(64, "0")
+    data = {"0x" + word * n: n >= 3 for n in range(5)}
+    data |= {"0x" + word * 3 + "\n": True, "0x" + word * 3 + "0": False, "0x" + word * 2 + "g" * 64: False, "00" + word * 3: False, "0X" + word * 3: False, "0x" + word * 2 + "\u00e9" * 64: False, "": False, "0x": False}
+    rows = spark.createDataFrame([(d,) for d in data] + [(None,)], "d string")
+    got = {r.d: r.x for r in rows.select("d", ingest._has_words(F.col("d"), 3).alias("x")).collect()}
+    assert got == data | {None: None}
