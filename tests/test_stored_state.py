@@ -241,3 +241,12 @@ def test_logs_are_made_once_and_whole_words_are_told(spark):
     rows = spark.createDataFrame([(d,) for d in data] + [(None,)], "d string")
     got = {r.d: r.x for r in rows.select("d", ingest._has_words(F.col("d"), 3).alias("x")).collect()}
     assert got == data | {None: None}
+
+
+def test_compaction_starts_from_small_files(spark, tmp_path, monkeypatch):
+    _landed(spark, tmp_path, monkeypatch, 500)
+    got = round_trips.compacted_trades(spark, SMALL)
+    rows = [spark.read.parquet(str(p)).count() for p in (tmp_path / "compacted").glob("part-*")]
+    assert len(rows) >= 12 and max(rows) < 1000
+    trades = round_trips.stand_in_tables(spark, SMALL).book_trades
+    assert got.count() == trades.count() and got.exceptAll(trades).isEmpty()
