@@ -124,7 +124,7 @@ def dedup_append(stored: DataFrame, new: DataFrame, keys: list[str], first_by: l
     for k in keys:
         whole &= F.col(k).isNotNull()
     order = Window.partitionBy(*keys).orderBy(*first_by)
-    unseen = new.where(whole).join(stored.select(*keys).distinct(), keys, "left_anti")
+    unseen = new.where(whole).join(stored.select(*keys), keys, "left_anti")
     first = unseen.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
     return first.select(*new.columns).unionByName(new.where(~whole))
 
@@ -185,6 +185,25 @@ def compact(spark: SparkSession, path: str, order_by: str, file_bytes: int = 128
     manifest.commit([Run(name, first=number, last=number)])
 
 
+def stored_files(spark: SparkSession, folder: str) -> list[tuple[int, str, int]]:
+    """(time, path, bytes) of the files right in a folder, oldest first; hidden ones, as Spark's own, aren't told."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((s.getModificationTime(), s.getPath().toString(), s.getLen()) for s in found if s.isFile() and s.getPath().getName()[0] not in "._")
+
+
+def drop_oldest(spark: SparkSession, folder: str, keep_bytes: int) -> None:
+    """Delete the oldest files of a folder until at most ``keep_bytes`` are left: for landed files that are appended, while nothing reads them."""
+    files = stored_files(spark, folder)
+    left = sum(size for _, _, size in files)
+    for _, name, size in files:
+        if left <= keep_bytes:
+            break
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+        left -= size
+
+
 def stored_bytes(spark: SparkSession, paths: list[str]) -> int:
     """Bytes of the files in folders."""
     total = 0

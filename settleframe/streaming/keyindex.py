@@ -25,7 +25,9 @@ def bucket(key: Column | str, bits: int) -> Column:
 def _bucketed(rows: DataFrame, path: str, count: int) -> int:
     bits = min(MOST_BITS, max(0, (count // PER_BUCKET).bit_length()))
     keyed = rows.select("key", bucket("key", bits).alias("bucket")).repartition(1 << min(bits, 10), "bucket").sortWithinPartitions("bucket", "key")
-    keyed.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").partitionBy("bucket").parquet(path)
+    keys = max(PER_BUCKET, count >> bits)  # of a bucket; a filter whose keys aren't told takes 1 MB, more than they do
+    bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": keys}
+    keyed.write.mode("overwrite").options(compression="zstd", **bloom).partitionBy("bucket").parquet(path)
     return bits
 
 

@@ -1,6 +1,7 @@
 """State that jobs keep: the key index of appends, levelled sums of batches, and compacted snapshots."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,48 @@ def test_compaction_starts_from_small_files(spark, tmp_path, monkeypatch):
     assert len(rows) >= 12 and max(rows) < 1000
     trades = round_trips.stand_in_tables(spark, SMALL).book_trades
     assert got.count() == trades.count() and got.exceptAll(trades).isEmpty()
+
+
+def _size(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_appends_leave_no_shuffles_and_few_landed_files(spark, tmp_path, monkeypatch):
+    _landed(spark, tmp_path, monkeypatch)
+    monkeypatch.setattr(round_trips, "LANDED_BYTES", 300_000, raising=False)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for name in (manager.getAllFiles().apply(k).getName() for k in range(manager.getAllFiles().size())) if name.startswith("shuffle_")}
+    before = shuffles()
+    got = round_trips.appended_trades(spark, SMALL)
+    assert not shuffles() - before
+    assert 0 < _size(tmp_path / "appended" / "landing") <= 400_000  # with checksums; all lines take 2 MB
+    trades = round_trips._numbered_trades(spark, SMALL).dropDuplicates()
+    got = got.withColumn("created_time", F.date_format("created_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")).select(trades.columns)
+    assert got.count() == trades.count() and got.exceptAll(trades).isEmpty()
+
+
+def test_the_oldest_files_go(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"part-{k}").write_text("x" * 10)
+        os.utime(tmp_path / f"part-{k}", (1000 + k, 1000 + k))
+    (tmp_path / "_SUCCESS").write_text("")
+    for keep, left in ((40, "0123"), (25, "23"), (9, "")):
+        ingest.drop_oldest(spark, str(tmp_path), keep)
+        assert [name[-1] for _, name, _ in ingest.stored_files(spark, str(tmp_path))] == list(left)
+
+
+def test_bloom_filters_are_smaller_than_their_keys(spark, tmp_path):
+    index = keyindex.KeyIndex(spark, str(tmp_path / "keys"))
+    index.add(0, spark.range(120_000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key")))
+    files = list((tmp_path / "keys").rglob("*.parquet"))
+    assert len(files) == 4 and sum(p.stat().st_size for p in files) < 120_000 * 32
+    assert index.known(spark.createDataFrame([("cfcd208495d565ef66e7dff9f98764da",), ("none",)], keyindex.KEYS)).count() == 1
+
+
+def test_an_append_that_takes_too_long_fails_and_deletes_nothing(spark, tmp_path, monkeypatch):
+    _landed(spark, tmp_path, monkeypatch)
+    monkeypatch.setattr(round_trips, "LANDED_BYTES", 0, raising=False)
+    monkeypatch.setattr(round_trips, "TIMEOUT_S", 0.001)
+    with pytest.raises(TimeoutError):
+        round_trips.appended_trades(spark, SMALL)
+    assert list((tmp_path / "appended" / "landing").glob("part-*"))
