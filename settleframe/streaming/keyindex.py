@@ -45,11 +45,17 @@ class KeyIndex:
         self.levels.add(batch, keys)
 
     def candidates(self, keys: DataFrame, but: int | None = None) -> DataFrame:
-        """Stored keys of the buckets that ``keys`` (key) fall into; the buckets' numbers, at most 2**MOST_BITS a run, pass the driver."""
+        """Stored keys of the buckets that ``keys`` (key) fall into.
+
+        Only so many keys' buckets pass the driver as tell that they fall into nearly all: four times the buckets. If there
+        are more keys, all buckets are read, so of a large batch only the first rows are looked at beforehand.
+        """
         spark, parts = self.levels.spark, []
         runs = [r for r in self.levels.manifest.runs() if r.rows and not (r.first == r.last == but)]
         finest = max([r.bits for r in runs], default=0)
-        touched = [r[0] for r in keys.where("key is not null").select(bucket("key", finest)).distinct().collect()]
+        most = 4 << finest
+        touched = [r[0] for r in keys.where("key is not null").select(bucket("key", finest)).take(most)] if runs else []
+        touched = set(touched if len(touched) < most else range(1 << finest))
         for run, path in zip(runs, self.levels.manifest.paths(runs), strict=True):
             own = sorted({b % (1 << run.bits) for b in touched})
             stored = spark.read.schema(f"{KEYS}, bucket int").option("basePath", path).parquet(path)

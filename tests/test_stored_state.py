@@ -264,7 +264,7 @@ def test_appends_leave_no_shuffles_and_few_landed_files(spark, tmp_path, monkeyp
     shuffles = lambda: {name for name in (manager.getAllFiles().apply(k).getName() for k in range(manager.getAllFiles().size())) if name.startswith("shuffle_")}
     before = shuffles()
     got = round_trips.appended_trades(spark, SMALL)
-    assert not shuffles() - before
+    assert not shuffles() - before and spark.conf.get(incremental.CLEANUP) == "false"  # the caller's session is as it was
     assert 0 < _size(tmp_path / "appended" / "landing") <= 400_000  # with checksums; all lines take 2 MB
     trades = round_trips._numbered_trades(spark, SMALL).dropDuplicates()
     got = got.withColumn("created_time", F.date_format("created_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")).select(trades.columns)
@@ -296,3 +296,27 @@ def test_an_append_that_takes_too_long_fails_and_deletes_nothing(spark, tmp_path
     with pytest.raises(TimeoutError):
         round_trips.appended_trades(spark, SMALL)
     assert list((tmp_path / "appended" / "landing").glob("part-*"))
+
+
+def test_a_batch_is_parsed_once_and_takes_no_cache(spark, tmp_path, monkeypatch):
+    seen, cached, plain, known = spark.sparkContext.accumulator(0), [], incremental.ingest_book_trades, keyindex.KeyIndex.candidates
+    counted = F.udf(lambda key: seen.add(1) or key)
+    monkeypatch.setattr(incremental, "ingest_book_trades", lambda raw: plain(raw).withColumn("trade_id", counted("trade_id")))
+    monkeypatch.setattr(keyindex.KeyIndex, "candidates", lambda self, keys, but=None: cached.append("InMemory" in keys._jdf.queryExecution().withCachedData().toString()) or known(self, keys, but))
+    _land(tmp_path / "landing", "a.json", [(f"a{k}", {}) for k in range(1000)])
+    assert len(_appended(spark, tmp_path)) == 1000 and seen.value == 1000
+    _land(tmp_path / "landing", "b.json", [(f"a{k}", {"count": 9}) for k in range(500)] + [(f"b{k}", {}) for k in range(500)])
+    got = _appended(spark, tmp_path)
+    assert len(got) == 1500 and all(n == 1 for _, n in got) and seen.value < 2500  # and the first rows, to see which buckets they fall into
+    assert cached == [False, False]
+
+
+def test_a_large_batch_reads_all_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyindex, "PER_BUCKET", 50)
+    index = keyindex.KeyIndex(spark, str(tmp_path / "keys"))
+    keys = lambda low, high: spark.range(low, high).select(F.col("id").cast("string").alias("key"))
+    index.add(0, keys(0, 1000))
+    for low, high, both in ((500, 5000, 500), (0, 100_000, 1000), (990, 1100, 10), (2000, 9000, 0)):
+        assert index.known(keys(low, high)).count() == both
+    late = spark.range(0, 100_000, numPartitions=4).select(F.when(F.col("id") < 50_000, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("all rows were looked at"))).alias("key"))
+    assert index.candidates(late).count() == 1000
